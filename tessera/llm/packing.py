@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

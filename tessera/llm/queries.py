@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents
+from tessera.llm.langid import fit_on_folds, held_out, identify
 from tessera.llm.mixing import mix_sources
+from tessera.llm.ngram_join import ngram_jaccard_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import assign_shards
+from tessera.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +23,34 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)))
+    return score_toxicity(docs, machine).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(documents(spark, sf_dir), [1.0] * 24, [1.0] * 25)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
+
+
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = identify(docs, fit_on_folds(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_mix_sources": op3_mix_sources,
+    "op5_toxicity_fm": op5_toxicity_fm,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_language_mixture": op10_language_mixture,
 }
 
 _U = "((('0x' || substr(md5({}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
@@ -55,12 +77,27 @@ c AS (SELECT *, row_number() OVER (PARTITION BY source, taken_in, size > 0 AND a
 SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN taken_in THEN 1 ELSE 0 END + CASE WHEN NOT taken_in AND size > 0 AND abs(size - gap) < gap AND near = 1 THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c""",
+    "op7_rendezvous_sharding": """
+WITH crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(text,'') AS text FROM documents),
+b AS (SELECT doc_id, octet_length(encode(text)) + 8 AS size,
+      xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+      FROM d, crc_table),
+u AS (SELECT doc_id, j, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || j), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS draw FROM d, range(25) r(j)),
+p AS (SELECT doc_id, arg_min(j, draw) FILTER (j < 24) AS shard, arg_min(j, draw) AS grown FROM u GROUP BY doc_id)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown::INT AS grown_shard
+FROM b JOIN p USING (doc_id)""",
+    "op9_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+         ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, k.b FROM reach r JOIN both_ways k ON r.b = k.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""",
 }
-
-
-def _shard_sql(shards: int) -> str:
-    return f"(SELECT min_by(j, -ln({_U.format(chr(39) + chr(39) + ' || coalesce(d.doc_id::VARCHAR, ' + chr(39) * 2 + ') || ' + chr(39) + ':' + chr(39) + ' || j')})) FROM range({shards}) AS r(j))"
-
-
-#: CRC-32 of the UTF-8 bytes, bit by bit from its polynomial (a fixed value).
-_CRC = """(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode(coalesce(text, '')))), i -> ascii(chr(0))::UBIGINT)), (c, b) -> c))"""

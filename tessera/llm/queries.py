@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents
 from tessera.llm.langid import fit_on_folds, held_out, identify
+from tessera.llm.linedup import drop_repeated_lines
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import ngram_jaccard_components
 from tessera.llm.packing import pack_documents
@@ -23,6 +24,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)))
@@ -47,6 +52,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_mix_sources": op3_mix_sources,
+    "op4_line_templates": op4_line_templates,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,

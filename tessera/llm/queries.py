@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents
 from tessera.llm.langid import fit_on_folds, held_out, identify
 from tessera.llm.linedup import drop_repeated_lines
+from tessera.llm.media import media_columns
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import ngram_jaccard_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import assign_shards
+from tessera.llm.topk import top_k
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -20,6 +22,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("rid", "ids")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media_columns(documents(spark, sf_dir))
+    pairs = F.array_join(F.transform("fingerprint", lambda p: F.concat_ws("@", p["code"], p["time"])), ",")
+    return made.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("fingerprint"), F.md5(pairs.cast("binary"))).alias("feature"),
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +46,11 @@ def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, machine).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op6_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(documents(spark, sf_dir), [1.0] * 24, [1.0] * 25)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -51,9 +68,11 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_media_columns": op2_media_columns,
     "op3_mix_sources": op3_mix_sources,
     "op4_line_templates": op4_line_templates,
     "op5_toxicity_fm": op5_toxicity_fm,
+    "op6_kd_tree_top_k": op6_kd_tree_top_k,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_mixture": op10_language_mixture,
@@ -83,6 +102,14 @@ c AS (SELECT *, row_number() OVER (PARTITION BY source, taken_in, size > 0 AND a
 SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN taken_in THEN 1 ELSE 0 END + CASE WHEN NOT taken_in AND size > 0 AND abs(size - gap) < gap AND near = 1 THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c""",
+    "op6_kd_tree_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op7_rendezvous_sharding": """
 WITH crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
 d AS (SELECT doc_id, coalesce(text,'') AS text FROM documents),

@@ -13,6 +13,7 @@ from tessera.llm.media import media_columns
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import ngram_jaccard_components
 from tessera.llm.packing import pack_documents
+from tessera.llm.pii import KINDS, find_personal_data, span_text
 from tessera.llm.sharding import assign_shards
 from tessera.llm.topk import top_k
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
@@ -56,6 +57,13 @@ def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(documents(spark, sf_dir))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    spans = F.array_sort(F.array_distinct(F.concat("base", "added")))
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(spans).alias("spans"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
 
@@ -74,6 +82,7 @@ QUERIES = {
     "op5_toxicity_fm": op5_toxicity_fm,
     "op6_kd_tree_top_k": op6_kd_tree_top_k,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
+    "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_mixture": op10_language_mixture,
 }

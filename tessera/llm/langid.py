@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Buckets of hashed n-grams; each language has one log-likelihood a bucket.
 BUCKETS = 1 << 18
@@ -136,10 +137,11 @@ def mixture(keys: np.ndarray, counts: np.ndarray, model: Model, *, penalty: floa
     return out, best / total
 
 
-def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """Language mixture of every whole text.
 
-    Returns ``key``, lang_pred (the language with the largest proportion),
+    Returns ``key`` (with ``keep`` the whole row instead, as the struct ``row``),
+    lang_pred (the language with the largest proportion),
     score (that proportion), langs and proportions (the chosen set, largest
     first). A null text, one without letters, or a model without languages
     gives ``und`` with score 0 and no languages. Only ``text`` is looked at.
@@ -164,9 +166,10 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
             kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch["k"], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["k", "lang_pred", "score", "langs", "proportions"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), letters(F.col(text)).cast("binary").alias("words"))
-    return rows.mapInArrow(run, f"k {kind}, lang_pred string, score double, langs array<string>, proportions array<double>").withColumnRenamed("k", key)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.col(key)
+    rows = docs.select(whole.alias("k"), letters(F.col(text)).cast("binary").alias("words"))
+    schema = T.StructType([rows.schema["k"], *T._parse_datatype_string("lang_pred string, score double, langs array<string>, proportions array<double>").fields])
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", "row" if keep else key)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

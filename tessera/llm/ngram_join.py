@@ -289,3 +289,22 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
     merged = merged.join(merged.groupBy("root").agg(F.min("rep").alias("low")), "root").select("cls", "low")
     owners = classes.join(merged, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
     return signed.drop("keys").join(owners, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one document of each group of ngram_jaccard_components(), the
+    one of the smallest doc_id; all columns stay.
+
+    Rows of one doc_id are one document: where an id repeats, one row of it stays.
+    Documents without shingles all stay. The ids that go are sent to all executors
+    up to BROADCAST_ROWS of them, and joined by shuffle beyond that.
+    """
+    groups = materialize(ngram_jaccard_components(docs, **how), "components")
+    gone = materialize(groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    small = gone.count() <= BROADCAST_ROWS
+    left = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["gone"], "left_anti")
+    again = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "again")
+    if again.isEmpty():
+        return left
+    same = left["doc_id"].eqNullSafe(again["again"])
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

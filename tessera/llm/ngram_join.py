@@ -287,7 +287,8 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select("b", "b").distinct())
     merged = classes.join(roots.withColumnRenamed("node", "cls"), "cls")
     merged = merged.join(merged.groupBy("root").agg(F.min("rep").alias("low")), "root").select("cls", "low")
-    owners = classes.join(merged, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
+    # written first, so that the join with all rows has plain exchanges, which AQE splits where one class is hot
+    owners = materialize(classes.join(merged, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low")), "owners")
     return signed.drop("keys").join(owners, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 

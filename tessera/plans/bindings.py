@@ -67,11 +67,11 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     fn = lambda c: F.concat(F.col(c), F.lit("_"), F.pmod(F.col("user_id"), F.lit(40)))
-    e = table(spark, sf_dir, "events").withColumn("next_type", F.lead("event_type").over(w)).where("next_type is not null and event_type <> next_type and pmod(event_id, 3) = 0")
+    e = table(spark, sf_dir, "events").withColumn("next_type", F.lead("event_type").over(w)).where("next_type is not null and event_type <> next_type")
     return e.select(F.concat(F.lit("function:"), fn("event_type")).alias("caller"), F.concat(F.lit("function:"), F.col("next_type"), F.lit("_"), F.pmod(F.col("user_id") + F.col("event_id") % 2, F.lit(40))).alias("callee")).groupBy("caller", "callee").agg(F.count("*").alias("n"))
 
 
 CALLS_SQL = """calls AS (
   SELECT 'function:' || event_type || '_' || (user_id % 40) AS caller, 'function:' || next_type || '_' || ((user_id + event_id % 2) % 40) AS callee, count(*) AS n
   FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events)
-  WHERE next_type IS NOT NULL AND event_type <> next_type AND event_id % 3 = 0 GROUP BY 1, 2)"""
+  WHERE next_type IS NOT NULL AND event_type <> next_type GROUP BY 1, 2)"""

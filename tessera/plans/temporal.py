@@ -106,22 +106,22 @@ def _(spark, d):
     return op.refine_plan(op.supersession_candidates(raw).select("fact_id", F.lit(2).alias("rank")).unionByName(again), 5000, 4000)
 
 
-@register("fact_retired_anti_join", f"""WITH {RAW_FACTS_SQL}, now_extracted AS (SELECT * FROM raw_facts WHERE fact_id % 10 <> 3)
+@register("fact_retired_anti_join", f"""WITH {RAW_FACTS_SQL}, now_extracted AS (SELECT * FROM raw_facts WHERE valid_from >= TIMESTAMP '{T1}')
   SELECT fact_id, 'retired_' || substr(sha256(subject || '|' || predicate || '|' || object || '|' || source), 1, 12) AS closing_object FROM raw_facts a
   WHERE NOT EXISTS (SELECT 1 FROM now_extracted e WHERE e.subject = a.subject AND e.predicate = a.predicate AND e.object = a.object AND e.source = a.source)""")
 def _(spark, d):
     raw = raw_facts(spark, d)
-    return op.retired(raw, raw.where("pmod(fact_id, 10) <> 3")).select("fact_id", "closing_object")
+    return op.retired(raw, raw.where(F.col("valid_from") >= ts(T1))).select("fact_id", "closing_object")
 
 
-@register("source_changes", """WITH b AS (SELECT source, sha256(string_agg(text, '|' ORDER BY doc_id)) AS hash FROM documents WHERE doc_id % 9 <> 0 GROUP BY 1),
-  a AS (SELECT source, sha256(string_agg(text, '|' ORDER BY doc_id)) AS hash FROM documents WHERE source <> 'src1' GROUP BY 1)
+@register("source_changes", f"""WITH {RAW_FACTS_SQL}, h AS (SELECT subject AS source, valid_from < TIMESTAMP '2024-01-02 00:00:00' AS early, sha256(string_agg(predicate || object, '|' ORDER BY predicate, object, fact_id)) AS hash FROM raw_facts
+    WHERE valid_from < TIMESTAMP '2024-01-02 00:00:00' OR valid_from >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2), b AS (SELECT * FROM h WHERE early), a AS (SELECT * FROM h WHERE NOT early)
   SELECT coalesce(a.source, b.source) AS source, CASE WHEN b.hash IS NULL THEN 'added' WHEN a.hash IS NULL THEN 'removed' WHEN a.hash <> b.hash THEN 'changed' ELSE 'same' END AS change FROM b FULL JOIN a ON a.source = b.source""")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    # per-source digest of the rows' own digests would be kinder to huge sources; here it is the texts themselves
-    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "|"), 256).alias("hash")
-    return op.source_changes(docs.where("pmod(doc_id, 9) <> 0").groupBy("source").agg(digest), docs.where("source <> 'src1'").groupBy("source").agg(digest))
+    rows = raw_facts(spark, d).withColumnRenamed("source", "feed").withColumnRenamed("subject", "source")
+    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("predicate", "object", "fact_id"))), lambda x: F.concat(x["predicate"], x["object"])), "|"), 256).alias("hash")
+    before, after = rows.where(F.col("valid_from") < ts("2024-01-02 00:00:00")), rows.where(F.col("valid_from") >= ts("2024-01-30 00:00:00"))
+    return op.source_changes(before.groupBy("source").agg(digest), after.groupBy("source").agg(digest))
 
 
 @register("fact_batch_dedupe", f"WITH {RAW_FACTS_SQL} SELECT subject, predicate, object, min(fact_id) AS fact_id, count(*) - 1 AS repeats FROM raw_facts GROUP BY 1, 2, 3")
@@ -168,20 +168,20 @@ def _(spark, d):
 
 
 @register("conversation_consolidation", f"""WITH {RAW_FACTS_SQL}, a AS (SELECT * FROM raw_facts WHERE valid_from < TIMESTAMP '{T1}'),
-  h AS (SELECT subject, predicate, arg_max(object, (valid_from, fact_id)) AS held FROM a GROUP BY 1, 2), c AS (SELECT fact_id, subject, predicate, CASE WHEN fact_id % 11 = 0 THEN NULL ELSE object END AS object FROM raw_facts WHERE valid_from >= TIMESTAMP '{T1}')
+  h AS (SELECT subject, predicate, arg_max(object, (valid_from, fact_id)) AS held FROM a GROUP BY 1, 2), c AS (SELECT fact_id, subject, predicate, CASE WHEN predicate = 'error' THEN NULL ELSE object END AS object FROM raw_facts WHERE valid_from >= TIMESTAMP '{T1}')
   SELECT c.fact_id, CASE WHEN held IS NULL AND object IS NULL THEN 'NOOP' WHEN held IS NULL THEN 'ADD' WHEN object IS NULL THEN 'DELETE' WHEN object = held THEN 'NOOP' ELSE 'UPDATE' END AS op FROM c LEFT JOIN h USING (subject, predicate)""")
 def _(spark, d):
     raw = raw_facts(spark, d)
-    new = raw.where(F.col("valid_from") >= ts(T1)).withColumn("object", F.when(F.pmod("fact_id", F.lit(11)) == 0, None).otherwise(F.col("object")))
+    new = raw.where(F.col("valid_from") >= ts(T1)).withColumn("object", F.when(F.col("predicate") == "error", None).otherwise(F.col("object")))
     return op.consolidate(new.select("fact_id", "subject", "predicate", "object"), raw.where(F.col("valid_from") < ts(T1))).select("fact_id", "op")
 
 
-@register("fact_provenance_why", _W + f""", ep AS (SELECT DISTINCT source, 'ep-' || source AS episode FROM facts), pr AS (SELECT fact_id, 'p' || fact_id AS proposal FROM facts WHERE fact_id % 5 <> 0)
+@register("fact_provenance_why", _W + f""", ep AS (SELECT DISTINCT source, 'ep-' || source AS episode FROM facts), pr AS (SELECT fact_id, 'p' || fact_id AS proposal FROM facts WHERE predicate <> 'view')
   SELECT f.fact_id, ep.episode, pr.proposal, o.fact_id AS supersedes, f.superseded_by, ({_VALID.format(T1)}) AS valid FROM facts f LEFT JOIN ep USING (source) LEFT JOIN pr ON pr.fact_id = f.fact_id LEFT JOIN (SELECT fact_id, superseded_by AS s FROM facts) o ON o.s = f.fact_id""".replace("valid_from <=", "f.valid_from <=").replace("(valid_until IS", "(f.valid_until IS").replace("OR valid_until >", "OR f.valid_until >"))
 def _(spark, d):
     f = facts(spark, d).withColumn("episode_id", F.col("source"))
     episodes = raw_facts(spark, d).select(F.col("source").alias("episode_id"), F.concat(F.lit("ep-"), "source").alias("episode")).distinct()
-    proposals = raw_facts(spark, d).where("pmod(fact_id, 5) <> 0").select("fact_id", F.concat(F.lit("p"), "fact_id").alias("proposal"))
+    proposals = raw_facts(spark, d).where("predicate <> 'view'").select("fact_id", F.concat(F.lit("p"), "fact_id").alias("proposal"))
     return op.why(f, episodes, proposals, ts(T1)).select("fact_id", "episode", "proposal", "supersedes", "superseded_by", "valid")
 
 

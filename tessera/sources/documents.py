@@ -11,10 +11,10 @@ MOST_SNIPPETS, LEAST_SNIPPET = 64, 12
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*", most_bytes: int = 1 << 20) -> DataFrame:
-    """Files below a folder with digest, size and why they are left out (null: they are not)."""
+    """Files below a folder with digest, size and why they are left out (null: they are not). Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    skip = F.when(F.col("length") > most_bytes, "too_large").when(F.length("content") == 0, "empty")
-    return files.select(F.col("path").alias("source"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("hash"), skip.alias("skipped"), F.when(skip.isNull(), F.decode("content", F.lit("UTF-8"))).alias("text"))
+    skip = F.when(F.col("length") > most_bytes, "too_large")
+    return files.select(F.col("path").alias("source"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("hash"), skip.alias("skipped"), F.when(skip.isNull(), F.decode("content", "UTF-8")).alias("text"))
 
 
 def document_facts(docs: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def feed_items(feeds: DataFrame, most: int = 100) -> DataFrame:
 def read_ledger(spark: SparkSession, path: str, workspace: str) -> DataFrame:
     """Delivery ledger in JSON lines, of one workspace."""
     schema = "workspace string, tool string, delivered bigint, baseline bigint, at timestamp, _corrupt_record string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).cache()
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
     return rows.where(F.col("_corrupt_record").isNull() & (F.col("workspace") == workspace)).drop("_corrupt_record")
 
 

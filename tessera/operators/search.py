@@ -102,3 +102,16 @@ def snippets(docs: DataFrame, words: Sequence[str], *, context: int = 2, per_doc
 def boosted(semantic: Column, keyword: Column, boost: Column) -> Column:
     """Hybrid score of current-truth search."""
     return F.round(0.72 * semantic + 0.23 * keyword + boost, 6)
+
+
+def random_index(docs: DataFrame, key: str, *, dims: int = 256, marks: int = 8) -> DataFrame:
+    """Random-indexing vectors in long form (key, dim, weight), of length 1.
+
+    A term has ``marks`` positions from its SHA-256, each with the sign of the
+    position's parity; a document is the sum of its terms by count."""
+    spots = F.transform(F.sequence(F.lit(0), F.lit(marks - 1)), lambda j: F.conv(F.substring(F.sha2("term", 256), j * 4 + 1, F.lit(4)), 16, 10).cast("bigint"))
+    rows = postings(docs, key).select(key, "tf", F.explode(spots).alias("h"))
+    sign = F.when(F.col("h") % 2 == 0, 1).otherwise(-1)
+    sums = rows.groupBy(key, (F.col("h") % dims).cast("int").alias("dim")).agg(F.sum(F.col("tf") * sign).alias("s")).where("s <> 0")
+    norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("s") * F.col("s")).cast("double")).alias("norm"))
+    return sums.join(norm, key).select(key, "dim", F.round(F.col("s") / F.col("norm"), 6).alias("weight"))

@@ -41,8 +41,9 @@ def edges_as_of(facts: DataFrame, t: Column) -> DataFrame:
 
 def as_of_join(probes: DataFrame, facts: DataFrame, key: Sequence[str] = KEY, at: str = "at") -> DataFrame:
     """Each probe row with the version of its key that held at its time; an equi join and an interval test."""
-    on = [probes[k] == facts[k] for k in key] + [facts["valid_from"] <= probes[at], facts["valid_until"].isNull() | (facts["valid_until"] > probes[at])]
-    return probes.join(facts.drop(), on)
+    right = facts.select(*[F.col(k).alias(f"_{k}") for k in key], *[c for c in facts.columns if c not in key])
+    on = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("valid_from") <= F.col(at), F.col("valid_until").isNull() | (F.col("valid_until") > F.col(at))]
+    return probes.join(right, on).drop(*[f"_{k}" for k in key])
 
 
 def latest_values(facts: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -91,10 +92,11 @@ def supersession_candidates(facts: DataFrame) -> DataFrame:
 def refine_plan(candidates: DataFrame, active: int, target: int) -> DataFrame:
     """Greedy upkeep plan: ids in order of class, counted once, until ``target`` facts stay active.
 
-    The first class that lists an id counts; the cut is a running count over one row an id."""
+    The first class that lists an id counts. The plan has active - target steps at
+    most, which are taken by top-k before they are numbered."""
     first = candidates.groupBy("fact_id").agg(F.min("rank").alias("rank"))
-    steps = first.withColumn("step", F.row_number().over(Window.orderBy("rank", "fact_id")))
-    return steps.where(F.lit(active) - F.col("step") >= target - 0).select("fact_id", "rank", "step", (F.lit(active) - F.col("step")).alias("left"))
+    steps = first.orderBy("rank", "fact_id").limit(max(0, active - target)).withColumn("step", F.row_number().over(Window.orderBy("rank", "fact_id")))
+    return steps.select("fact_id", "rank", "step", (F.lit(active) - F.col("step")).alias("left"))
 
 
 def retired(active: DataFrame, extracted: DataFrame, key: Sequence[str] = ("subject", "predicate", "object", "source")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import cypher
+from tessera.operators import code, cypher
 from tessera.operators import graph as op
 from tessera.plans.bindings import CALLS_SQL, EDGES_SQL, FACTS_SQL, calls, edges, facts, table
 
@@ -177,3 +177,19 @@ def _(spark, d):
 def _(spark, d):
     e = facts(spark, d).select("fact_id", F.col("subject").alias("src"), "predicate", F.col("fact_id").cast("string").alias("dst"), F.ceil("confidence").cast("string").alias("source"))
     return cypher.query(e, "MATCH (a)-[r:view]->(b) WHERE toInteger(r.source) > 50 RETURN toInteger(b.name) AS fact_id")
+
+
+@register("graph_architecture_rank", _E + """, n AS (SELECT src AS node, min(CASE predicate WHEN 'PART_OF' THEN 'class' ELSE 'function' END) AS kind, min(source) AS path FROM edges GROUP BY 1), g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)
+  SELECT node, path, degree, (CASE kind WHEN 'class' THEN 40 ELSE 20 END + least(60, 3 * degree))::BIGINT AS score FROM n JOIN g USING (node) ORDER BY score DESC, node LIMIT 20""")
+def _(spark, d):
+    e = edges(spark, d)
+    nodes = e.groupBy(F.col("src").alias("node")).agg(F.min(F.when(F.col("predicate") == "PART_OF", "class").otherwise("function")).alias("kind"), F.min("source").alias("path"))
+    return code.architecture_rank(nodes, e)
+
+
+@register("graph_search_nodes", _E + """, n AS (SELECT src AS node, min(split_part(src, ':', 1)) AS kind, min(source) AS path FROM edges GROUP BY 1),
+  s AS (SELECT node, round(CASE WHEN list_contains(w, 'nation') OR list_contains(w, '7') THEN len(list_intersect(['nation', '7'], w)) / sqrt((2 * len(w))::DOUBLE) ELSE 0 END * 0.82::DOUBLE, 6) AS score FROM (SELECT node, list_distinct(list_prepend(lower(node), regexp_extract_all(lower(regexp_replace(node, '([A-Za-z])([0-9])', '\\1 \\2', 'g')), '[a-z0-9]+'))) AS w FROM n))
+  SELECT node, node AS label, score FROM s WHERE score > 0 ORDER BY score DESC, node LIMIT 20""")
+def _(spark, d):
+    nodes = edges(spark, d).groupBy(F.col("src").alias("node")).agg(F.min(fn.entity_type(F.col("src"))).alias("kind"), F.min("source").alias("path"))
+    return code.search_graph(nodes.withColumn("label", F.col("node")), ["nation", "7"])

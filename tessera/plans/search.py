@@ -207,3 +207,9 @@ def _(spark, d):
     turns = table(spark, d, "conversations")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", fn.answer_covered(F.col("text"), F.col("answer")).alias("covered"))
+
+
+@register("search_random_index", f"""WITH t AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_T}) AS term FROM benchmark) GROUP BY 1, 2), h AS (SELECT item_id, tf, unnest(list_transform(range(8), lambda j: ('0x' || substr(sha256(term), (j * 4 + 1)::INT, 4))::BIGINT)) AS h FROM t),
+  s AS (SELECT item_id, (h % 256)::INT AS dim, sum(tf * CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END) AS s FROM h GROUP BY 1, 2 HAVING s <> 0), n AS (SELECT item_id, sqrt(sum(s * s)::DOUBLE) AS norm FROM s GROUP BY 1) SELECT item_id, dim, round(s / norm, 6) AS weight FROM s JOIN n USING (item_id)""")
+def _(spark, d):
+    return op.random_index(table(spark, d, "benchmark"), "item_id")

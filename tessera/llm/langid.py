@@ -35,7 +35,8 @@ class Model:
 
 def letters(text: Column) -> Column:
     """Lower-cased words of a text with one space between; '' if it has no letter."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOT_LETTERS, " "))
+    words = F.trim(F.regexp_replace(F.lower(text), _NOT_LETTERS, " "))
+    return F.when(text.rlike(r"\p{L}"), words).otherwise("")  # marks alone are no letters
 
 
 def gram_counts(words: bytes) -> tuple[np.ndarray, np.ndarray]:

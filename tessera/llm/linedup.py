@@ -2,78 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
 #: What a variable field becomes; tokens that hold a digit are variable from the start.
 ANY = "<*>"
+#: Rows up to which a written table of keys (some tens of bytes each) is sent to all executors.
+SENT_ROWS = 500_000
 
 
-def _lines(docs: DataFrame, lead: int) -> DataFrame:
-    """A row a line: document (doc_id, th), n, tokens, and the hash of the line's
-    leaf: its number of tokens and its ``lead`` leading tokens."""
-    masked = F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", ANY)
-    tokens = F.regexp_extract_all(masked, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = lines.select("doc_id", "th", "n", tokens.alias("tokens"))
-    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, lead)))
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row a document with its lines of words: (doc_id, th, lines), each line (n, words), words
+    masked and one space apart; th is the hash of the text."""
+    space = r"[\x20\x09-\x0D]"
+    # a token with a digit, from its start: possessive, so linear in the token
+    field = rf"(?<!{space.replace('[', '[^')})[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, field, ANY)).otherwise(x)
+    words = lambda x: F.trim(F.regexp_replace(masked(x), space + "+", " "))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("n"), words(x).alias("words")))
+    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), lines.alias("lines"))
 
 
-def _recurring(rows: DataFrame, template: str, min_docs: int) -> DataFrame:
-    """Templates of ``rows`` (template, th, f1, f2) that recur across documents."""
-    held = rows.select(template, "th", "f1", "f2").distinct()
-    often = held.groupBy(template).agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
-    kinds = held.join(often, template).groupBy(template, "texts").agg(F.count_distinct("f1").alias("k1"), F.count_distinct("f2").alias("k2"))
+def _tokens(words: Column) -> Column:
+    return F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1
+
+
+def _recurring(rows: DataFrame, min_docs: int) -> DataFrame:
+    """Templates t of ``rows`` (t, th, f1, f2) that recur across documents.
+
+    Row counts leave out most templates before texts and families are counted."""
+    often = rows.groupBy("t").agg(F.count("*").alias("rows"), F.min("th").alias("a"), F.max("th").alias("z")).where((F.col("rows") >= min_docs) & (F.col("a") < F.col("z")))
+    held = rows.join(often.select("t"), "t").select("t", "th", "f1", "f2").distinct()
+    kinds = held.groupBy("t").agg(F.count("*").alias("texts"), F.count_distinct("f1").alias("k1"), F.count_distinct("f2").alias("k2"))
     families = F.greatest("k1", "k2")
-    return kinds.where((families >= min_docs) & (families * 5 >= F.col("texts"))).select(template)
+    return kinds.where((families >= min_docs) & (families * 5 >= F.col("texts"))).select("t")
 
 
-def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, lead: int = 3, similarity: float = 0.7) -> DataFrame:
+def _small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """``df``, a written table, sent to all executors if it has ``rows`` rows at most."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, lead: int = 6, similarity: float = 0.7) -> DataFrame:
     """Lines of ``docs`` (doc_id, text) to drop: rows (doc_id, th, n), th the text's hash.
 
-    The tree has fixed depth: number of tokens, then the leading tokens; tokens
-    with a digit are variable. A line's first template is its tokens under that
-    mask. Where that does not recur, the leaf generalises: at each place a token
-    that ``min_docs`` texts of the leaf share stays, any other is a variable
-    field; the template counts if ``similarity`` of its tokens stay.
+    The tree has fixed depth: number of tokens, then the leading tokens, ``lead`` of
+    them or one more than half of a short line's; tokens with a digit are variable. A
+    line's first template is its tokens under that mask. Where that does not recur,
+    the leaf generalises: at each place a token that ``min_docs`` texts of the leaf
+    share stays, any other is a variable field; the template counts if ``similarity``
+    of its tokens stay.
 
     A template recurs if ``min_docs`` families of documents hold it, and those
-    are a fifth of the texts that do. A family has the smallest hash of the leads
-    of its lines in common (the better of two hashes counts), so the copies of one
-    document, exact or near, are one family, and are left to document dedup. The
-    first line of a recurring template, by doc_id (null first), text hash and
-    place, stays. Lines under ``min_tokens`` tokens are never dropped.
+    are a fifth of the texts that do. A family has the smallest hash of the first
+    three tokens of its lines in common (the better of two hashes counts), so the
+    copies of one document, exact or near, are one family, and are left to document
+    dedup. The first line of a recurring template, by doc_id (null first), text hash
+    and place, stays. Lines under ``min_tokens`` tokens are never dropped.
     """
-    lines = _lines(docs, lead).where(F.size("tokens") >= min_tokens)
-    ahead = F.slice("tokens", 1, lead)
-    marked = materialize(
-        lines.select("doc_id", "th", "n", "leaf", F.xxhash64("tokens").alias("t"), F.xxhash64(F.lit("1"), ahead).alias("f1"), F.xxhash64(F.lit("2"), ahead).alias("f2")), "lines"
-    )
-    families = marked.groupBy("th").agg(F.min("f1").alias("f1"), F.min("f2").alias("f2"))
-    marked = marked.drop("f1", "f2")
-    first = materialize(_recurring(marked.join(families, "th"), "t", min_docs), "templates")
-
-    rest = marked.join(first, "t", "left_anti")
-    leaves = rest.groupBy("leaf").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
-    places = materialize(rest.join(leaves, "leaf").select("doc_id", "th", "n", "leaf"), "leaves")
-    keys = [F.col("l.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("l.th") == F.col("p.th"), F.col("l.n") == F.col("p.n")]
-    some = lines.alias("l").join(places.distinct().alias("p"), keys).select("l.doc_id", "l.th", "l.n", "l.leaf", F.posexplode("tokens").alias("pos", "tok"))
+    rows = _lines(docs).withColumn("lines", F.filter("lines", lambda x: _tokens(x["words"]) >= min_tokens)).where(F.size("lines") > 0)
+    smallest = lambda salt: F.array_min(F.transform("lines", lambda x: F.substring(F.md5(F.concat(F.lit(salt), F.substring_index(x["words"], " ", 3)).cast("binary")), 1, 15)))
+    rows = rows.select("doc_id", "th", smallest("1").alias("f1"), smallest("2").alias("f2"), F.inline("lines"))
+    leaf = F.xxhash64(_tokens(F.col("words")), F.call_function("substring_index", F.col("words"), F.lit(" "), F.least(F.lit(lead), (_tokens(F.col("words")) / 2).cast("int") + 1)))
+    family = lambda f: F.conv(f, 16, 10).cast("bigint").alias(f)
+    marked = materialize(rows.select("doc_id", "th", "n", leaf.alias("leaf"), F.xxhash64("words").alias("t"), family("f1"), family("f2")), "lines")
+    first = materialize(_recurring(marked, min_docs), "templates")
+
+    rest = marked.join(_small(first), "t", "left_anti")
+    leaves = rest.groupBy("leaf").agg(F.count("*").alias("rows"), F.min("th").alias("a"), F.max("th").alias("z")).where((F.col("rows") >= min_docs) & (F.col("a") < F.col("z")))
+    leaves = materialize(leaves.select("leaf"), "leaves")
+    places = rest.join(_small(leaves), "leaf")
+    wide = places.groupBy("leaf").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
+    places = materialize(places.join(wide, "leaf").select("doc_id", "th", "n", "leaf", "f1", "f2").distinct(), "places")
+    held = materialize(places.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("n", "leaf", "f1", "f2"))).alias("at")), "holders")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("th")).alias("d").join(_small(held).alias("h"), same("d", "h")).select("d.doc_id", "text", "d.th", "at")
+    texts = texts.dropDuplicates(["doc_id", "th"])
+    again = _lines(texts.select(F.struct("doc_id", "at").alias("doc_id"), "text")).select("doc_id.doc_id", "th", "lines", F.explode("doc_id.at").alias("p"))
+    some = again.select("doc_id", "th", "p.*", F.posexplode(F.split(F.expr("lines[p.n].words"), " ")).alias("pos", "tok"))
     some = materialize(some, "tokens")
     fixed = some.groupBy("leaf", "pos", "tok").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") >= min_docs).select("leaf", "pos", "tok", F.lit(1).alias("kept"))
-    general = some.join(fixed, ["leaf", "pos", "tok"], "left").groupBy("doc_id", "th", "n", "leaf").agg(
+    general = some.join(fixed, ["leaf", "pos", "tok"], "left").groupBy("doc_id", "th", "n", "leaf", "f1", "f2").agg(
         F.xxhash64(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("kept") == 1, F.col("tok")).otherwise(ANY).alias("tok")))), F.col("leaf")).alias("t"),
         F.sum(F.when((F.col("kept") == 1) & (F.col("tok") != ANY), 1).otherwise(0)).alias("same"), F.count("*").alias("all"),
     )
-    general = materialize(general.where(F.col("same") >= F.col("all") * similarity).select("doc_id", "th", "n", "t"), "general")
-    second = _recurring(general.join(families, "th"), "t", min_docs)
+    general = materialize(general.where(F.col("same") >= F.col("all") * similarity).select("doc_id", "th", "n", "t", "f1", "f2"), "general")
 
-    found = marked.join(first, "t").select("doc_id", "th", "n", "t").unionAll(general.join(second, "t").select("doc_id", "th", "n", "t"))
+    found = marked.join(_small(first), "t").select("doc_id", "th", "n", "t").unionAll(general.join(_recurring(general, min_docs), "t").select("doc_id", "th", "n", "t"))
     found = materialize(found, "recurring")
     opening = found.groupBy("t").agg(F.min(F.struct("doc_id", "th", "n")).alias("o"))
-    rows = found.join(opening, "t").where(~(F.struct("doc_id", "th", "n").eqNullSafe(F.col("o"))))
-    return rows.select("doc_id", "th", "n").distinct()
+    out = found.join(opening, "t").where(~(F.struct("doc_id", "th", "n").eqNullSafe(F.col("o"))))
+    return out.select("doc_id", "th", "n").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
@@ -88,6 +109,9 @@ def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """
     gone = dropped_lines(docs.select("doc_id", "text"), **how)
     gone = gone.groupBy("doc_id", "th").agg(F.collect_list("n").alias("gone")).select(F.col("doc_id").alias("i"), "th", "gone")
+    gone = materialize(gone, "gone")
+    lines, docs_hit = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)), F.count("*")).first()
+    gone = F.broadcast(gone) if lines + docs_hit <= SENT_ROWS else gone
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("h", F.xxhash64("row.text"))
     rows = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("th")), "left")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import content, graph, search, temporal
+from tessera.plans import content, governance, graph, search, temporal
 
-MODULES = (temporal, search, graph, content)
+MODULES = (temporal, search, graph, content, governance)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 FLAGSHIP = "fact_current_by_predicate"

@@ -75,15 +75,24 @@ def merge_candidates(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def dense_cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Cosine of each query with every other vector, the ``k`` best. The queries are a stated small set, sent to all tasks."""
+def dense_cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """Cosine of each query with every other vector, the ``k`` best.
+
+    Queries go to all tasks in blocks of about ``block`` rows, one block at a time,
+    so what is sent at once does not grow with the input."""
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
     v = vectors.select("vec_id", F.col("embedding").alias("e"), norm(F.col("embedding")).alias("n"))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), norm(F.col("embedding")).alias("qn"))
     dot = F.aggregate(F.zip_with("e", "qe", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (F.col("n") * F.col("qn")), 6).alias("score"))
+    blocks = max(1, -(-q.count() // block))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = None
+    for i in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = v.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (F.col("n") * F.col("qn")), 6).alias("score"))
+        top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best = top if best is None else best.unionAll(top)
+    return best
 
 
 def snippets(docs: DataFrame, words: Sequence[str], *, context: int = 2, per_doc: int = 3, budget: int = 400) -> DataFrame:

@@ -17,12 +17,19 @@ from tessera.llm.packing import pack_documents
 
 #: A document goes if no language makes up this share of it.
 LEAST_SHARE = 0.5
+#: Rejected documents up to which their keys are sent to all executors (16 bytes each).
+SENT_ROWS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; those without letters (``und``) or without one go."""
-    found = identify(docs, fit_on_folds(docs), keep=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    digest = F.xxhash64("text")
+    keyed = docs.select(F.struct("doc_id", digest.alias("th")).alias("id"), "text")
+    found = identify(keyed, fit_on_folds(docs), key="id")
+    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select(F.col("id.doc_id").alias("gone_id"), F.col("id.th").alias("gone_th"))
+    gone = materialize(gone.distinct(), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_th"]), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

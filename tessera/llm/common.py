@@ -20,6 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and Python: a batch of long texts stays small.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to BATCH_BYTES, so that the memory of a task
+    does not follow the lengths of the texts; a smaller setting is left as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").strip().lower()
+    number, unit = int(now.rstrip("bkmg") or 0), now.lstrip("-0123456789") or "b"
+    if not 0 < number * {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit[0]] <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

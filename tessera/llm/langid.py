@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import bound_batches
+
 #: Buckets of hashed n-grams; each language has one log-likelihood a bucket.
 BUCKETS = 1 << 18
 #: n-grams are runs of these many bytes of lower-cased words with a space at either end.
@@ -167,6 +169,7 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
             kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch["k"], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["k", "lang_pred", "score", "langs", "proportions"])
 
+    bound_batches(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.col(key)
     rows = docs.select(whole.alias("k"), letters(F.col(text)).cast("binary").alias("words"))
     schema = T.StructType([rows.schema["k"], *T._parse_datatype_string("lang_pred string, score double, langs array<string>, proportions array<double>").fields])

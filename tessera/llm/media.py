@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bound_batches
+
 RATE, PAD = 8000, 64
 #: Samples a frame, samples from frame to frame, frames that are transformed at a time.
 FRAME, HOP, BLOCK = 256, 128, 4096
@@ -123,6 +125,7 @@ def media_columns(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
                     names=["k", "n_bytes", "media", "payload", "fingerprint"],
                 )
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     return rows.mapInArrow(run, MEDIA.format(kind=kind)).withColumnRenamed("k", key)

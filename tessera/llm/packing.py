@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bound_batches, materialize
 
 #: Pieces that one task packs. Sequences are never shared between blocks.
 BLOCK = 100_000
@@ -186,6 +186,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
                     names=["doc_id", "rid", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, PIECES)
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bound_batches, materialize
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -198,6 +198,7 @@ def find_personal_data(docs: DataFrame, *, rounds: int = 3, least_seeds: int = 5
     doc_id is an id like others. An empty table gives an empty result; other columns
     are ignored. All counts cover all documents.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     mention = "array<struct<start:int,kind:int,end:int,known:boolean,pattern:bigint,instance:bigint>>"

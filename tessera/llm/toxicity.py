@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bound_batches
+
 #: Buckets of hashed terms, and length of a term's factor vector.
 BUCKETS, RANK = 1 << 18, 4
 #: Labelled documents, and terms of one of them, that the machine is fitted on at most.
@@ -112,6 +114,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sa
                 found = [t if len(t) <= SAMPLE_TERMS else t[np.linspace(0, len(t) - 1, SAMPLE_TERMS).astype(int)] for t in found]
                 yield pa.RecordBatch.from_arrays([part["h"], part["doc_id"], part["y"], pa.array([t.astype("<i4").tobytes() for t in found], pa.binary())], names=["h", "doc_id", "y", "t"])
 
+    bound_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("h", "doc_id", "y", "text")
     rows = texts.mapInArrow(terms, "h bigint, doc_id bigint, y int, t binary").toLocalIterator()
     rows = sorted((r["h"], r["doc_id"], bytes(r["t"]), r["y"]) for r in rows)
@@ -134,6 +137,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, *, key: str = "doc_id", te
             scores = [round(own.score(term_buckets(t)), 9) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["k"], pa.array(scores, pa.float64())], names=["k", "score"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     scored = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, score double")
     return scored.select(F.col("k").alias(key), "score", (F.col("score") >= at).cast("int").alias("predicted"))

@@ -16,12 +16,12 @@ SENT_ROWS = 500_000
 def _lines(docs: DataFrame) -> DataFrame:
     """A row a document with its lines of words: (doc_id, th, lines), each line (n, words), words
     masked and one space apart; th is the hash of the text."""
-    space = r"[\x20\x09-\x0D]"
     # a token with a digit, from its start: possessive, so linear in the token
-    field = rf"(?<!{space.replace('[', '[^')})[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, field, ANY)).otherwise(x)
-    words = lambda x: F.trim(F.regexp_replace(masked(x), space + "+", " "))
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("n"), words(x).alias("words")))
+    field = r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+"
+    words = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(F.trim(x), field, ANY)).otherwise(F.trim(x))
+    spaced = F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")  # matches where white space is not one space already
+    lines = F.transform(F.split(spaced, "\n"), lambda x, i: F.struct(i.alias("n"), words(x).alias("words")))
+    lines = F.transform(lines, lambda x: F.struct(x["n"].alias("n"), x["words"].alias("words"), _tokens(x["words"]).alias("size")))
     return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), lines.alias("lines"))
 
 
@@ -62,10 +62,11 @@ def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, le
     dedup. The first line of a recurring template, by doc_id (null first), text hash
     and place, stays. Lines under ``min_tokens`` tokens are never dropped.
     """
-    rows = _lines(docs).withColumn("lines", F.filter("lines", lambda x: _tokens(x["words"]) >= min_tokens)).where(F.size("lines") > 0)
+    rows = _lines(docs).withColumn("lines", F.filter("lines", lambda x: x["size"] >= min_tokens))
     smallest = lambda salt: F.array_min(F.transform("lines", lambda x: F.substring(F.md5(F.concat(F.lit(salt), F.substring_index(x["words"], " ", 3)).cast("binary")), 1, 15)))
-    rows = rows.select("doc_id", "th", smallest("1").alias("f1"), smallest("2").alias("f2"), F.inline("lines"))
-    leaf = F.xxhash64(_tokens(F.col("words")), F.call_function("substring_index", F.col("words"), F.lit(" "), F.least(F.lit(lead), (_tokens(F.col("words")) / 2).cast("int") + 1)))
+    # the families come before the lines are spread, once a document
+    rows = rows.select("doc_id", "th", smallest("1").alias("f1"), smallest("2").alias("f2"), "lines").select("doc_id", "th", "f1", "f2", F.inline("lines"))
+    leaf = F.xxhash64("size", F.call_function("substring_index", F.col("words"), F.lit(" "), F.least(F.lit(lead), (F.col("size") / 2).cast("int") + 1)))
     family = lambda f: F.conv(f, 16, 10).cast("bigint").alias(f)
     marked = materialize(rows.select("doc_id", "th", "n", leaf.alias("leaf"), F.xxhash64("words").alias("t"), family("f1"), family("f2")), "lines")
     first = materialize(_recurring(marked, min_docs), "templates")
@@ -74,7 +75,8 @@ def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, le
     leaves = rest.groupBy("leaf").agg(F.count("*").alias("rows"), F.min("th").alias("a"), F.max("th").alias("z")).where((F.col("rows") >= min_docs) & (F.col("a") < F.col("z")))
     leaves = materialize(leaves.select("leaf"), "leaves")
     places = rest.join(_small(leaves), "leaf")
-    wide = places.groupBy("leaf").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
+    wide = places.groupBy("leaf").agg(F.count_distinct("th").alias("texts"), F.count_distinct("f1").alias("k1"), F.count_distinct("f2").alias("k2"))
+    wide = wide.where((F.col("texts") >= min_docs) & (F.greatest("k1", "k2") >= min_docs)).select("leaf")  # a template needs as many families
     places = materialize(places.join(wide, "leaf").select("doc_id", "th", "n", "leaf", "f1", "f2").distinct(), "places")
     held = materialize(places.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("n", "leaf", "f1", "f2"))).alias("at")), "holders")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bound_batches, drop_table, materialize
 
 #: Members and shingles of a candidate group that one task holds; larger groups go in pairs of chunks.
 CHUNK_MEMBERS, CHUNK_SHINGLES = 4096, 4_000_000
@@ -87,46 +87,67 @@ def partition_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of ``n`` tokens: the next power of two, 64 at least."""
+    return 1 << max(6, (n - 1).bit_length())
+
+
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 64, np.uint64)
+    b = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
+    return out
+
+
 class SignatureTree:
     """Tree over sets: a node holds the OR of its sets' token bitmaps, the range of
     their sizes, and the most shingles of a set that share a bit with another."""
 
     LEAF, FAN = 16, 8
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.size = np.array([len(s) for s in sets], np.int64)
-        self.sets, self.bits = sets, bits
-        maps = np.zeros((len(sets), bits // 64), np.uint64)
-        for i, s in enumerate(sets):
-            b = (s & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(maps[i], b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
+    def __init__(self, sizes: list[int], maps: np.ndarray):
+        self.size = sizes = np.array(sizes, np.int64)
         self.maps = maps
         self.excess = self.size - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
-        bounds = np.arange(0, len(sets), self.LEAF)
-        level = (np.append(bounds, len(sets)), np.bitwise_or.reduceat(maps, bounds), np.minimum.reduceat(self.size, bounds), np.maximum.reduceat(self.size, bounds), np.maximum.reduceat(self.excess, bounds))
+        bounds = np.arange(0, len(sizes), self.LEAF)
+        level = (np.append(bounds, len(sizes)), np.bitwise_or.reduceat(maps, bounds), np.minimum.reduceat(self.size, bounds), np.maximum.reduceat(self.size, bounds), np.maximum.reduceat(self.excess, bounds))
         self.levels = [level]
         while len(level[1]) > 1:
             at = np.arange(0, len(level[1]), self.FAN)
-            level = (np.append(level[0][at], len(sets)), np.bitwise_or.reduceat(level[1], at), np.minimum.reduceat(level[2], at), np.maximum.reduceat(level[3], at), np.maximum.reduceat(level[4], at))
+            level = (np.append(level[0][at], len(sizes)), np.bitwise_or.reduceat(level[1], at), np.minimum.reduceat(level[2], at), np.maximum.reduceat(level[3], at), np.maximum.reduceat(level[4], at))
             self.levels.append(level)
 
 
 def linked_groups(sets: list[np.ndarray], num: int, den: int, other: list[np.ndarray] | None = None) -> np.ndarray:
     """Group number of each set under the links between ``sets``, or, with
-    ``other``, between a set of ``sets`` and one of ``other`` (numbered behind).
-
-    Both trees are walked together. A pair of nodes is left out if the most that
-    two of their sets can share (bits in common and excess, or the smaller size)
-    is less than a link of their sizes needs, or if all sets of both are in one
-    group already. Sets that remain are intersected exactly.
-    """
+    ``other``, between a set of ``sets`` and one of ``other`` (numbered behind)."""
     every = sets + (other or [])
-    group = np.arange(len(every))
-    if len(every) < 2 or (other is not None and not (sets and other)):
+    bits = 1 << min(16, max(8, int(4 * np.median([len(s) for s in every])).bit_length())) if every else 64
+    side = lambda some: ([len(s) for s in some], np.array([bitmap(s, bits) for s in some]).reshape(len(some), bits // 64))
+
+    def linked(i: int, j: int) -> bool:
+        p, q = every[i], every[j]
+        shared = len(np.intersect1d(p, q, assume_unique=True))
+        return den * shared >= num * (len(p) + len(q) - shared)
+
+    return walk_trees(side(sets), None if other is None else side(other), num, den, linked)
+
+
+def walk_trees(first: tuple, second: tuple | None, num: int, den: int, linked=None) -> np.ndarray:
+    """Group numbers from walking two signature trees, or one with itself, together.
+
+    ``first`` and ``second`` are (sizes, bitmaps). A pair of nodes is left out if the
+    most that two of their sets can share (bits in common and excess, or the smaller
+    size) is less than a link of their sizes needs, or if all sets of both are in one
+    group already. Sets that remain are joined if ``linked`` says so, or, without it,
+    as pairs that may link."""
+    n_first = len(first[0])
+    group = np.arange(n_first + (len(second[0]) if second else 0))
+    if len(group) < 2 or (second is not None and not (n_first and len(second[0]))):
         return group
-    bits = 1 << min(16, max(8, int(4 * np.median([len(s) for s in every])).bit_length()))
-    left = SignatureTree(sets, bits)
-    right, shift = (left, 0) if other is None else (SignatureTree(other, bits), len(sets))
+    left = SignatureTree(*first)
+    right, shift = (left, 0) if second is None else (SignatureTree(*second), n_first)
+    other = second
 
     def one(a: int, b: int) -> bool:
         return (group[a:b] == group[a]).all()
@@ -163,9 +184,7 @@ def linked_groups(sets: list[np.ndarray], num: int, den: int, other: list[np.nda
             i, j = a0 + i, b0 + j
             if group[i] == group[j] or (other is None and j <= i):
                 continue
-            p, q = every[i], every[j]
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            if den * shared >= num * (len(p) + len(q) - shared):
+            if linked is None or linked(i, j):
                 low, high = sorted((group[i], group[j]))
                 group[group == high] = low
     return group
@@ -187,7 +206,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = materialize(small.unionAll(low.select("hi", "m")).distinct(), "links")
+        old, e = e, materialize(small.unionAll(low.select("hi", "m")).distinct(), "links")
+        drop_table(old)
         now = state(e)
         if now == was:
             break
@@ -206,14 +226,61 @@ def _signatures(words: int, num: int, den: int):
                 ids = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
                 keys = [partition_keys(s, num, den).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)])
+                bits = [bitmap(s, width(len(s))).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))],
-                    names=["doc_id", "n", "cls", "keys"],
+                    [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.string()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))],
+                    names=["doc_id", "n", "cls", "bits", "keys"],
                 )
 
     return run
 
 
+def _stars(names: np.ndarray, group: np.ndarray) -> pd.DataFrame:
+    linked = group != np.arange(len(group))
+    return pd.DataFrame({"a": names[linked], "b": names[group[linked]]})
+
+
+def _chunked(members: DataFrame) -> tuple[DataFrame, int, int | None]:
+    """Members (cls, n, root, ...) of groups of two and more with their chunk; how many, and the most chunks of a group."""
+    members = materialize(members, "members")
+    groups = members.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
+    chunks = F.greatest(F.ceil(F.col("c") / CHUNK_MEMBERS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
+    cut = materialize(members.join(groups.select("root", chunks.alias("chunks")), "root").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")), "members")
+    drop_table(members)
+    return cut, *cut.agg(F.count("*"), F.max("chunks")).first()
+
+
+def _tasks(members: DataFrame, *by: str) -> DataFrame:
+    """A row for each pair of chunks (i, j) of its group that a member takes part in."""
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    kept = [c for c in members.columns if c not in ("chunks", "rep", *by)]
+    return members.withColumn("other", other).select(*by, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), *kept)
+
+
+def _by_width(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Members under the width of their own bitmap, and under half of it if a linked set can be that small."""
+    w = (F.length("bits") * 8).cast("int")
+    half = (w > 64) & (F.col("n") * num <= F.lit(den) * w / 2)
+    return members.withColumn("w", F.explode(F.when(half, F.array(w, (w / 2).cast("int"))).otherwise(F.array(w))))
+
+
+def _walk(num: int, den: int):
+    """Groups of sets that may link by their bitmaps alone; wider bitmaps are folded."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        bits, i = int(part["w"].iloc[0]), part["i"].iloc[0]
+        maps = [np.frombuffer(x, np.uint64) for x in part["bits"]]
+        maps = np.array([m if len(m) * 64 == bits else m[: bits // 64] | m[bits // 64 :] for m in maps])
+        sizes, names, chunk = part["n"].to_numpy(), part["cls"].to_numpy(), part["chunk"].to_numpy()
+        order = np.lexsort((maps[:, 0], (np.log(sizes) / -np.log(num / den)).astype(int)))
+        here = order if i == part["j"].iloc[0] else order[chunk[order] == i]
+        there = None if i == part["j"].iloc[0] else order[chunk[order] != i]
+        group = walk_trees((sizes[here], maps[here]), None if there is None else (sizes[there], maps[there]), num, den)
+        return _stars(names[here] if there is None else np.concatenate([names[here], names[there]]), group)
+
+    return run
+
+
 def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Groups of the documents of ``docs`` (doc_id, text) linked at similarity num/den or more.
 
@@ -222,7 +289,9 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
 
     Equal sets form one class. Classes that can link share a key (see
     partition_keys), so the connected groups of classes with common keys hold
-    every link. Each such group is joined in one task by signature trees; a group
+    every link. Signature trees over the bitmaps alone, a bit a token, part each such
+    group into sets that may link; only what is left is joined over its shingles, by
+    signature trees again and exact intersections. One task takes a group; a group
     over CHUNK_MEMBERS sets or CHUNK_SHINGLES shingles is cut by hash into
     chunks, and every pair of chunks is joined in a task of its own, so memory is
     bounded and no link is lost. Tasks return group numbers, never pairs.
@@ -232,10 +301,11 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
     A null doc_id never becomes a component's id unless no other member has one.
     An empty table gives an empty result. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(texts.mapInArrow(_signatures(words, num, den), "doc_id bigint, n bigint, cls string, keys array<bigint>"), "signatures")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    classes = materialize(classes, "classes")
+    signed = materialize(texts.mapInArrow(_signatures(words, num, den), "doc_id bigint, n bigint, cls string, bits binary, keys array<bigint>"), "signatures")
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("bits").alias("bits"))
+    classes, rows = materialize(classes, "classes"), materialize(signed.select("doc_id", "n", "cls"), "rows")
 
     # one exchange by key serves both the search for keys of several classes and the look-up of their smallest class
     short = F.conv(F.substring("cls", 1, 15), 16, 10).cast("bigint")
@@ -243,13 +313,11 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
     common = keyed.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("key", "b")
     edges = keyed.join(common.hint("shuffle_hash"), "key").where("a <> b").select("a", "b").distinct()
     rough = connected_components(edges)
+    drop_table(signed)  # the keys have served
 
-    members = materialize(classes.withColumn("node", short).join(rough, "node").select("cls", "rep", "n", "root"), "members")
-    groups = members.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
-    chunks = F.greatest(F.ceil(F.col("c") / CHUNK_MEMBERS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
-    members = members.join(groups.select("root", chunks.alias("chunks")), "root")
-    members = materialize(members.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")), "members")
-    count, most = members.agg(F.count("*"), F.max("chunks")).first()
+    members, _, _ = _chunked(classes.withColumn("node", short).join(rough, "node").select("cls", "rep", "n", "bits", "root"))
+    near = connected_components(_tasks(_by_width(members, num, den), "root", "w").groupBy("root", "w", "i", "j").applyInPandas(_walk(num, den), "a string, b string"))
+    members, count, most = _chunked(classes.drop("bits").join(near.withColumnRenamed("node", "cls"), "cls").select("cls", "rep", "n", "root"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,9 +328,7 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
 
     wanted = F.broadcast(members) if count <= BROADCAST_ROWS else members
     found = texts.alias("t").join(wanted.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.rep"))).select("m.cls", "root", "chunks", "chunk", "text")
-    found = found.mapInArrow(sets_of, "cls string, root bigint, chunks int, chunk int, data binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    tasks = found.withColumn("other", other).select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "cls", "data")
+    found = found.mapInArrow(sets_of, "cls string, root string, chunks int, chunk int, data binary")
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("cls")
@@ -273,13 +339,12 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
         if i == part["j"].iloc[0]:
             group = linked_groups(sets, num, den)
         else:
-            near, far = np.flatnonzero(chunk == i), np.flatnonzero(chunk != i)
-            names = np.concatenate([names[near], names[far]])
-            group = linked_groups([sets[k] for k in near], num, den, [sets[k] for k in far])
-        linked = group != np.arange(len(group))
-        return pd.DataFrame({"a": names[linked], "b": names[group[linked]]})
+            here, there = np.flatnonzero(chunk == i), np.flatnonzero(chunk != i)
+            names = np.concatenate([names[here], names[there]])
+            group = linked_groups([sets[k] for k in here], num, den, [sets[k] for k in there])
+        return _stars(names, group)
 
-    links = tasks.groupBy("root", "i", "j").applyInPandas(join, "a string, b string")
+    links = _tasks(found, "root").groupBy("root", "i", "j").applyInPandas(join, "a string, b string")
     if (most or 1) > 1:
         roots = connected_components(links)
     else:  # every group was joined in one task: its links are stars already
@@ -289,7 +354,7 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
     merged = merged.join(merged.groupBy("root").agg(F.min("rep").alias("low")), "root").select("cls", "low")
     # written first, so that the join with all rows has plain exchanges, which AQE splits where one class is hot
     owners = materialize(classes.join(merged, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low")), "owners")
-    return signed.drop("keys").join(owners, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    return rows.join(owners, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:

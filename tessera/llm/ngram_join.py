@@ -358,19 +358,32 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each group of ngram_jaccard_components(), the
-    one of the smallest doc_id; all columns stay.
-
-    Rows of one doc_id are one document: where an id repeats, one row of it stays.
-    Documents without shingles all stay. The ids that go are sent to all executors
-    up to BROADCAST_ROWS of them, and joined by shuffle beyond that.
+    """``docs`` with one row of each group of ngram_jaccard_components(), the one of
+    the smallest doc_id (null last); all columns stay.
+
+    Rows, not ids, are what links join: a row goes by the hash of its id and text,
+    so rows of one id, or without id, stay where their texts link with nothing. Of
+    rows alike in id and text that lead a group, the one with the smallest columns
+    stays. Rows without shingles all stay. The hashes that go are sent to all
+    executors up to BROADCAST_ROWS of them, and joined by shuffle beyond that.
     """
-    groups = materialize(ngram_jaccard_components(docs, **how), "components")
-    gone = materialize(groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    small = gone.count() <= BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["gone"], "left_anti")
-    again = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "again")
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    groups = ngram_jaccard_components(docs.select(row.alias("doc_id"), "text"), **how)
+    groups = materialize(groups.where("n_shingles > 0").select(F.col("doc_id").alias("at"), "component_id"), "components")
+    many = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = materialize(groups.join(many, "component_id").distinct(), "grouped")
+    small = members.count() <= BROADCAST_ROWS
+    sent = lambda df: F.broadcast(df) if small else df
+    # a row of ``held`` for each row of ``docs`` in a group of several
+    held = docs.select("doc_id", row.alias("row")).join(sent(members), F.col("row") == F.col("at")).select("component_id", "doc_id", "at")
+    held = materialize(held, "held")
+    lead = held.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).getField("at").alias("lead"))
+    gone = materialize(members.join(lead, "component_id").where("at <> lead").select(F.col("at").alias("gone")), "gone")
+    left = docs.join(sent(gone), row == gone["gone"], "left_anti")
+    again = held.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").join(gone, F.col("at") == F.col("gone"), "left_anti")
+    again = materialize(again.select(F.col("at").alias("again")), "again")
     if again.isEmpty():
         return left
-    same = left["doc_id"].eqNullSafe(again["again"])
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    alike = left.join(sent(again), row == again["again"], "left_semi").select(row.alias("at"), whole.alias("row")).groupBy("at").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.join(sent(again), row == again["again"], "left_anti").unionByName(alike.select("row.*"))

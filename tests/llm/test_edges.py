@@ -123,6 +123,15 @@ def test_ngram_join(odd, empty):
     assert ngram_join.ngram_jaccard_components(empty).count() == 0
 
 
+def test_near_duplicates_drop_rows_not_ids(spark):
+    a, b, c = ("the first text of eight words is here", "another text that links with nothing at all", "a third one that is held by several rows")
+    rows = [(None, a, "x"), (None, b, "x"), (None, a, "y"), (1, c, "x"), (1, b + " but longer by far than it was", "x"), (2, c, "x"), (3, a, "x"), (4, c, "x"), (4, "only here and nowhere else in the table", "x"), (None, "", "x"), (None, None, "x"), (5, "twice the same row it is", "z"), (5, "twice the same row it is", "y")]
+    left = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), words=3, num=80)
+    gone = [(None, a, "x"), (None, a, "y"), (2, c, "x"), (4, c, "x"), (5, "twice the same row it is", "z")]
+    assert left.columns == ["doc_id", "text", "source"]
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(r) for r in rows if r not in gone)
+
+
 def test_top_k(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, None), (7, [None, 1.0]), (None, [9.0, 9.0]), (8, [1.0, 0.0]), (8, [1.0, 0.0])]

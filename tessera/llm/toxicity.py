@@ -50,13 +50,54 @@ def term_buckets(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((_terms[t] for t in found), np.int64, len(found)))
 
 
+def joint_terms(docs: list[np.ndarray], y: np.ndarray, least_docs: int) -> np.ndarray:
+    """Terms of pairs whose documents have the label more, or less, often than those of either term alone.
+
+    All pairs of terms that ``least_docs`` documents share are looked at, a term at a
+    time over the documents that hold it. A pair counts if, against the documents of
+    each of its terms without the other, the log-likelihood ratio of its share of
+    labels passes the logarithm of the number of pairs, so chance gives about one.
+    """
+    names, flat = np.unique(np.concatenate(docs), return_inverse=True)
+    ends = np.cumsum([0, *map(len, docs)])
+    rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    holder = np.repeat(np.arange(len(docs)), np.diff(ends))
+    holder, starts = holder[np.argsort(flat, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(names)))])
+    seen = np.diff(starts)
+    marked = np.bincount(flat, weights=np.repeat(y, np.diff(ends)), minlength=len(names))
+
+    def gain(n, k, n_all, k_all):
+        p, q = k / n, (k_all - k + 0.5) / (n_all - n + 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(k > 0, k * np.log(p / q), 0.0) + np.where(k < n, (n - k) * np.log((1 - p) / (1 - q)), 0.0)
+        return part, p > q
+
+    total, found = 0, []
+    for i in range(len(names)):
+        at = holder[starts[i] : starts[i + 1]]
+        later = [rows[d][np.searchsorted(rows[d], i + 1) :] for d in at]  # a document's terms are sorted
+        n = np.bincount(np.concatenate(later), minlength=len(names))
+        j = np.flatnonzero(n >= least_docs)
+        if not len(j):
+            continue
+        k = np.bincount(np.concatenate([rows[0][:0], *(x for x, d in zip(later, at, strict=True) if y[d])]), minlength=len(names))[j]
+        n, total = n[j], total + len(j)
+        (one, up), (two, high) = gain(n, k, seen[i], marked[i]), gain(n, k, seen[j], marked[j])
+        both = np.where(up == high, np.minimum(one, two), 0.0)
+        few = both > np.log(total)  # the bound only grows
+        found += [(float(g), i, int(x)) for g, x in zip(both[few], j[few], strict=True)]
+    picked = {t for g, i, j in found if g > np.log(total) for t in (i, j)}
+    return names[sorted(picked)]
+
+
 def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: float = 0.2, least_docs: int = 4, least_z: float = 4.0, ridge: float = 1e-4, seed: int = 7) -> Machine:
     """Factorization machine by AdaGrad on the logistic loss, one document at a time.
 
     Terms in fewer than ``least_docs`` documents, or whose share among documents
     with the label lies within ``least_z`` standard errors of that among the rest,
-    keep weight 0: a long text holds thousands of terms that tell nothing, and their
-    noise would add up. Equal rows count once. Rows are visited in
+    keep linear weight 0: a long text holds thousands of terms that tell nothing, and
+    their noise would add up. For the same reason factors are for the terms with a
+    linear weight and those of joint_terms(), however neutral alone. Equal rows count once. Rows are visited in
     a seeded order, so the result depends on the rows alone. Without rows, or with
     one label only, the bias is the smoothed log-odds and all weights are 0.
     """
@@ -70,7 +111,10 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: f
     marked = np.bincount(np.concatenate([t for t, label in rows if label]), minlength=BUCKETS)
     share, few, many = (seen + 1.0) / (len(y) + 2.0), y.sum(), len(y) - y.sum()
     z = ((marked + 0.5) / (few + 1.0) - (seen - marked + 0.5) / (many + 1.0)) / np.sqrt(share * (1 - share) * (1 / few + 1 / many))
-    known = (seen >= least_docs) & (np.abs(z) >= least_z)
+    often = seen >= least_docs
+    alone = often & (np.abs(z) >= least_z)
+    known = alone.copy()
+    known[joint_terms([t[often[t]] for t, _ in rows], y, least_docs)] = True
     docs = [t[known[t]] for t, _ in rows]
     rng = np.random.default_rng(seed)
     factors[known] = rng.normal(0, 0.01, (int(known.sum()), RANK))
@@ -88,7 +132,7 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: f
             bias -= rate * e / np.sqrt(g_bias)
             g = e + ridge * w
             g_linear[t] += g * g
-            linear[t] = w - rate * g / np.sqrt(g_linear[t])
+            linear[t] = np.where(alone[t], w - rate * g / np.sqrt(g_linear[t]), 0.0)
             g = e * (s - v) + ridge * v
             g_factors[t] += g * g
             factors[t] = v - rate * 0.5 * g / np.sqrt(g_factors[t])

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import langid, media, ngram_join, packing, pii, queries, topk
+from tessera.llm import langid, media, ngram_join, packing, pii, queries, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 random.seed(3)
@@ -196,3 +196,15 @@ def test_toxicity_held_out(spark):
     out = [r for r in queries.op5_toxicity_fm(spark, sf).collect() if r.held_out and r.doc_id in marks]
     toxic, clean = [r.score for r in out if marks[r.doc_id]], [r.score for r in out if not marks[r.doc_id]]
     assert np.mean([t > c for t in toxic for c in clean]) > 0.9
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_toxicity_of_terms_neutral_alone(seed):
+    rng, rows = np.random.default_rng(seed), []
+    for _ in range(3000):
+        insult, group = rng.random() < 0.05, rng.random() < 0.05
+        terms = {*rng.integers(100, 2100, 20).tolist(), *([1] if insult else []), *([2] if group else [])}
+        rows.append((np.array(sorted(terms)), int((insult and group) or rng.random() < 0.1)))
+    machine = toxicity.fit_machine(rows)
+    both, one, two = (machine.score(np.array([*t, 500, 700, 900])) for t in ((1, 2), (1,), (2,)))
+    assert both > 0.5 > 0.3 > max(one, two)

@@ -14,12 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, materialize
+from tessera.llm.common import bound_batches, frugal, materialize, regrouped
 
 #: Pieces that one task packs. Sequences are never shared between blocks.
 BLOCK = 100_000
-#: Distinct chunks a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of chunks and their ids that a worker remembers before it starts anew.
+REMEMBERED_BYTES = 16 << 20
+
+#: Bytes of texts that are encoded together: the more, the fewer distinct chunks a byte.
+TOGETHER = 12 << 20
 
 FAR = np.iinfo(np.int64).max
 PIECES = "doc_id bigint, rid bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
@@ -30,10 +33,11 @@ class ChunkEncoder:
 
     The pre-tokenizer never joins text across a space that stands between two
     visible characters, so a text's ids are those of its space-separated chunks
-    (each with its space), one after the other. Chunks recur, so each worker
-    keeps the ids of those it has met, up to REMEMBERED of them. Texts where a
-    space touches other white space, or that hold a special token, are encoded
-    whole.
+    (each with its space), one after the other. Chunks recur: each batch of texts
+    is encoded by its distinct ones, and those it holds twice or more are
+    remembered, up to REMEMBERED_BYTES. Texts where a space touches other white
+    space, that hold a special token, or a chunk that does not open with one token
+    of a space, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -46,21 +50,41 @@ class ChunkEncoder:
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # the byte-level sign for a space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = r"^\s|\s$|\s\s" + "".join("|" + "".join("\\" + c if not c.isalnum() else c for c in t) for t in self.special)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learnt(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of each chunk behind a space; None if they do not stand alone."""
+        out: list[bytes | None] = []
         for at in range(0, len(chunks), 512):
             some = chunks[at : at + 512]
             (ids,) = self.whole([" " + " ".join(some)])
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some):
-                raise AssertionError("a chunk does not open with one token of a space")
-            data, cuts = ids.tobytes(), (4 * starts).tolist()
-            for chunk, a, b in zip(some, cuts, [*cuts[1:], len(data)], strict=True):
-                self.known[chunk] = data[a:b]
+            if len(starts) == len(some) and starts[0] == 0:
+                data, cuts = ids.tobytes(), (4 * starts).tolist()
+                out += [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+            elif len(some) == 1:
+                out.append(None)
+            else:
+                half = len(some) // 2
+                out += self._learnt(some[:half]) + self._learnt(some[half:])
+        return out
+
+    def _ids(self, chunks: list[str], often: np.ndarray) -> list[bytes | None]:
+        if self.held > REMEMBERED_BYTES:
+            self.known.clear()
+            self.held = 0
+        ids = list(map(self.known.get, chunks))
+        new = [i for i, x in enumerate(ids) if x is None and chunks[i] not in self.known]
+        for i, x in zip(new, self._learnt([chunks[i] for i in new]), strict=True):
+            ids[i] = x
+            if often[i]:
+                self.known[chunks[i]] = x
+                self.held += 200 + len(chunks[i]) + len(x or b"")  # with the objects and the table's entry
+        return ids
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; no nulls."""
@@ -81,22 +105,22 @@ class ChunkEncoder:
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self._learn([c for c in chunks if c not in self.known])
-        ids = [self.known[c] for c in chunks]
-        # the first chunk of a text has no space before it: it is encoded by itself
         index, ends = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
-        ids += [x.tobytes() for x in self.whole([chunks[i] for i in index[ends[:-1]]])]
+        ids = self._ids(chunks, np.bincount(index, minlength=len(chunks)) > 1)
+        alone = {i for i, x in enumerate(ids) if x is None}
+        # the first chunk of a text has no space before it: it is encoded by itself
+        ids = [x or b"" for x in ids] + [x.tobytes() for x in self.whole([chunks[i] for i in index[ends[:-1]]])]
         index[ends[:-1]] = len(chunks) + np.arange(len(easy))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        n = size[index]
-        stop = np.cumsum(n)
-        took = flat[np.arange(stop[-1]) + np.repeat(begin[index] - (stop - n), n)]
-        stop = np.concatenate([[0], stop])[ends].tolist()
+        cuts = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        took = held.take(pa.array(index))
+        stop = took.offsets.to_numpy()[ends].tolist()
+        took = took.flatten().to_numpy()
         for i, a, b in zip(easy.tolist(), stop[:-1], stop[1:], strict=True):
             out[i] = took[a:b]
+        if alone:
+            for k in np.flatnonzero([not alone.isdisjoint(index[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]):
+                (out[easy[k]],) = self.whole([texts[int(k)].as_py()])
         return out
 
 
@@ -114,8 +138,8 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
     An item goes where the sum over gaps of (open bins with that gap) squared
     becomes smallest: into an open bin of some gap, or a new bin. A bin that is
-    full counts no more. Equal sums: the smallest gap; a new bin last. Among
-    bins of one gap the latest opened is used.
+    full counts no more. Equal sums: the smallest gap. Among bins of one gap the
+    latest opened is used.
     """
     count = np.zeros(capacity + 1, dtype=np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -123,12 +147,12 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     for k, s in enumerate(sizes.tolist()):
         gap = capacity
         if s < capacity:
-            # half the change of the sum, less 1, when gap g becomes g - s; a filled bin counts no more
-            change = count[: capacity - s] - count[s:capacity]
-            change[0] = -count[s] - 1
+            # the change of the sum when gap g + s becomes g, a filled bin (g = 0) counting no more
+            change = 2 * (count[: capacity - s] - count[s:capacity]) + 2
+            change[0] = 1 - 2 * count[s]
             change[count[s:capacity] == 0] = FAR
             g = int(change.argmin())
-            if change[g] < count[capacity - s]:
+            if change[g] < 2 * count[capacity - s] + 1:  # the change with a new bin, which no other equals
                 gap = g + s
         if gap < capacity:
             b = stacks[gap].pop()
@@ -144,20 +168,22 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each item: sum_of_squares() in the order given; then the
-    bins it leaves open, and for their small items those of three or more, are
-    emptied and their items, longest first, each go to the bin with the smallest
-    gap that holds them."""
+    """Bin and offset of each item: sum_of_squares() in the order given; then a
+    repair of the bins that it leaves open: they are emptied and their items,
+    longest first, each go to the one with the smallest gap that holds them."""
     bins, offsets = sum_of_squares(sizes, capacity)
     if not len(sizes):
         return bins, offsets
-    again = np.flatnonzero(((np.bincount(bins, sizes) < capacity) | (np.bincount(bins) > 2))[bins])
+    again = np.flatnonzero((np.bincount(bins, sizes) < capacity)[bins])
     free = np.unique(bins[again]).tolist()[::-1]
     gaps: list[tuple[int, int]] = []
     for k in again[np.argsort(-sizes[again], kind="stable")].tolist():
         s = int(sizes[k])
         at = bisect.bisect_left(gaps, (s, -1))
-        gap, b = gaps.pop(at) if at < len(gaps) else (capacity, free.pop())
+        if at < len(gaps):
+            gap, b = gaps.pop(at)
+        else:  # longest first by smallest gap may, in theory, need a bin more than there were
+            gap, b = capacity, free.pop() if free else int(bins.max()) + 1
         bins[k], offsets[k] = b, capacity - gap
         if gap > s:
             bisect.insort(gaps, (gap - s, b))
@@ -168,23 +194,22 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     """Pieces of each document: its ids and ``end_id``; one too long is cut into
     full pieces behind a first piece that holds the rest."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                cols = [[], [], [], [], [], [], []]
-                for doc_id, rid, ids in zip(part["doc_id"].to_pylist(), part["rid"].to_pylist(), coder.encode(part["text"]), strict=True):
-                    data, n = ids.tobytes() + end_id.to_bytes(4, "little"), len(ids) + 1
-                    first = (n - 1) % capacity + 1
-                    for piece, start in enumerate([0, *range(first, n, capacity)]):
-                        own = data[4 * start : 4 * (start + capacity if piece else first)]
-                        for c, v in zip(cols, (doc_id, rid, piece, start, len(own) // 4, zlib.crc32(own), own if keep_ids else None), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
-                    names=["doc_id", "rid", "piece", "start", "length", "ids_crc32", "ids"],
-                )
+        for part in regrouped(batches, TOGETHER):
+            cols = [[], [], [], [], [], [], []]
+            for doc_id, rid, ids in zip(part["doc_id"].to_pylist(), part["rid"].to_pylist(), coder.encode(part["text"]), strict=True):
+                data, n = ids.tobytes() + end_id.to_bytes(4, "little"), len(ids) + 1
+                first = (n - 1) % capacity + 1
+                for piece, start in enumerate([0, *range(first, n, capacity)]):
+                    own = data[4 * start : 4 * (start + capacity if piece else first)]
+                    for c, v in zip(cols, (doc_id, rid, piece, start, len(own) // 4, zlib.crc32(own), own if keep_ids else None), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                names=["doc_id", "rid", "piece", "start", "length", "ids_crc32", "ids"],
+            )
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
@@ -199,8 +224,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024
     and offset. Texts become ids where they are read and are not shuffled; the
     small rows of the pieces are dealt by a hash of the row into blocks of about
     ``block`` pieces, and each block is packed by itself, longest pieces first,
-    by the sum-of-squares rule; the pieces of the sequences that it leaves open,
-    or fills with three or more, are placed once more, each where the smallest gap remains. A block's loss is a few open bins, whatever the
+    by the sum-of-squares rule; then the pieces of the sequences that it leaves
+    open (some 8 % of those under ``capacity``) are placed once more among these, each
+    where the smallest gap remains. A block's loss is a few open bins, whatever the
     number of blocks. Every piece is placed; sequence ids are block * 2^32 + bin.
 
     Null and empty texts are one piece with ``end_id`` alone. Repeated rows, and

@@ -66,6 +66,28 @@ def test_sum_of_squares_rule():
     assert max(level.values()) <= 16
 
 
+def test_chunks_that_do_not_open_with_a_space_token(monkeypatch):
+    import pyarrow as pa
+
+    c = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two three", "two four two", "five", "three three one two"]
+    want = [list(x) for x in c.whole(texts)]
+    c.opens[c.whole([" two"])[0][0]] = False  # as if its token did not begin with the space
+    assert c._learnt(["one", "two", "three"])[1] is None
+    assert [list(x) for x in c.encode(pa.array(texts))] == want
+
+
+def test_remembered_chunks_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 2000)
+    c = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(20):
+        texts = [f"a{k}x b{k}x a{k}x b{k}x c{k}", "d e f d e f"]
+        assert [list(x) for x in c.encode(pa.array(texts))] == [list(x) for x in c.whole(texts)]
+    assert len(c.known) < 20
+
+
 def test_media_digests(spark, docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in queries.op2_media_columns(spark, SF).collect():

@@ -68,10 +68,10 @@ def regrouped(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[p
     for batch in batches:
         held.append(batch)
         if sum(b.nbytes for b in held) >= least_bytes:
-            yield pa.concat_batches(held)
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
             held = []
     if held:
-        yield pa.concat_batches(held)
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -5,98 +5,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import drop_table, materialize
 
 #: What a variable field becomes; tokens that hold a digit are variable from the start.
 ANY = "<*>"
-#: Rows up to which a written table of keys (some tens of bytes each) is sent to all executors.
-SENT_ROWS = 500_000
+#: Bytes of a written table of keys up to which it is sent to all executors.
+SENT_BYTES = 8 << 20
+#: Tokens, or characters, from which a line counts as long.
+LONG_TOKENS, LONG_CHARS = 25, 150
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row a document with its lines of words: (doc_id, th, lines), each line (n, words), words
-    masked and one space apart; th is the hash of the text."""
-    # a token with a digit, from its start: possessive, so linear in the token
-    field = r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+"
-    words = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(F.trim(x), field, ANY)).otherwise(F.trim(x))
-    spaced = F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")  # matches where white space is not one space already
-    lines = F.transform(F.split(spaced, "\n"), lambda x, i: F.struct(i.alias("n"), words(x).alias("words")))
-    lines = F.transform(lines, lambda x: F.struct(x["n"].alias("n"), x["words"].alias("words"), _tokens(x["words"]).alias("size")))
-    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), lines.alias("lines"))
-
+def _sent(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table of rows of ``row_bytes`` at most, sent to all executors if that is SENT_BYTES at most."""
+    return F.broadcast(df) if df.count() * row_bytes <= SENT_BYTES else df
 
-def _tokens(words: Column) -> Column:
-    return F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1
 
-
-def _recurring(rows: DataFrame, min_docs: int) -> DataFrame:
-    """Templates t of ``rows`` (t, th, f1, f2) that recur across documents.
-
-    Row counts leave out most templates before texts and families are counted."""
-    often = rows.groupBy("t").agg(F.count("*").alias("rows"), F.min("th").alias("a"), F.max("th").alias("z")).where((F.col("rows") >= min_docs) & (F.col("a") < F.col("z")))
-    held = rows.join(often.select("t"), "t").select("t", "th", "f1", "f2").distinct()
-    kinds = held.groupBy("t").agg(F.count("*").alias("texts"), F.count_distinct("f1").alias("k1"), F.count_distinct("f2").alias("k2"))
-    families = F.greatest("k1", "k2")
-    return kinds.where((families >= min_docs) & (families * 5 >= F.col("texts"))).select("t")
+def _lines(docs: DataFrame, min_tokens: int, min_chars: int, lead: int) -> DataFrame:
+    """A row a line that has a word: doc_id, th (hash of the text), n, t (hash of its words,
+    masked and one space apart), f1 and f2 (hashes of its first three tokens), and, of lines that are
+    long enough to go, leaf (of the tree), long and words."""
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    line = F.col("line")
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    rows = rows.select("doc_id", "th", "n", F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line)).alias("words"))
+    # a token with a digit, from its start: possessive, so linear in the token
+    field = r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+"
+    rows = rows.where("words <> ''").select("doc_id", "th", "n", F.when(F.col("words").rlike("[0-9]"), F.regexp_replace("words", field, ANY)).otherwise(F.col("words")).alias("words"))
+    size = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1
+    rows = rows.select("doc_id", "th", "n", "words", size.alias("size"), F.length("words").alias("chars"), F.md5(F.substring_index("words", " ", 3).cast("binary")).alias("head"))
+    leaf = F.xxhash64("size", F.call_function("substring_index", F.col("words"), F.lit(" "), F.least(F.lit(lead), (F.col("size") / 2).cast("int") + 1)))
+    able = (F.col("size") >= min_tokens) | (F.col("chars") >= min_chars)
+    half = lambda at: F.conv(F.substring("head", at, 15), 16, 10).cast("bigint")
+    return rows.select(
+        "doc_id", "th", "n", F.xxhash64("words").alias("t"), half(1).alias("f1"), half(16).alias("f2"), F.when(able, leaf).alias("leaf"),
+        (able & ((F.col("size") >= LONG_TOKENS) | (F.col("chars") >= LONG_CHARS))).alias("long"), F.when(able, F.col("words")).alias("words"),
+    )
 
 
-def _small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
-    """``df``, a written table, sent to all executors if it has ``rows`` rows at most."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """Keys of ``rows`` (key, th, f1, f2, long) that recur across families of documents."""
+    kinds = rows.groupBy(key).agg(F.count_distinct("th").alias("texts"), F.count_distinct("f1").alias("k1"), F.count_distinct("f2").alias("k2"), F.max("long").alias("long"))
+    families = F.least("k1", "k2")
+    return kinds.where((families >= F.when(F.col("long"), 2).otherwise(min_docs)) & (families * 5 >= F.col("texts"))).select(key)
 
 
-def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, lead: int = 6, similarity: float = 0.7) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, min_chars: int = 24, lead: int = 6, similarity: float = 0.7) -> DataFrame:
     """Lines of ``docs`` (doc_id, text) to drop: rows (doc_id, th, n), th the text's hash.
 
     The tree has fixed depth: number of tokens, then the leading tokens, ``lead`` of
     them or one more than half of a short line's; tokens with a digit are variable. A
-    line's first template is its tokens under that mask. Where that does not recur,
-    the leaf generalises: at each place a token that ``min_docs`` texts of the leaf
-    share stays, any other is a variable field; the template counts if ``similarity``
-    of its tokens stay.
-
-    A template recurs if ``min_docs`` families of documents hold it, and those
-    are a fifth of the texts that do. A family has the smallest hash of the first
-    three tokens of its lines in common (the better of two hashes counts), so the
-    copies of one document, exact or near, are one family, and are left to document
-    dedup. The first line of a recurring template, by doc_id (null first), text hash
-    and place, stays. Lines under ``min_tokens`` tokens are never dropped.
+    line's first template is its tokens under that mask. Then each leaf with several
+    templates generalises: a token that ``min_docs`` texts (two, of long lines) have at
+    its place stays, any other is a variable field. Templates of which ``similarity``
+    of the tokens stay are alike, and a place that is variable in one of them is
+    variable in all of the leaf, as long as that share still stays.
+
+    A template recurs if ``min_docs`` families of documents hold it, two if it is long,
+    and those are a fifth of the texts that do. A family is told by the lines that no
+    other text has: it is the smallest hash of the first three tokens of such a line
+    (of two hashes the one that makes fewer families counts), so lines that are
+    shared say nothing of it, while the copies of one document, exact or near, are one
+    family, and are left to document dedup. A text all of whose lines are shared has no
+    family; one that has a single template is a family by itself. The first line of a
+    recurring template, by doc_id (null first), text hash and place, stays. Lines under
+    both ``min_tokens`` tokens and ``min_chars`` characters are never dropped.
     """
-    rows = _lines(docs).withColumn("lines", F.filter("lines", lambda x: x["size"] >= min_tokens))
-    smallest = lambda salt: F.array_min(F.transform("lines", lambda x: F.substring(F.md5(F.concat(F.lit(salt), F.substring_index(x["words"], " ", 3)).cast("binary")), 1, 15)))
-    # the families come before the lines are spread, once a document
-    rows = rows.select("doc_id", "th", smallest("1").alias("f1"), smallest("2").alias("f2"), "lines").select("doc_id", "th", "f1", "f2", F.inline("lines"))
-    leaf = F.xxhash64("size", F.call_function("substring_index", F.col("words"), F.lit(" "), F.least(F.lit(lead), (F.col("size") / 2).cast("int") + 1)))
-    family = lambda f: F.conv(f, 16, 10).cast("bigint").alias(f)
-    marked = materialize(rows.select("doc_id", "th", "n", leaf.alias("leaf"), F.xxhash64("words").alias("t"), family("f1"), family("f2")), "lines")
-    first = materialize(_recurring(marked, min_docs), "templates")
-
-    rest = marked.join(_small(first), "t", "left_anti")
-    leaves = rest.groupBy("leaf").agg(F.count("*").alias("rows"), F.min("th").alias("a"), F.max("th").alias("z")).where((F.col("rows") >= min_docs) & (F.col("a") < F.col("z")))
-    leaves = materialize(leaves.select("leaf"), "leaves")
-    places = rest.join(_small(leaves), "leaf")
-    wide = places.groupBy("leaf").agg(F.count_distinct("th").alias("texts"), F.count_distinct("f1").alias("k1"), F.count_distinct("f2").alias("k2"))
-    wide = wide.where((F.col("texts") >= min_docs) & (F.greatest("k1", "k2") >= min_docs)).select("leaf")  # a template needs as many families
-    places = materialize(places.join(wide, "leaf").select("doc_id", "th", "n", "leaf", "f1", "f2").distinct(), "places")
-    held = materialize(places.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("n", "leaf", "f1", "f2"))).alias("at")), "holders")
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
-    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("th")).alias("d").join(_small(held).alias("h"), same("d", "h")).select("d.doc_id", "text", "d.th", "at")
-    texts = texts.dropDuplicates(["doc_id", "th"])
-    again = _lines(texts.select(F.struct("doc_id", "at").alias("doc_id"), "text")).select("doc_id.doc_id", "th", "lines", F.explode("doc_id.at").alias("p"))
-    some = again.select("doc_id", "th", "p.*", F.posexplode(F.split(F.expr("lines[p.n].words"), " ")).alias("pos", "tok"))
-    some = materialize(some, "tokens")
-    fixed = some.groupBy("leaf", "pos", "tok").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") >= min_docs).select("leaf", "pos", "tok", F.lit(1).alias("kept"))
-    general = some.join(fixed, ["leaf", "pos", "tok"], "left").groupBy("doc_id", "th", "n", "leaf", "f1", "f2").agg(
-        F.xxhash64(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("kept") == 1, F.col("tok")).otherwise(ANY).alias("tok")))), F.col("leaf")).alias("t"),
-        F.sum(F.when((F.col("kept") == 1) & (F.col("tok") != ANY), 1).otherwise(0)).alias("same"), F.count("*").alias("all"),
+    lines = materialize(_lines(docs, min_tokens, min_chars, lead), "lines")
+    kinds = lines.groupBy("t").agg(F.min("leaf").alias("leaf"), F.min("th").alias("a"), F.max("th").alias("z"))
+    kinds = materialize(kinds.select("t", "leaf", "a", (F.col("a") < F.col("z")).alias("shared"), "z"), "kinds")
+    leaves = kinds.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")).where("n > 1 and a < z").select("leaf")
+    leaves = materialize(leaves, "leaves")
+    leafy = kinds.join(_sent(leaves, 8), "leaf").select("t", "leaf", "a")
+    wanted = kinds.where("shared").select("t", "shared").unionAll(leafy.select("t", F.lit(False))).groupBy("t").agg(F.max("shared").alias("shared"))
+    wanted, leafy = materialize(wanted, "wanted"), materialize(leafy, "leafy")
+
+    # a row a text: its family, and those of its templates that may recur
+    own = lambda f: F.min(F.when(F.coalesce("shared", F.lit(False)), None).otherwise(F.col(f)))
+    texts = lines.select("th", "t", "f1", "f2", "long", F.col("leaf").isNotNull().alias("able")).join(_sent(wanted, 9), "t", "left").groupBy("th").agg(
+        own("f1").alias("f1"), own("f2").alias("f2"), F.min("t").alias("lo"), F.max("t").alias("hi"),
+        F.collect_set(F.when(F.col("able") & F.col("shared").isNotNull(), F.struct("t", "long", "shared"))).alias("held"),
     )
-    general = materialize(general.where(F.col("same") >= F.col("all") * similarity).select("doc_id", "th", "n", "t", "f1", "f2"), "general")
-
-    found = marked.join(_small(first), "t").select("doc_id", "th", "n", "t").unionAll(general.join(_recurring(general, min_docs), "t").select("doc_id", "th", "n", "t"))
-    found = materialize(found, "recurring")
-    opening = found.groupBy("t").agg(F.min(F.struct("doc_id", "th", "n")).alias("o"))
-    out = found.join(opening, "t").where(~(F.struct("doc_id", "th", "n").eqNullSafe(F.col("o"))))
-    return out.select("doc_id", "th", "n").distinct()
+    alone = F.when(F.col("lo") == F.col("hi"), F.col("th"))
+    held = texts.select("th", F.coalesce("f1", alone).alias("f1"), F.coalesce("f2", alone).alias("f2"), F.inline("held"))
+    held = materialize(held, "held")
+    first = materialize(_recurring(held.where("shared"), "t", min_docs), "templates")
+
+    # leaves generalise over their distinct templates, each with the number of its texts
+    some = lines.where("leaf is not null").select("t", "th", "long", "words").join(_sent(leafy, 24).withColumnRenamed("t", "k"), (F.col("t") == F.col("k")) & (F.col("th") == F.col("a")))
+    some = some.select("t", "leaf", "long", "words").dropDuplicates(["t"]).join(held.groupBy("t").agg(F.count("*").alias("texts")), "t")
+    tokens = materialize(some.select("t", "leaf", "long", "texts", F.posexplode(F.split("words", " ")).alias("pos", "tok")), "tokens")
+    fixed = tokens.groupBy("leaf", "pos", "tok").agg(F.sum("texts").alias("texts"), F.max("long").alias("long"))
+    fixed = fixed.where(F.col("texts") >= F.when(F.col("long"), 2).otherwise(min_docs)).select("leaf", "pos", "tok", F.lit(True).alias("kept"))
+    pairs = materialize(tokens.join(fixed, ["leaf", "pos", "tok"], "left").select("t", "leaf", "pos", "tok", F.coalesce("kept", F.lit(False)).alias("kept")), "marked")
+    enough = lambda kept: F.sum((kept & (F.col("tok") != ANY)).cast("int")) >= F.count("*") * similarity
+    alike = materialize(pairs.groupBy("t").agg(enough(F.col("kept")).alias("alike")).where("alike").select("t"), "alike")
+    marked = pairs.join(alike, "t")
+    holes = marked.where("not kept").select("leaf", "pos", F.lit(True).alias("hole")).distinct()
+    both = F.col("kept") & F.col("hole").isNull()
+    shape = lambda kept: F.xxhash64("leaf", F.sort_array(F.collect_list(F.struct("pos", F.when(kept, F.col("tok")).otherwise(ANY).alias("tok")))))
+    general = marked.join(holes, ["leaf", "pos"], "left").groupBy("t", "leaf").agg(enough(both).alias("wide"), shape(both).alias("g1"), shape(F.col("kept")).alias("g2"))
+    general = materialize(general.select("t", F.when(F.col("wide"), F.col("g1")).otherwise(F.col("g2")).alias("g")), "general")
+    again = materialize(_recurring(held.join(_sent(general, 16), "t"), "g", min_docs), "again")
+
+    groups = general.join(again, "g").select("t", "g").unionAll(first.join(general.join(again, "g"), "t", "left_anti").select("t", F.col("t").alias("g")))
+    groups = materialize(groups, "groups")
+    found = materialize(lines.where("leaf is not null").select("doc_id", "th", "n", "t").join(_sent(groups, 16), "t").select("doc_id", "th", "n", "g"), "recurring")
+    opening = materialize(found.groupBy("g").agg(F.min(F.struct("doc_id", "th", "n")).alias("o")), "opening")
+    out = materialize(found.join(_sent(opening, 40), "g").where(~(F.struct("doc_id", "th", "n").eqNullSafe(F.col("o")))).select("doc_id", "th", "n").distinct(), "dropped")
+    for table in (lines, kinds, leaves, wanted, leafy, held, first, tokens, pairs, alike, general, again, groups, found, opening):
+        drop_table(table)
+    return out
 
 
 def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
@@ -112,8 +130,8 @@ def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     gone = dropped_lines(docs.select("doc_id", "text"), **how)
     gone = gone.groupBy("doc_id", "th").agg(F.collect_list("n").alias("gone")).select(F.col("doc_id").alias("i"), "th", "gone")
     gone = materialize(gone, "gone")
-    lines, docs_hit = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)), F.count("*")).first()
-    gone = F.broadcast(gone) if lines + docs_hit <= SENT_ROWS else gone
+    held, size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    gone = F.broadcast(gone) if 32 * held + 4 * size <= SENT_BYTES else gone
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("h", F.xxhash64("row.text"))
     rows = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("th")), "left")

@@ -112,22 +112,31 @@ SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN taken_in THEN 1 ELSE 0 END + CASE WHEN NOT taken_in AND size > 0 AND abs(size - gap) < gap AND near = 1 THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c""",
     "op4_line_templates": r"""
-WITH RECURSIVE l AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+WITH l AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, text AS th, n, trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM l),
-k AS (SELECT doc_id, th, n, t, string_split(t, ' ') AS w FROM m WHERE length(t) - length(replace(t, ' ', '')) + 1 >= 4),
-f AS (SELECT th, min(substr(md5('1' || array_to_string(w[1:3], ' ')), 1, 15)) AS f1, min(substr(md5('2' || array_to_string(w[1:3], ' ')), 1, 15)) AS f2 FROM k GROUP BY 1),
-r AS (SELECT doc_id, th, n, t, w, f1, f2, len(w) || ' ' || array_to_string(w[1:least(6, len(w) // 2 + 1)], ' ') AS leaf FROM k JOIN f USING (th)),
-first_t AS (SELECT t FROM r GROUP BY t HAVING greatest(count(DISTINCT f1), count(DISTINCT f2)) >= 3 AND greatest(count(DISTINCT f1), count(DISTINCT f2)) * 5 >= count(DISTINCT th)),
-rest AS (SELECT * FROM r WHERE t NOT IN (SELECT t FROM first_t)),
-places AS (SELECT * FROM rest WHERE leaf IN (SELECT leaf FROM rest GROUP BY 1 HAVING count(DISTINCT th) >= 3)),
-tok AS (SELECT doc_id, th, n, leaf, f1, f2, unnest(range(len(w))) AS pos, unnest(w) AS tok FROM places),
-fixed AS (SELECT leaf, pos, tok FROM tok GROUP BY 1, 2, 3 HAVING count(DISTINCT th) >= 3),
-g AS (SELECT t.doc_id, t.th, t.n, t.leaf, t.f1, t.f2, t.leaf || '|' || string_agg(CASE WHEN x.tok IS NOT NULL THEN t.tok ELSE '<*>' END, ' ' ORDER BY t.pos) AS t,
-             count(*) FILTER (x.tok IS NOT NULL AND t.tok <> '<*>') AS same, count(*) AS every FROM tok t LEFT JOIN fixed x ON x.leaf = t.leaf AND x.pos = t.pos AND x.tok = t.tok GROUP BY 1, 2, 3, 4, 5, 6),
-g2 AS (SELECT * FROM g WHERE same >= every * 0.7::DOUBLE),
-second_t AS (SELECT t FROM g2 GROUP BY t HAVING greatest(count(DISTINCT f1), count(DISTINCT f2)) >= 3 AND greatest(count(DISTINCT f1), count(DISTINCT f2)) * 5 >= count(DISTINCT th)),
-found AS (SELECT doc_id, n, t FROM r WHERE t IN (SELECT t FROM first_t) UNION ALL SELECT doc_id, n, t FROM g2 WHERE t IN (SELECT t FROM second_t)),
-gone AS (SELECT DISTINCT doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, n) AS place FROM found) WHERE place > 1),
+k AS (SELECT *, string_split(t, ' ') AS w FROM m WHERE t <> ''),
+x AS (SELECT *, len(w) >= 4 OR length(t) >= 24 AS able, (len(w) >= 4 OR length(t) >= 24) AND (len(w) >= 25 OR length(t) >= 150) AS long,
+             len(w) || ' ' || array_to_string(w[1:least(6, len(w) // 2 + 1)], ' ') AS leaf, md5(array_to_string(w[1:3], ' ')) AS head, t IN (SELECT t FROM k GROUP BY t HAVING count(DISTINCT th) > 1) AS shared FROM k),
+f AS (SELECT th, coalesce(min(substr(head, 1, 15)) FILTER (NOT shared), CASE WHEN count(DISTINCT t) = 1 THEN th END) AS f1,
+             coalesce(min(substr(head, 16, 15)) FILTER (NOT shared), CASE WHEN count(DISTINCT t) = 1 THEN th END) AS f2 FROM x GROUP BY th),
+held AS (SELECT DISTINCT th, t, w, leaf, long, shared, f1, f2 FROM x JOIN f USING (th) WHERE able),
+first_t AS (SELECT t FROM held WHERE shared GROUP BY t HAVING least(count(DISTINCT f1), count(DISTINCT f2)) >= CASE WHEN bool_or(long) THEN 2 ELSE 3 END AND least(count(DISTINCT f1), count(DISTINCT f2)) * 5 >= count(DISTINCT th)),
+leafy AS (SELECT leaf, t, w, long, count(*) AS texts FROM held WHERE leaf IN (SELECT leaf FROM held GROUP BY leaf HAVING count(DISTINCT t) > 1 AND count(DISTINCT th) > 1) GROUP BY ALL),
+tok AS (SELECT leaf, t, long, texts, unnest(range(len(w))) AS pos, unnest(w) AS tok FROM leafy),
+fixed AS (SELECT leaf, pos, tok FROM tok GROUP BY ALL HAVING sum(texts) >= CASE WHEN bool_or(long) THEN 2 ELSE 3 END),
+pairs AS (SELECT t.leaf, t.t, t.pos, t.tok, x.tok IS NOT NULL AS kept FROM tok t LEFT JOIN fixed x ON x.leaf = t.leaf AND x.pos = t.pos AND x.tok = t.tok),
+alike AS (SELECT t FROM pairs GROUP BY t HAVING count(*) FILTER (kept AND tok <> '<*>') >= count(*) * 0.7::DOUBLE),
+marked AS (SELECT * FROM pairs WHERE t IN (SELECT t FROM alike)),
+holes AS (SELECT DISTINCT leaf, pos FROM marked WHERE NOT kept),
+shaped AS (SELECT t, leaf, count(*) FILTER (kept AND h.pos IS NULL AND tok <> '<*>') >= count(*) * 0.7::DOUBLE AS wide,
+             string_agg(CASE WHEN kept AND h.pos IS NULL THEN tok ELSE '<*>' END, ' ' ORDER BY m.pos) AS g1, string_agg(CASE WHEN kept THEN tok ELSE '<*>' END, ' ' ORDER BY m.pos) AS g2
+           FROM marked m LEFT JOIN holes h USING (leaf, pos) GROUP BY t, leaf),
+general AS (SELECT t, leaf || '|' || CASE WHEN wide THEN g1 ELSE g2 END AS g FROM shaped),
+again AS (SELECT g FROM held JOIN general USING (t) GROUP BY g HAVING least(count(DISTINCT f1), count(DISTINCT f2)) >= CASE WHEN bool_or(long) THEN 2 ELSE 3 END AND least(count(DISTINCT f1), count(DISTINCT f2)) * 5 >= count(DISTINCT th)),
+wide_t AS (SELECT t, g FROM general WHERE g IN (SELECT g FROM again)),
+groups AS (SELECT t, 'g' || g AS g FROM wide_t UNION ALL SELECT t, 't' || t FROM first_t WHERE t NOT IN (SELECT t FROM wide_t)),
+found AS (SELECT doc_id, n, g FROM x JOIN groups USING (t) WHERE able),
+gone AS (SELECT DISTINCT doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, n) AS place FROM found) WHERE place > 1),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.n) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL), '') AS text FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.n = l.n GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, kept.text FROM documents d LEFT JOIN kept USING (doc_id)""",
     "op6_kd_tree_top_k": """

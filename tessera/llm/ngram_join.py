@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, drop_table, materialize
+from tessera.llm.common import bound_batches, drop_table, frugal, give_back, materialize
 
 #: Members and shingles of a candidate group that one task holds; larger groups go in pairs of chunks.
 CHUNK_MEMBERS, CHUNK_SHINGLES = 4096, 4_000_000
-#: Rows up to which the list of candidate documents is sent to all executors (8 bytes each).
-BROADCAST_ROWS = 1_000_000
-#: Words a worker remembers the hash of.
-REMEMBERED = 1_000_000
+#: Rows (of 80 bytes at most) up to which a list of documents is sent to all executors.
+BROADCAST_ROWS = 100_000
+#: Words a worker remembers the hash of (some 200 bytes each).
+REMEMBERED = 80_000
+#: Bytes of sets from which a task gives its memory back after a group.
+LARGE = 4 << 20
 #: Odd 64-bit multipliers (fixed values).
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -56,10 +59,10 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
 
 
 def size_classes(least: int, most: int, num: int, den: int) -> list[int]:
-    """Starts of the size classes up to ``most``; a class spans about (den/num)^3."""
+    """Starts of the size classes up to ``most``; a class spans about (den/num)^2."""
     starts = [least]
     while starts[-1] <= most:
-        starts.append(max(starts[-1] + 1, starts[-1] * den**3 // num**3))
+        starts.append(max(starts[-1] + 1, starts[-1] * den**2 // num**2))
     return starts
 
 
@@ -67,10 +70,13 @@ def partition_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set, one at least in common with every set it links with.
 
     Sets x, y with |x & y| / |x | y| >= num/den differ in at most
-    H = (|x| + |y|)(den - num)/(den + num) shingles. Under a size class whose
-    largest size is u, shingles are dealt by hash into 2u(den-num)/(den+num) + 1
-    parts; at least one part is then equal in x and y. A set has keys under its
-    own class and under each larger one that a linked set can be in.
+    H = (|x| + |y|)(den - num)/(den + num) shingles. Under a size class, with its
+    largest size for both, shingles are dealt by hash into H + 1 parts and some to
+    spare; all but H of the parts are then equal in x and y. A key is a part that is not
+    empty. A set with so many empty parts that the equal ones may all be empty has one
+    more key, for the class: of two linked sets either both have it, or one has an equal
+    part that is not empty. A set has keys under its own class and under each larger one
+    that a linked set can be in.
     """
     n = len(shingles)
     starts = size_classes(1, n * den // num + 1, num, den)
@@ -80,10 +86,14 @@ def partition_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     for c in range(own, len(starts) - 1):
         if c > own and n * den < num * starts[c]:
             break
-        parts = 2 * (starts[c + 1] - 1) * (den - num) // (den + num) + 1
+        differ = 2 * (starts[c + 1] - 1) * (den - num) // (den + num)
+        parts = differ + 1 + max(2, differ // 4) if differ else 1
         at = (dealt % np.uint64(parts)).astype(np.int64)
-        low, high = np.bincount(at, lows, parts).astype(np.uint64), np.bincount(at, highs, parts).astype(np.uint64)
-        keys.append(_mixed(_mixed(low + high * M1) + np.full(parts, c, np.uint64) * M2 + np.arange(parts, dtype=np.uint64) * M3))
+        held = np.flatnonzero(np.bincount(at, minlength=parts)).astype(np.uint64)
+        low, high = (np.bincount(at, x, parts)[held.astype(np.int64)].astype(np.uint64) for x in (lows, highs))
+        keys.append(_mixed(_mixed(low + high * M1) + np.full(len(held), c, np.uint64) * M2 + held * M3))
+        if len(held) <= differ:
+            keys.append(_mixed(np.array([c], np.uint64) * M2 + M1))
     return np.concatenate(keys)
 
 
@@ -218,18 +228,19 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _signatures(words: int, num: int, den: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t, words) for t in part["text"].to_pylist()]
-                ids = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
+                ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 keys = [partition_keys(s, num, den).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)])
                 bits = [bitmap(s, width(len(s))).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.string()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))],
-                    names=["doc_id", "n", "cls", "bits", "keys"],
+                    [part["doc_id"], part["th"], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))],
+                    names=["doc_id", "th", "n", "cls", "bits", "keys"],
                 )
 
     return run
@@ -240,43 +251,154 @@ def _stars(names: np.ndarray, group: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": names[linked], "b": names[group[linked]]})
 
 
-def _chunked(members: DataFrame) -> tuple[DataFrame, int, int | None]:
-    """Members (cls, n, root, ...) of groups of two and more with their chunk; how many, and the most chunks of a group."""
+def _chunked(members: DataFrame, by: str, num: int, den: int) -> tuple[DataFrame, int, bool]:
+    """Members (cls, n, ...) of groups ``by`` of two and more with their chunk; how many, and whether a group is cut.
+
+    A large group is cut by size class, such that linked sets are in one class or in
+    neighbours, and a class by hash; ``parts`` tells how many chunks a class has."""
     members = materialize(members, "members")
-    groups = members.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
-    chunks = F.greatest(F.ceil(F.col("c") / CHUNK_MEMBERS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
-    cut = materialize(members.join(groups.select("root", chunks.alias("chunks")), "root").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")), "members")
-    drop_table(members)
-    return cut, *cut.agg(F.count("*"), F.max("chunks")).first()
+    groups = members.groupBy(by).agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
+    groups = materialize(groups.select(by, ((F.col("c") > CHUNK_MEMBERS) | (F.col("s") > CHUNK_SHINGLES)).alias("large")), "groups")
+    # a class is a little wider than the ratio of sizes that can link, whatever the rounding
+    sized = members.withColumn("class", F.floor(F.log("n") / (-math.log(num / den) * 1.0001)).cast("int"))
+    parts = sized.join(groups.where("large"), by).groupBy(by, "class").agg(F.greatest(F.ceil(F.count("*") / CHUNK_MEMBERS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("parts"))
+    parts = materialize(parts.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("class", "parts"))).alias("parts")), "parts")
+    cut = sized.join(groups.select(by), by).join(parts, by, "left")
+    chunk = F.when(F.col("parts").isNull(), 0).otherwise(F.col("class") * (1 << 20) + F.pmod(F.xxhash64("cls"), F.element_at("parts", F.col("class"))))
+    cut = materialize(cut.withColumn("chunk", chunk.cast("bigint")), "members")
+    large = not parts.isEmpty()
+    for table in (members, groups, parts):
+        drop_table(table)
+    return cut, cut.count(), large
 
 
 def _tasks(members: DataFrame, *by: str) -> DataFrame:
     """A row for each pair of chunks (i, j) of its group that a member takes part in."""
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    kept = [c for c in members.columns if c not in ("chunks", "rep", *by)]
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(
+        F.filter(F.sequence(F.lit(0), F.coalesce(F.element_at("parts", F.col("class") + d), F.lit(0))), lambda x: x < F.element_at("parts", F.col("class") + d)), lambda x: ((F.col("class") + d) * (1 << 20) + x).cast("bigint")))
+    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.flatten(near)))
+    kept = [c for c in members.columns if c not in ("parts", "class", "rep", "th", *by)]
     return members.withColumn("other", other).select(*by, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), *kept)
 
 
-def _by_width(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Members under the width of their own bitmap, and under half of it if a linked set can be that small."""
-    w = (F.length("bits") * 8).cast("int")
-    half = (w > 64) & (F.col("n") * num <= F.lit(den) * w / 2)
-    return members.withColumn("w", F.explode(F.when(half, F.array(w, (w / 2).cast("int"))).otherwise(F.array(w))))
-
+class _Rows:
+    """Rows of sets by candidate group: names, sizes and bitmaps (a bit a token, of any width)."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        batch = pa.concat_batches(batches) if len(batches) > 1 else batches[0]
+        self.batch = batch
+        self.group = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")])
+        self.chunk, self.names, self.n = (batch[c].to_numpy() for c in ("chunk", "a", "n"))
+        bits = pa.array(batch["bits"], pa.binary()) if not isinstance(batch["bits"], pa.BinaryArray) else batch["bits"]
+        ends = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1]
+        self.at, self.words = ends[:-1] // 8, np.diff(ends) // 8
+        data = bits.buffers()[2]
+        self.flat = np.frombuffer(data, np.uint64, data.size // 8) if data is not None else np.empty(0, np.uint64)
+        turn = np.flatnonzero((self.group[:, 1:] != self.group[:, :-1]).any(axis=0)) + 1
+        self.starts, self.ends = np.concatenate([[0], turn]), np.concatenate([turn, [batch.num_rows]])
+
+    def maps(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """Bitmaps of ``rows``, all of one width, folded to ``words`` words."""
+        own = int(self.words[rows[0]])
+        m = self.flat[self.at[rows][:, None] + np.arange(own)]
+        while own > words:
+            own //= 2
+            m = m[:, :own] | m[:, own:]
+        return m
+
+
+def _able(rows: _Rows, p: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the sets of rows p and q may link by their sizes and bitmaps."""
+    x, y = rows.n[p], rows.n[q]
+    out = np.minimum(x, y) * den >= num * np.maximum(x, y)
+    left = np.flatnonzero(out)
+    swap = rows.words[p] > rows.words[q]
+    p, q = np.where(swap, q, p), np.where(swap, p, q)
+    kinds = rows.words[p].astype(np.int64) << 32 | rows.words[q]
+    for kind in np.unique(kinds[left]):
+        some, words = left[kinds[left] == kind], int(kind >> 32)
+        for at in range(0, len(some), step := max(1, (1 << 20) // int(kind & 0xFFFFFFFF))):
+            k = some[at : at + step]
+            m, o = rows.maps(p[k], words), rows.maps(q[k], words)
+            spare = np.minimum(rows.n[p[k]] - np.bitwise_count(m).sum(axis=1, dtype=np.int64), rows.n[q[k]] - np.bitwise_count(o).sum(axis=1, dtype=np.int64))
+            most = np.bitwise_count(m & o).sum(axis=1, dtype=np.int64) + spare
+            out[k] = np.minimum(most, np.minimum(rows.n[p[k]], rows.n[q[k]])) * (num + den) >= num * (rows.n[p[k]] + rows.n[q[k]])
+    return out
 
-def _walk(num: int, den: int):
-    """Groups of sets that may link by their bitmaps alone; wider bitmaps are folded."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        bits, i = int(part["w"].iloc[0]), part["i"].iloc[0]
-        maps = [np.frombuffer(x, np.uint64) for x in part["bits"]]
-        maps = np.array([m if len(m) * 64 == bits else m[: bits // 64] | m[bits // 64 :] for m in maps])
-        sizes, names, chunk = part["n"].to_numpy(), part["cls"].to_numpy(), part["chunk"].to_numpy()
+def _stars_of(rows: _Rows, start: int, end: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Stars of the sets of one large candidate group that may link, by signature trees of each width."""
+    every = np.arange(start, end)
+    for words in np.unique(rows.words[every]).tolist():
+        # sets of this width, and those of twice that which a linked set of this width can be as small as
+        own = every[(rows.words[every] == words) | ((rows.words[every] == 2 * words) & (rows.n[every] * num <= den * words * 64))]
+        maps = np.empty((len(own), words), np.uint64)
+        for w in np.unique(rows.words[own]).tolist():
+            maps[rows.words[own] == w] = rows.maps(own[rows.words[own] == w], words)
+        sizes = rows.n[own]
         order = np.lexsort((maps[:, 0], (np.log(sizes) / -np.log(num / den)).astype(int)))
-        here = order if i == part["j"].iloc[0] else order[chunk[order] == i]
-        there = None if i == part["j"].iloc[0] else order[chunk[order] != i]
+        i, j = rows.group[1, start], rows.group[2, start]
+        here = order if i == j else order[rows.chunk[own][order] == i]
+        there = None if i == j else order[rows.chunk[own][order] != i]
         group = walk_trees((sizes[here], maps[here]), None if there is None else (sizes[there], maps[there]), num, den)
-        return _stars(names[here] if there is None else np.concatenate([names[here], names[there]]), group)
+        names = rows.names[own[here if there is None else np.concatenate([here, there])]]
+        linked = np.flatnonzero(group != np.arange(len(group)))
+        yield from zip(names[linked].tolist(), names[group[linked]].tolist(), strict=True)
+
+
+def _may_link(num: int, den: int, small: int = 24):
+    """Stars (a, b) of the sets of each candidate group that may link by their bitmaps.
+
+    Rows come sorted by group. Pairs of groups of ``small`` sets at most are tested
+    at once for a batch; a larger group by signature trees."""
+
+    def found(rows: _Rows, many: int) -> set[tuple[int, int]]:
+        starts, ends = rows.starts[:many], rows.ends[:many]
+        size = ends - starts
+        few = (size <= small) & (rows.group[1, starts] == rows.group[2, starts])
+        left, right = [], []
+        for c in np.unique(size[few & (size > 1)]).tolist():
+            x, y = np.triu_indices(c, 1)
+            at = starts[few & (size == c)][:, None]
+            left.append((at + x).ravel())
+            right.append((at + y).ravel())
+        out: set[tuple[int, int]] = set()
+        if left:
+            p, q = np.concatenate(left), np.concatenate(right)
+            able = _able(rows, p, q, num, den)
+            root: dict[int, int] = {}
+            for x, y in zip(p[able].tolist(), q[able].tolist(), strict=True):
+                while x in root:
+                    x = root[x]
+                while y in root:
+                    y = root[y]
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.add((int(rows.names[max(x, y)]), int(rows.names[min(x, y)])))
+        for k in np.flatnonzero(~few & (size > 1)):
+            out.update(_stars_of(rows, int(starts[k]), int(ends[k]), num, den))
+        return out
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def batch_of(stars: set[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*stars, strict=True) if stars else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = tuple(batch[c][batch.num_rows - 1].as_py() for c in ("key", "i", "j"))
+            if held and last == tuple(held[0][c][0].as_py() for c in ("key", "i", "j")):
+                held.append(batch)  # one group so far
+                continue
+            rows = _Rows([*held, batch])
+            yield batch_of(found(rows, len(rows.starts) - 1))
+            held = [rows.batch.slice(int(rows.starts[-1]))]
+        if held:
+            yield batch_of(found(_Rows(held), 1))
 
     return run
 
@@ -288,13 +410,14 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
     lead to. Shingles are compared by 64-bit hashes, sets by 128-bit ones.
 
     Equal sets form one class. Classes that can link share a key (see
-    partition_keys), so the connected groups of classes with common keys hold
-    every link. Signature trees over the bitmaps alone, a bit a token, part each such
-    group into sets that may link; only what is left is joined over its shingles, by
-    signature trees again and exact intersections. One task takes a group; a group
-    over CHUNK_MEMBERS sets or CHUNK_SHINGLES shingles is cut by hash into
-    chunks, and every pair of chunks is joined in a task of its own, so memory is
-    bounded and no link is lost. Tasks return group numbers, never pairs.
+    partition_keys), so the groups of classes under one key hold every link; of keys
+    with the same classes one is kept. Signature trees over the bitmaps alone, a bit a
+    token, find in each such group the sets that may link (a group of a few sets is one
+    leaf); only what they connect is joined over its shingles, by signature trees again
+    and exact intersections. One task takes a group; a group
+    over CHUNK_MEMBERS sets or CHUNK_SHINGLES shingles is cut by size class and hash
+    into chunks, and every pair of chunks whose sizes can link is joined in a task of
+    its own, so memory is bounded and no link is lost. Tasks return group numbers, never pairs.
 
     Null and empty texts, and texts of white space, have no shingles and link
     with nothing; their component is their own id. Repeated rows are one class.
@@ -302,33 +425,45 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
     An empty table gives an empty result. Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(texts.mapInArrow(_signatures(words, num, den), "doc_id bigint, n bigint, cls string, bits binary, keys array<bigint>"), "signatures")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("bits").alias("bits"))
-    classes, rows = materialize(classes, "classes"), materialize(signed.select("doc_id", "n", "cls"), "rows")
-
-    # one exchange by key serves both the search for keys of several classes and the look-up of their smallest class
-    short = F.conv(F.substring("cls", 1, 15), 16, 10).cast("bigint")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    signed = materialize(texts.mapInArrow(_signatures(words, num, den), "doc_id bigint, th bigint, n bigint, cls binary, bits binary, keys array<bigint>"), "signatures")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))  # the row that stands for a class
+    classes = signed.where("cls is not null").groupBy("cls").agg(lead.alias("lead"), F.max("n").alias("n"), F.min("bits").alias("bits"))
+    classes = materialize(classes.select("cls", F.col("lead.doc_id").alias("rep"), F.col("lead.th").alias("th"), "n", "bits"), "classes")
+    rows = materialize(signed.select("doc_id", "n", "cls"), "rows")
+
+    # one exchange by key serves both the search for keys of several classes and their look-up
+    short = F.xxhash64("cls")
     keyed = signed.where("cls is not null").select(F.explode("keys").alias("key"), short.alias("a")).repartition("key")
-    common = keyed.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("key", "b")
-    edges = keyed.join(common.hint("shuffle_hash"), "key").where("a <> b").select("a", "b").distinct()
-    rough = connected_components(edges)
+    many = keyed.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("key")
+    common = materialize(keyed.join(many.hint("shuffle_hash"), "key").distinct(), "common")
     drop_table(signed)  # the keys have served
+    held = common.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("a")).alias("x"))
+    kept = materialize(held.groupBy("c", "x").agg(F.min("key").alias("key")).select("key"), "kept")
+    buckets = common.join(kept, "key").select("key", "a").join(classes.select(short.alias("a"), "cls", "n", "bits"), "a")
+    members, _, _ = _chunked(buckets, "key", num, den)
+    drop_table(common)
+    drop_table(kept)
+    tasks = _tasks(members, "key").select("key", "i", "j", "chunk", "a", "n", "bits")
+    near = connected_components(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_may_link(num, den), "a bigint, b bigint"))
+    drop_table(members)
+    found = classes.select("cls", "rep", "th", "n", short.alias("node")).join(near, "node").select("cls", "rep", "th", "n", "root")
+    members, count, large = _chunked(found, "root", num, den)
 
-    members, _, _ = _chunked(classes.withColumn("node", short).join(rough, "node").select("cls", "rep", "n", "bits", "root"))
-    near = connected_components(_tasks(_by_width(members, num, den), "root", "w").groupBy("root", "w", "i", "j").applyInPandas(_walk(num, den), "a string, b string"))
-    members, count, most = _chunked(classes.drop("bits").join(near.withColumnRenamed("node", "cls"), "cls").select("cls", "rep", "n", "root"))
-
+    @frugal
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # rows alike in id and text: one a task
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
-            same = pa.array([c == xxhash.xxh3_128_hexdigest(s.tobytes()) for c, s in zip(batch["cls"].to_pylist(), sets, strict=True)], pa.bool_())
-            cols = [batch["cls"], batch["root"], batch["chunks"], batch["chunk"], pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["cls", "root", "chunks", "chunk", "data"]).filter(same)
+            names = batch["cls"].to_pylist()
+            sets = [shingle_set(t, words) if c not in seen else None for c, t in zip(names, batch["text"].to_pylist(), strict=True)]
+            same = [s is not None and c == xxhash.xxh3_128_digest(s.tobytes()) for c, s in zip(names, sets, strict=True)]
+            seen.update(c for c, one in zip(names, same, strict=True) if one)
+            out = pa.array([s.tobytes() if one else None for s, one in zip(sets, same, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("cls", "root", "class", "parts", "chunk")), out], names=["cls", "root", "class", "parts", "chunk", "data"]).filter(pa.array(same, pa.bool_()))
 
     wanted = F.broadcast(members) if count <= BROADCAST_ROWS else members
-    found = texts.alias("t").join(wanted.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.rep"))).select("m.cls", "root", "chunks", "chunk", "text")
-    found = found.mapInArrow(sets_of, "cls string, root string, chunks int, chunk int, data binary")
+    found = texts.alias("t").join(wanted.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.rep")) & (F.col("t.th") == F.col("m.th"))).select("m.cls", "root", "class", "parts", "chunk", "text")
+    found = found.mapInArrow(sets_of, "cls binary, root bigint, class int, parts map<int,int>, chunk bigint, data binary")
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("cls")
@@ -342,10 +477,12 @@ def ngram_jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80,
             here, there = np.flatnonzero(chunk == i), np.flatnonzero(chunk != i)
             names = np.concatenate([names[here], names[there]])
             group = linked_groups([sets[k] for k in here], num, den, [sets[k] for k in there])
+        if sum(s.nbytes for s in sets) > LARGE:
+            give_back()
         return _stars(names, group)
 
-    links = _tasks(found, "root").groupBy("root", "i", "j").applyInPandas(join, "a string, b string")
-    if (most or 1) > 1:
+    links = _tasks(found, "root").groupBy("root", "i", "j").applyInPandas(join, "a binary, b binary")
+    if large:
         roots = connected_components(links)
     else:  # every group was joined in one task: its links are stars already
         links = materialize(links, "stars")

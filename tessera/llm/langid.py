@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bound_batches
+from tessera.llm.common import bound_batches, frugal
 
 #: Buckets of hashed n-grams; each language has one log-likelihood a bucket.
 BUCKETS = 1 << 18
 #: n-grams are runs of these many bytes of lower-cased words with a space at either end.
 ORDERS = (1, 2, 3, 4)
-#: Documents of a language, and bytes of a document, that a model is fitted on at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 60_000
+#: Documents of a language, characters of a document, and languages that a model is fitted on at most.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGS = 1500, 60_000, 64
 #: Bytes of a text that are turned into n-grams at a time.
 WINDOW = 1 << 20
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)  # odd 32-bit numbers, fixed values
@@ -68,24 +68,27 @@ def _added(p, q):
     return keys, np.bincount(at, np.concatenate([p[1], q[1]])).astype(np.int64)
 
 
-def fit(rows: DataFrame, *, docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, smoothing: float = 0.05) -> Model:
+def fit(rows: DataFrame, *, docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, most_langs: int = SAMPLE_LANGS, smoothing: float = 0.05) -> Model:
     """Model of each language from labelled rows (text, lang).
 
-    Fitted on a bounded sample: of each language the ``docs`` documents with the
-    smallest text hash, of those with letters and of ``most_bytes`` at most. The
-    candidates come from a hash threshold by the language's count, so no language
-    is sorted whole.
+    Fitted on a bounded sample: of each of the ``most_langs`` languages with the most
+    rows (ties in code point order) the ``docs`` documents with the smallest text
+    hash, and of a longer document a window of ``most_chars`` characters at a place
+    its hash tells. The candidates come from a hash threshold by the language's
+    count, so no language is sorted whole; texts without letters among them teach nothing.
     """
-    rows = rows.where("text is not null and lang is not null").select("lang", letters(F.col("text")).alias("words"), F.xxhash64("text").alias("h"))
-    rows = rows.where(F.octet_length("words").between(1, most_bytes))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    rows = rows.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
-    share = F.element_at(F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 2.0 * docs / n + 20.0 / n)))]), F.col("lang"))
-    some = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20))
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))).where(F.col("r") <= docs)
+    counts = {r["lang"]: r["n"] for r in counts}
+    shares = rows.sparkSession.createDataFrame([(k, int(min(1.0, 2.0 * docs / n + 20.0 / n) * (1 << 20))) for k, n in counts.items()], "lang string, share bigint")
+    some = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.col("share")).select("lang", letters(F.col("text")).alias("words"), "h")
+    some = some.where("words <> ''").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))).where(F.col("r") <= docs)
+    start = F.pmod(F.col("h"), F.greatest(F.length("words") - most_chars + 1, F.lit(1))) + 1
+    some = some.select("lang", F.substring("words", start.cast("int"), F.lit(most_chars)).alias("words"))
     sums = {k: np.zeros(BUCKETS) for k in sorted(counts)}
-    for r in some.select("lang", "words").toLocalIterator():
+    for r in some.toLocalIterator():
         keys, n = gram_counts(r["words"].encode())
         sums[r["lang"]][keys] += n
     langs = sorted(k for k, v in sums.items() if v.any())
@@ -146,33 +149,37 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     Returns ``key`` (with ``keep`` the whole row instead, as the struct ``row``),
     lang_pred (the language with the largest proportion),
     score (that proportion), langs and proportions (the chosen set, largest
-    first). A null text, one without letters, or a model without languages
-    gives ``und`` with score 0 and no languages. Only ``text`` is looked at.
+    first), and gain, the log-likelihood of its n-grams under the mixture less
+    that under equal chances for all buckets: far below 0 where no learnt language
+    explains the text. A null text, one without letters, or a model without languages
+    gives ``und`` with score and gain 0 and no languages. Only ``text`` is looked at.
     Repeated rows get equal results; an empty table gives an empty result; other
     columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the input
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             for words in batch["words"].to_pylist():
                 if not words or not own.langs:
-                    row = ("und", 0.0, [], [])
+                    row = ("und", 0.0, [], [], 0.0)
                 else:
-                    share, _ = mixture(*gram_counts(words), own)
+                    keys, counts = gram_counts(words)
+                    share, like = mixture(keys, counts, own)
                     order = [int(i) for i in np.argsort(-share, kind="stable") if share[i] > 0]
-                    row = (own.langs[order[0]], min(1.0, float(share[order[0]])), [own.langs[i] for i in order], [float(share[i]) for i in order])
+                    row = (own.langs[order[0]], min(1.0, float(share[order[0]])), [own.langs[i] for i in order], [float(share[i]) for i in order], (like + float(np.log(BUCKETS))) * float(counts.sum()))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch["k"], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["k", "lang_pred", "score", "langs", "proportions"])
+            kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch["k"], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["k", "lang_pred", "score", "langs", "proportions", "gain"])
 
     bound_batches(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.col(key)
     rows = docs.select(whole.alias("k"), letters(F.col(text)).cast("binary").alias("words"))
-    schema = T.StructType([rows.schema["k"], *T._parse_datatype_string("lang_pred string, score double, langs array<string>, proportions array<double>").fields])
+    schema = T.StructType([rows.schema["k"], *T._parse_datatype_string("lang_pred string, score double, langs array<string>, proportions array<double>, gain double").fields])
     return rows.mapInArrow(run, schema).withColumnRenamed("k", "row" if keep else key)
 
 

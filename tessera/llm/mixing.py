@@ -13,6 +13,8 @@ from tessera.llm.common import materialize, unit, word_count
 NOISE = r"[%*&$#@^~|<>=_{}\[\]\\!]"
 #: Slices of a source's key range; only the slice that a budget ends in is sorted.
 SLICES = 4096
+#: Sources (rows of some 200 bytes) up to which their figures are sent to all executors.
+SENT_SOURCES = 50_000
 
 
 def quality_weight(text) -> F.Column:
@@ -46,11 +48,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap:
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, share: float = 1.5, cap: float = 2.0, seed: int = 17, rid: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, share: float = 1.5, cap: float = 2.0, seed: int = 17, keep: bool = False) -> DataFrame:
     """How often the mix takes each document of ``docs`` (doc_id, text, source).
 
     Returns doc_id, source, size (words), source_size, target, copies, taken
-    (copies times size) and rid, a row number (the column ``rid`` of ``docs`` if named). A source's whole epochs come
+    (copies times size), rid, a row number, and with ``keep`` the whole row as the struct row. A source's whole epochs come
     first: floor(target / source_size) copies of every document. What is left is
     drawn without replacement with chances by quality: the key -ln(u)/weight has
     u from (seed, doc_id); in key order documents are taken while their running
@@ -68,8 +70,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, share: f
     keys are equal too, any of them may be the one taken. A source without words
     has target 0. An empty table gives an empty result. Other columns are ignored.
     """
-    number = F.col(rid) if rid else F.monotonically_increasing_id()
-    rows = docs.select("doc_id", "source", number.alias("rid"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    rows = docs.select("doc_id", "source", F.monotonically_increasing_id().alias("rid"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), *whole)
     rows = rows.withColumn("key", -F.log(unit(F.lit(seed), F.col("doc_id"))) / F.col("weight"))
     rows = rows.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor((1 - F.exp(-F.col("key"))) * SLICES)).cast("int"))
     rows = materialize(rows, "mix")
@@ -90,7 +92,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, share: f
     )
     ends = materialize(ends, "mix-ends")
 
-    drawn = rows.alias("r").join(ends.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source"))).select("r.*", "source_size", "target", "epochs", "rest", "end", "full")
+    # a row a source; rows but those of the ending slices go nowhere
+    few = F.broadcast(ends) if ends.count() <= SENT_SOURCES else ends
+    drawn = rows.alias("r").join(few.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source"))).select("r.*", "source_size", "target", "epochs", "rest", "end", "full")
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
     last = drawn.where("slice = end").withColumn("in", F.col("full") + F.sum("size").over(order) <= F.col("rest"))
     drawn = drawn.where("slice <> end").withColumn("in", F.col("slice") < F.col("end")).unionByName(last)
@@ -105,21 +109,20 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, share: f
         .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), F.col("key"), F.col("doc_id"), F.col("rid"))).getField("rid").alias("rid"))
         .select("rid", F.lit(1).alias("closing"))
     )
+    closing = materialize(closing, "mix-closing")
+    closing = F.broadcast(closing) if closing.count() <= SENT_SOURCES else closing
     copies = F.col("epochs") + F.col("in").cast("bigint") + F.coalesce(F.col("closing"), F.lit(0))
     return drawn.join(closing, "rid", "left").withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rid"
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rid", *(["row"] if keep else [])
     )
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), **how) -> DataFrame:
     """The rows of ``docs``, each as often as mix_sources() takes it, all columns kept.
 
-    Rows are joined by a row number that is stored with them, so repeated rows
-    and null ids keep their own counts.
+    Rows are counted where they are read: a slice of a source is taken or not as a
+    whole, and only the slice in which its words end is sorted, so no text of the others
+    is shuffled. Repeated rows and null ids keep their own counts.
     """
-    names = docs.columns
-    kept = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("row_no")), "mix-docs")
-    plain = kept.select("row_no", "row.doc_id", "row.text", "row.source")
-    taken = mix_sources(plain, weights, rid="row_no", **how).where("copies > 0").select(F.col("rid").alias("row_no"), "copies")
-    many = kept.join(taken, "row_no").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return many.select("row.*")
+    many = mix_sources(docs, weights, keep=True, **how).where("copies > 0")
+    return many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -22,7 +22,7 @@ BLOCK = 100_000
 REMEMBERED_BYTES = 16 << 20
 
 #: Bytes of texts that are encoded together: the more, the fewer distinct chunks a byte.
-TOGETHER = 12 << 20
+TOGETHER = 7 << 20
 
 FAR = np.iinfo(np.int64).max
 PIECES = "doc_id bigint, rid bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
@@ -101,18 +101,21 @@ class ChunkEncoder:
         easy = np.flatnonzero(plain)
         if not len(easy):
             return out
-        texts = texts.take(pa.array(easy))
+        texts = texts.take(pa.array(easy)) if len(rest) else texts
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        index, ends = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+        index, ends = coded.indices.to_numpy().copy(), lists.offsets.to_numpy().copy()
+        del lists, coded  # as large as the texts
         ids = self._ids(chunks, np.bincount(index, minlength=len(chunks)) > 1)
         alone = {i for i, x in enumerate(ids) if x is None}
         # the first chunk of a text has no space before it: it is encoded by itself
         ids = [x or b"" for x in ids] + [x.tobytes() for x in self.whole([chunks[i] for i in index[ends[:-1]]])]
         index[ends[:-1]] = len(chunks) + np.arange(len(easy))
+        del chunks
         cuts = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
         held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        del ids
         took = held.take(pa.array(index))
         stop = took.offsets.to_numpy()[ends].tolist()
         took = took.flatten().to_numpy()

@@ -18,8 +18,8 @@ from tessera.llm.common import bound_batches
 BUCKETS, RANK = 1 << 18, 4
 #: Labelled documents, and terms of one of them, that the machine is fitted on at most.
 SAMPLE_DOCS, SAMPLE_TERMS = 12_000, 4_000
-#: Terms a worker remembers the bucket of.
-REMEMBERED = 1_000_000
+#: Terms a worker remembers the bucket of (some 200 bytes each).
+REMEMBERED = 80_000
 
 _TERM = re.compile(r"[^\W\d_]+")
 _terms: dict[str, int] = {}

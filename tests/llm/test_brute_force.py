@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import langid, media, ngram_join, packing, pii, queries, topk, toxicity
+from tessera.llm import langid, linedup, media, ngram_join, packing, pii, queries, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 random.seed(3)
@@ -181,8 +181,60 @@ def test_ngram_components(spark, words, num, monkeypatch):
     got = {r.doc_id: (r.component_id, r.n_shingles) for r in ngram_join.ngram_jaccard_components(df, words=words, num=num).collect()}
     assert got == {i: (want[i], len(sets[i])) for i in sets}
     monkeypatch.setattr(ngram_join, "CHUNK_MEMBERS", 3)  # every group in pairs of chunks
+    made = []
+    monkeypatch.setattr(ngram_join, "_tasks", lambda m, *by, f=ngram_join._tasks: made.append((m, f(m, *by))) or made[-1][1])
+    monkeypatch.setattr(ngram_join, "drop_table", lambda df: None)
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(df, words=words, num=num).collect()}
     assert got == want
+    for members, tasks in made:  # pairs of chunks whose sizes cannot link are not made
+        apart = -np.log(num / 100) * 2.001
+        if "n" in tasks.columns:
+            for r in tasks.groupBy("key", "i", "j").agg(ngram_join.F.min("n").alias("a"), ngram_join.F.max("n").alias("z")).collect():
+                assert r.i == r.j or np.log(r.z / r.a) <= apart
+
+
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_linked_sets_share_a_key(num):
+    rng = random.Random(num)
+    for _ in range(300):
+        n = rng.choice([rng.randint(1, 12), rng.randint(1, 300)])
+        pool = np.array(rng.sample(range(1 << 60), n + 60), np.uint64)
+        x, gone, new = pool[:n], rng.randint(0, n // 2), rng.randint(0, 60)
+        y = np.concatenate([x[gone:], pool[n : n + new]])
+        if len(y) and num * (len(x) + new) <= 100 * (n - gone):
+            assert set(ngram_join.partition_keys(np.sort(x), num, 100)) & set(ngram_join.partition_keys(np.sort(y), num, 100))
+
+
+def test_small_and_large_groups_hold_every_link():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 62, rng.integers(3, 300), dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) > p], rng.integers(0, 1 << 62, int(p * len(base)), dtype=np.uint64)])) for p in (0.0, 0.02, 0.1, 0.3)]
+    sets = [x for x in sets if len(x)]
+    rows = sorted((int(rng.integers(0, 9)), 0, 0, 0, k, len(x), ngram_join.bitmap(x, ngram_join.width(len(x))).tobytes()) for k, x in enumerate(sets))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 6 + (pa.binary(),))], names=["key", "i", "j", "chunk", "a", "n", "bits"])
+
+    def parts(small, step):
+        out = ngram_join._may_link(80, 100, small)(batch.slice(k, step) for k in range(0, len(batch), step))
+        group = {k: k for k in range(len(sets))}
+        for b in out:
+            for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist()):
+                a, c = group[x], group[y]
+                group = {k: min(a, c) if v in (a, c) else v for k, v in group.items()}
+        return group
+
+    # trees fold wide bitmaps, so they may hold a few more pairs together
+    pairs, trees, some = parts(1000, 1000), parts(1, 7), parts(20, 50)
+    key = {k: g for g, _, _, _, k, _, _ in rows}
+    for a in range(len(sets)):
+        for b in range(a):
+            m = len(np.intersect1d(sets[a], sets[b]))
+            if key[a] == key[b] and 100 * m >= 80 * (len(sets[a]) + len(sets[b]) - m):
+                assert pairs[a] == pairs[b] and trees[a] == trees[b] and some[a] == some[b]
+    assert len(set(pairs.values())) > 100
 
 
 def test_kd_tree_search():
@@ -230,3 +282,61 @@ def test_toxicity_of_terms_neutral_alone(seed):
     machine = toxicity.fit_machine(rows)
     both, one, two = (machine.score(np.array([*t, 500, 700, 900])) for t in ((1, 2), (1,), (2,)))
     assert both > 0.5 > 0.3 > max(one, two)
+
+
+def lines_left(spark, texts, **how):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r.text for r in linedup.drop_repeated_lines(rows, **how).orderBy("doc_id").collect()]
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+
+
+def test_a_shared_line_goes_from_short_documents(spark):
+    rng = random.Random(1)
+    shared = "all rights are reserved by the publisher"
+    left = lines_left(spark, [prose(rng, 3) + "\n" + shared for _ in range(30)])
+    assert [shared in t for t in left] == [True] + [False] * 29
+
+
+@pytest.mark.parametrize("shared,own,docs", [(20, 2, 100), (10, 1, 60), (1, 1, 3), (5, 1, 40)])
+def test_blocks_of_shared_lines_go(spark, shared, own, docs):
+    rng = random.Random(2)
+    block = [prose(rng, 8) for _ in range(shared)]
+    left = lines_left(spark, ["\n".join(block + [prose(rng, 9) for _ in range(own)]) for _ in range(docs)])
+    assert all(x in left[0] for x in block) and not any(x in t for x in block for t in left[1:])
+
+
+def test_long_passages_go_from_the_second_document(spark):
+    rng = random.Random(3)
+    passage, short = prose(rng, 55), prose(rng, 6)
+    texts = [prose(rng, 40) + "\n" + passage + "\n" + short + "\n" + prose(rng, 30) for _ in range(2)]
+    assert [(passage in t, short in t) for t in lines_left(spark, texts)] == [(True, True), (False, True)]
+
+
+def test_copies_are_left_to_document_dedup(spark):
+    rng = random.Random(4)
+    base = [prose(rng, 30) for _ in range(8)]
+    near = []
+    for _ in range(6):
+        lines = [x.split() for x in base]
+        for line in rng.sample(lines, 3):
+            line[rng.randrange(5, 30)] = "changed" + prose(rng, 1)
+        near.append("\n".join(map(" ".join, lines)))
+    texts = ["\n".join(base)] * 4 + near[:1]
+    assert lines_left(spark, texts) == texts
+
+
+def test_variants_of_a_known_template_go(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, 9) + f"\nplease write to the office of {name} for more" for name in ["miller"] * 5 + ["smith", "jones"]]
+    assert ["office" in t for t in lines_left(spark, texts)] == [True] + [False] * 6
+
+
+def test_lines_without_spaces_and_short_lines(spark):
+    rng = random.Random(6)
+    chinese = "本网站的所有内容均受版权法保护未经许可不得转载或者复制使用"
+    texts = [prose(rng, 7) + "\n" + chinese + "\nread more" for _ in range(4)]
+    assert [(chinese in t, "read more" in t) for t in lines_left(spark, texts)] == [(True, True)] + [(False, True)] * 3
+    assert ["read more" in t for t in lines_left(spark, texts, min_tokens=1)] == [True] + [False] * 3

@@ -23,63 +23,72 @@ def plain_languages(spark, docs):
     kept = {}
     for i, d in docs.items():
         if words[i]:
-            share, _ = langid.mixture(*langid.gram_counts(bytes(words[i])), model)
-            if share.max() >= corpus_pipeline.LEAST_SHARE:
+            keys, counts = langid.gram_counts(bytes(words[i]))
+            _, like = langid.mixture(keys, counts, model)
+            if (like + math.log(langid.BUCKETS)) * counts.sum() >= corpus_pipeline.LEAST_GAIN:
                 kept[i] = d
     return kept
 
 
 def plain_lines(docs):
-    rows = []
+    rows = []  # doc, text, line, masked words
     for i, (text, source) in docs.items():
         for n, line in enumerate(text.split("\n")):
-            words = ["<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line)]
-            # a token is masked as a whole
-            if len(words) >= 4:
-                rows.append((i, text, n, tuple(words)))
-    fam = {}
-    for _, th, _, w in rows:
-        for k, salt in enumerate("12"):
-            h = hashlib.md5((salt + " ".join(w[:3])).encode()).hexdigest()[:15]
-            fam[th, k] = min(fam.get((th, k), "g"), h)
-
-    def recurring(pairs):
-        texts = defaultdict(set)
-        for t, th in pairs:
-            texts[t].add(th)
-        out = set()
-        for t, ths in texts.items():
-            k = max(len({fam[th, 0] for th in ths}), len({fam[th, 1] for th in ths}))
-            if k >= 3 and k * 5 >= len(ths):
-                out.add(t)
-        return out
-
-    first = recurring((w, th) for _, th, _, w in rows)
-    found = [(i, th, n, ("one", w)) for i, th, n, w in rows if w in first]
+            words = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+            if words:
+                rows.append((i, text, n, words))
+    chars = lambda w: len(" ".join(w))
+    able = lambda w: len(w) >= 4 or chars(w) >= 24
+    least = lambda w: 2 if len(w) >= 25 or chars(w) >= 150 else 3
     leaf = lambda w: (len(w), w[: min(6, len(w) // 2 + 1)])
-    rest, texts = [r for r in rows if r[3] not in first], defaultdict(set)
-    for _, th, _, w in rest:
-        texts[leaf(w)].add(th)
-    rest, held = [r for r in rest if len(texts[leaf(r[3])]) >= 3], defaultdict(set)
-    for _, th, _, w in rest:
-        for p, tok in enumerate(w):
-            held[leaf(w), p, tok].add(th)
-    general = []
-    for i, th, n, w in rest:
-        t = tuple(tok if len(held[leaf(w), p, tok]) >= 3 else "<*>" for p, tok in enumerate(w))
-        if sum(x != "<*>" for x in t) >= 0.7 * len(w):
-            general.append((i, th, n, ("two", leaf(w), t)))
-    second = recurring((t, th) for _, th, _, t in general)
-    found += [r for r in general if r[3] in second]
-    groups = defaultdict(list)
-    for i, _, n, t in found:
-        groups[t].append((i, n))
-    gone = {x for g in groups.values() for x in sorted(g)[1:]}
+    texts, own = defaultdict(set), defaultdict(set)
+    for _, th, _, w in rows:
+        texts[w].add(th)
+        own[th].add(w)
+    fam = {}
+    for th, ws in own.items():
+        heads = [hashlib.md5(" ".join(w[:3]).encode()).hexdigest() for w in ws if len(texts[w]) == 1]
+        fam[th] = [min(h[15 * k : 15 * k + 15] for h in heads) if heads else th if len(ws) == 1 else None for k in range(2)]
+
+    def recurs(ths, m):
+        k = min(len({fam[th][j] for th in ths} - {None}) for j in range(2))
+        return k >= m and k * 5 >= len(ths)
+
+    first = {w for w, ths in texts.items() if able(w) and len(ths) > 1 and recurs(ths, least(w))}
+    leaves = defaultdict(set)
+    for w in texts:
+        if able(w):
+            leaves[leaf(w)].add(w)
+    group = {w: ("t", w) for w in first}
+    for at, ws in leaves.items():
+        if len(ws) < 2 or len(set().union(*(texts[w] for w in ws))) < 2:
+            continue
+        weight, need = Counter(), defaultdict(lambda: 3)
+        for w in ws:
+            for p, tok in enumerate(w):
+                weight[p, tok] += len(texts[w])
+                need[p, tok] = min(need[p, tok], least(w))
+        kept = {x for x in weight if weight[x] >= need[x]}
+        alike = [w for w in ws if sum((p, tok) in kept and tok != "<*>" for p, tok in enumerate(w)) >= len(w) * 0.7]
+        holes = {p for w in alike for p, tok in enumerate(w) if (p, tok) not in kept}
+        shapes = defaultdict(list)
+        for w in alike:
+            one = tuple(tok if (p, tok) in kept and p not in holes else "<*>" for p, tok in enumerate(w))
+            two = tuple(tok if (p, tok) in kept else "<*>" for p, tok in enumerate(w))
+            shapes[one if sum(tok != "<*>" for tok in one) >= len(w) * 0.7 else two].append(w)
+        for g, some in shapes.items():
+            if recurs(set().union(*(texts[w] for w in some)), min(map(least, some))):
+                group |= {w: ("g", at, g) for w in some}
+    found = defaultdict(list)
+    for i, _, n, w in rows:
+        if w in group:
+            found[group[w]].append((i, n))
+    gone = {x for g in found.values() for x in sorted(g)[1:]}
     out = {}
     for i, (text, source) in docs.items():
         lines = text.split("\n")
         left = "\n".join(x for n, x in enumerate(lines) if (i, n) not in gone)
-        if len(left) == len(text) or left.strip(" "):
+        if len(left) == len(text) or WORD.search(left):
             out[i] = (left, source)
     return out
 
@@ -185,6 +194,55 @@ def test_stage_columns(spark):
     assert corpus_pipeline.line_dedup(spark, docs, SF).columns == docs.columns
 
 
+def test_languages_kept_and_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by = {}
+    for r in docs.where("lang is not null").collect():
+        by.setdefault(r.lang, r.text)
+    mixed = " ".join(" ".join(by[k].split()[:n]) for k, n in (("en", 45), ("fr", 30), ("de", 25)))
+    extra = [(-1, mixed), (-2, "съешь же ещё этих мягких французских булок да выпей чаю " * 5), (-3, "Of."), (-4, "1234 !!"), (-5, None)]
+    more = docs.unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, more, SF).collect()}
+    assert {i for i in range(-5, 0) if i in kept} == {-1, -3}
+    assert kept >= {r.doc_id for r in docs.where("text rlike '[a-z]'").collect()}
+
+
+ODD = [
+    (1, None, None, None, None, 1, "x"), (2, "", "en", "a", 0, 2, "x"), (3, " \n\t ", "en", "a", 5, 3, "x"), (4, "lorem ipsum dolor sit amet " * 5000, "en", "b", 130000, 4, "x"),
+    (None, "one text without an id of its own", "en", "a", 34, 5, "x"), (None, "and some other text that has no id either", "en", "a", 41, 6, "x"), (None, None, None, None, None, 7, "x"),
+    (7, "twice the very same row is in the table", "en", "b", 39, 8, "x"), (7, "twice the very same row is in the table", "en", "b", 39, 8, "x"), (7, "but this one has its id and another text", "en", None, 40, 9, "x"), (8, "x" * 50000, None, "c", 50000, 10, "x"),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, name):
+    docs = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, th string")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    rows = out.collect()
+    texts = [t for _, t, *_ in ODD]
+    if name == "pack":
+        assert len({r.rid for r in rows}) == len(ODD) and sum(r.piece == 0 for r in rows) == len(ODD)
+        return
+    assert out.columns == docs.columns
+    left = Counter((r.doc_id, r.text, r.row) for r in rows)
+    if name == "language_id":  # learnt from these very rows
+        assert not any(r.text is None or not re.search("[a-z]", r.text) for r in rows) and {8, 9} <= {r.row for r in rows}
+    if name == "line_dedup":
+        assert left == Counter((r[0], r[1], r[5]) for r in ODD)
+    if name == "near_duplicates":
+        assert left == Counter({(r[0], r[1], r[5]) for r in ODD})
+    if name == "mix_sources":
+        assert {r.text for r in rows} <= set(texts) and max(left.values()) <= 4
+
+
+def test_line_dedup_drops_what_has_no_word_left(spark):
+    texts = ["the same line is in each\n\tof three documents\n" + x for x in ("first alone in this text", "second alone in this text")] + ["the same line is in each\n \t"] * 1 + ["third alone in this\nthe same line is in each"]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert 2 not in out and out[3].text == "third alone in this" and out[3].n_chars == 19 and out[0].text == texts[0]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_an_empty_table(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")

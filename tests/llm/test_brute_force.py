@@ -144,6 +144,62 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(len(out[i].base) == 1 for i in range(8))
 
 
+def plain_added(texts, rounds=3, least=5, confidence=0.6):
+    mentions = {i: pii.mentions_of(t, pii.base_spans(t)) for i, t in texts.items()}
+    edges, totals = Counter(), Counter()
+    known = {}
+    for i, own in mentions.items():
+        for m in own:
+            if m["shape"] is not None:
+                totals[m["shape"]] += 1
+            if m["known"] or m["able"]:
+                key = (m["kind"], m["instance"])
+                for p in m["patterns"] + ([m["shape"]] if m["shape"] is not None else []):
+                    edges[m["kind"], p, m["instance"]] += 1
+                    known[(m["kind"], p, m["instance"])] = known.get((m["kind"], p, m["instance"]), False) or m["known"]
+    for t in texts.values():
+        h = np.array([pii._word_hash(w) for w in t.split()], np.uint64)
+        if len(h) > 1:
+            for made in (pii._context(h)[:-1], pii._single(h[:-1], pii.BEFORE), pii._single(h[1:], pii.BEHIND)):
+                totals.update(made.view(np.int64).tolist())
+    score = {}
+    for (k, p, x), sure in known.items():
+        score[k, x] = max(score.get((k, x), 0.0), float(sure))
+    trust = {}
+    for _ in range(rounds):
+        mass, seeds = Counter(), Counter()
+        for (k, p, x), n in edges.items():
+            mass[k, p] += n * score[k, x]
+            seeds[k, p] += score[k, x] >= confidence
+        trust = {kp: min(1.0, mass[kp] / totals[kp[1]]) if seeds[kp] >= least else 0.0 for kp in mass}
+        new = {}
+        for (k, p, x), sure in known.items():
+            new[k, x] = max(new.get((k, x), 0.0), 1.0 if sure else trust[k, p])
+        score = new
+    out = {}
+    for i, own in mentions.items():
+        for m in own:
+            used = m["patterns"] + ([m["shape"]] if m["shape"] is not None else [])
+            if m["able"] and score.get((m["kind"], m["instance"]), 0) >= confidence and any(trust[m["kind"], p] >= confidence for p in used):
+                out.setdefault(i, []).append((m["start"], m["kind"], m["end"]))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def test_added_spans_match_a_plain_version(spark):
+    rng = random.Random(9)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    cards = ["4539578763621486", "4916338506082832", "4485275742308327", "4556737586899855", "4024007103939509", "4532015112830366"]
+    for k in range(40):
+        texts[10_000 + k] = f"{prose(rng, 5)} tel: +1 (212) 555-{1000 + k} 10.0.0.{k} {prose(rng, 3)} card {cards[k % 6]} {prose(rng, 2)}"
+    texts[20_000] = f"{prose(rng, 4)} 1111222233334444 {cards[0]} {prose(rng, 3)}"  # the base patterns take both numbers for one
+    texts[20_001] = f"{prose(rng, 4)} room 1234567890123456 {prose(rng, 3)}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.added] for r in pii.find_personal_data(docs).collect() if r.added}
+    want = plain_added(texts)
+    assert got == want and len(want) >= 40
+    assert [(texts[20_000][a:b], k) for a, k, b in got[20_000]] == [(cards[0], 2)] and 20_001 not in got
+
+
 def components(sets, num, den):
     group = {k: k for k in sets}
 

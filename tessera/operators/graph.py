@@ -84,6 +84,8 @@ def trace_paths(edges: DataFrame, start: str, depth: int, limit: int = 100) -> D
         last = F.element_at("path", -1)
         paths = paths.join(steps, last == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
         found.append(paths)
+        if sum(p.limit(limit).count() for p in found) >= limit:
+            break  # longer paths come behind all of these
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)
@@ -136,17 +138,25 @@ def languages(edges: DataFrame) -> DataFrame:
     return edges.groupBy(fn.language_of(F.col("source")).alias("language")).agg(F.count("*").alias("n"))
 
 
-def similar_pairs(sets: DataFrame, key: str, *, bands: int, rows: int, threshold: float) -> DataFrame:
-    """Pairs of equal ``language`` whose token sets reach a Jaccard threshold, found by min-hash bands.
-
-    A band's bucket links its members to the smallest of them and to the next one,
-    so a bucket of n members gives fewer than 2n pairs; pairs are checked exactly."""
-    signed = sets.select(key, "language", "tokens", fn.minhash(F.col("tokens"), bands * rows).alias("sig"))
-    keys = F.array(*[F.concat_ws("|", F.lit(str(b)), F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
-    buckets = signed.select(key, "language", F.explode(keys).alias("bucket"))
-    w = Window.partitionBy("language", "bucket").orderBy(key)
-    near = buckets.withColumn("head", F.first(key).over(w)).withColumn("before", F.lag(key).over(w)).where("before is not null")
-    pairs = near.select(F.explode(F.array("head", "before")).alias("a"), F.col(key).alias("b")).distinct()
-    ta, tb = sets.select(F.col(key).alias("a"), F.col("tokens").alias("ta")), sets.select(F.col(key).alias("b"), F.col("tokens").alias("tb"))
-    scored = pairs.join(ta, "a").join(tb, "b").select("a", "b", F.round(fn.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+def similar_sets(sets: DataFrame, key: str, *, threshold: float) -> DataFrame:
+    """Rows (a, b, similarity) of the token sets of one ``language`` that reach a Jaccard threshold, whole.
+
+    ``sets`` has ``key``, language and tokens (distinct). Equal sets are one class, named
+    by its smallest key: its other members come as (name, member, 1.0). Pairs of classes
+    come as (smaller name, larger name, similarity). Each class is indexed under its
+    rarest tokens, as many as no class that reaches the threshold can miss all of;
+    those that meet there, of sizes that can reach it, are checked exactly."""
+    token = F.transform("tokens", lambda t: F.xxhash64(t))
+    classes = sets.groupBy("language", "tokens").agg(F.min(key).alias("a")).select("a", "language", F.size("tokens").alias("n"), token.alias("tokens"))
+    first = Window.partitionBy("language", "tokens")
+    copies = sets.select(F.min(key).over(first).alias("a"), F.col(key).alias("b")).where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    words = classes.where("language is not null").select("a", "language", "n", F.explode("tokens").alias("t"))
+    often = words.groupBy("language", "t").agg(F.count("*").alias("df"))
+    ranked = words.join(often, ["language", "t"]).groupBy("a", "language", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("w"))
+    rare = ranked.select("a", "language", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("w")).select("a", "language", "n", "w.t")
+    other = rare.select(F.col("a").alias("b"), "language", F.col("n").alias("m"), "t")
+    met = rare.join(other, ["language", "t"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - 1e-9)).select("a", "b").distinct()
+    ta, tb = classes.select("a", F.col("tokens").alias("ta")), classes.select(F.col("a").alias("b"), F.col("tokens").alias("tb"))
+    scored = met.join(ta, "a").join(tb, "b").withColumn("m", F.size(F.array_intersect("ta", "tb")))
+    scored = scored.select("a", "b", F.round(F.col("m") / (F.size("ta") + F.size("tb") - F.col("m")), 6).alias("similarity"))
+    return copies.unionByName(scored.where(F.col("similarity") >= threshold))

@@ -63,8 +63,12 @@ def changed_at(updated: str = "updated_at", start: str = "valid_from") -> Column
 
 
 def change_feed(facts: DataFrame, since: Column, now: Column) -> DataFrame:
-    """Upserts (d) and retractions (r) after a cursor, with the next cursor. Strictly later rows only."""
-    moved = facts.where(changed_at() > since)
+    """Upserts (d) and retractions (r) after a cursor, with the next cursor. Strictly later changes only.
+
+    To supersede a fact is to change it, at the time its successor begins: a fact that
+    the reader holds and that was superseded since is retracted."""
+    ended = F.when(F.col("superseded_by").isNotNull(), F.col("valid_until"))
+    moved = facts.where(F.greatest(changed_at(), ended) > since)
     live = valid_at(now) & (F.col("status") == "active") & F.col("superseded_by").isNull()
     return moved.select("fact_id", *KEY, "object", F.when(live, "d").otherwise("r").alias("op"), now.alias("cursor"))
 

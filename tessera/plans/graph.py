@@ -140,10 +140,15 @@ _SETS = """s AS (SELECT doc_id, lang AS language, list_sort(list_distinct(regexp
   p AS (SELECT DISTINCT unnest([head, before]) AS a, doc_id AS b FROM n WHERE before IS NOT NULL)"""
 
 
-@register("graph_clone_pairs", f"WITH {_SETS} SELECT p.a, p.b, round(len(list_intersect(x.tokens, y.tokens)) / len(list_distinct(list_concat(x.tokens, y.tokens))), 6) AS similarity FROM p JOIN t x ON x.doc_id = p.a JOIN t y ON y.doc_id = p.b WHERE similarity >= 0.8")
+@register("graph_clone_pairs", """WITH t AS (SELECT doc_id, lang AS language, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS tokens FROM documents WHERE len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) >= 5),
+  c AS (SELECT language, tokens, min(doc_id) AS a FROM t GROUP BY ALL),
+  w AS (SELECT a, language, len(tokens) AS n, unnest(tokens) AS w FROM c),
+  m AS (SELECT x.a, y.a AS b, count(*) / (x.n + y.n - count(*)) AS j FROM w x JOIN w y ON x.language = y.language AND x.w = y.w AND x.a < y.a GROUP BY x.a, y.a, x.n, y.n)
+  SELECT a, b, round(j, 6) AS similarity FROM m WHERE round(j, 6) >= 0.8
+  UNION ALL SELECT c.a, t.doc_id, 1.0::DOUBLE FROM t JOIN c ON t.language IS NOT DISTINCT FROM c.language AND t.tokens = c.tokens WHERE c.a <> t.doc_id""")
 def _(spark, d):
     sets = table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"), F.sort_array(F.array_distinct(fn.terms(F.col("text")))).alias("tokens")).where(F.size("tokens") >= 5)
-    return op.similar_pairs(sets, "doc_id", bands=8, rows=2, threshold=0.8)
+    return op.similar_sets(sets, "doc_id", threshold=0.8)
 
 
 _CYPHER = {

@@ -61,7 +61,7 @@ def _(spark, d):
     return op.history(raw_facts(spark, d), "user:7", "click").select("fact_id", "object", "valid_from")
 
 
-@register("fact_change_feed", _W + f"SELECT fact_id, subject, predicate, object, CASE WHEN {_CURRENT} THEN 'd' ELSE 'r' END AS op, TIMESTAMP '{NOW}' AS cursor FROM facts WHERE coalesce(updated_at, valid_from) > TIMESTAMP '2024-01-25 00:00:00'")
+@register("fact_change_feed", _W + f"SELECT fact_id, subject, predicate, object, CASE WHEN {_CURRENT} THEN 'd' ELSE 'r' END AS op, TIMESTAMP '{NOW}' AS cursor FROM (SELECT f.*, greatest(coalesce(f.updated_at, f.valid_from), coalesce(n.updated_at, n.valid_from)) AS moved FROM facts f LEFT JOIN raw_facts n ON n.fact_id = f.superseded_by) WHERE moved > TIMESTAMP '2024-01-25 00:00:00'")
 def _(spark, d):
     return op.change_feed(facts(spark, d), ts("2024-01-25 00:00:00"), ts(NOW))
 

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches
+from tessera.llm.common import bound_batches, frugal
 
 #: Buckets of hashed terms, and length of a term's factor vector.
 BUCKETS, RANK = 1 << 18, 4
-#: Labelled documents, and terms of one of them, that the machine is fitted on at most.
-SAMPLE_DOCS, SAMPLE_TERMS = 12_000, 4_000
+#: Labelled documents that the machine is fitted on at most, each by its whole text.
+SAMPLE_DOCS = 12_000
 #: Terms a worker remembers the bucket of (some 200 bytes each).
 REMEMBERED = 80_000
 
@@ -90,14 +90,17 @@ def joint_terms(docs: list[np.ndarray], y: np.ndarray, least_docs: int) -> np.nd
     return names[sorted(picked)]
 
 
-def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: float = 0.2, least_docs: int = 4, least_z: float = 4.0, ridge: float = 1e-4, seed: int = 7) -> Machine:
+def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: float = 0.2, least_docs: int = 4, least_z: float = 4.0, common: float = 0.1, ridge: float = 1e-4, seed: int = 7) -> Machine:
     """Factorization machine by AdaGrad on the logistic loss, one document at a time.
 
-    Terms in fewer than ``least_docs`` documents, or whose share among documents
-    with the label lies within ``least_z`` standard errors of that among the rest,
-    keep linear weight 0: a long text holds thousands of terms that tell nothing, and
-    their noise would add up. For the same reason factors are for the terms with a
-    linear weight and those of joint_terms(), however neutral alone. Equal rows count once. Rows are visited in
+    A long text holds thousands of terms that tell nothing, and their noise would add
+    up, so the step of a linear weight is scaled by what the term tells alone: by the
+    fourth power of its z score over ``least_z`` (the share of its documents that have
+    the label against that of the rest), 1 at most, 0 under half of ``least_z`` and in
+    fewer than ``least_docs`` documents. Terms in a share ``common`` of all documents step
+    by a tenth at least: they tell what kind of text it is, which counts once others
+    explain the label. Factors are for the terms of full scale and for those of
+    joint_terms(), however neutral alone. Equal rows count once. Rows are visited in
     a seeded order, so the result depends on the rows alone. Without rows, or with
     one label only, the bias is the smoothed log-odds and all weights are 0.
     """
@@ -112,10 +115,11 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: f
     share, few, many = (seen + 1.0) / (len(y) + 2.0), y.sum(), len(y) - y.sum()
     z = ((marked + 0.5) / (few + 1.0) - (seen - marked + 0.5) / (many + 1.0)) / np.sqrt(share * (1 - share) * (1 / few + 1 / many))
     often = seen >= least_docs
-    alone = often & (np.abs(z) >= least_z)
-    known = alone.copy()
+    scale = np.where(often & (np.abs(z) >= least_z / 2), np.minimum(1.0, (np.abs(z) / least_z) ** 4), 0.0)
+    scale[often & (seen >= common * len(y))] = np.maximum(0.1, scale[often & (seen >= common * len(y))])
+    known = scale == 1.0
     known[joint_terms([t[often[t]] for t, _ in rows], y, least_docs)] = True
-    docs = [t[known[t]] for t, _ in rows]
+    docs = [t[known[t] | (scale[t] > 0)] for t, _ in rows]
     rng = np.random.default_rng(seed)
     factors[known] = rng.normal(0, 0.01, (int(known.sum()), RANK))
     g_bias, g_linear, g_factors = 1.0, np.ones(BUCKETS), np.ones((BUCKETS, RANK))
@@ -132,7 +136,9 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: f
             bias -= rate * e / np.sqrt(g_bias)
             g = e + ridge * w
             g_linear[t] += g * g
-            linear[t] = np.where(alone[t], w - rate * g / np.sqrt(g_linear[t]), 0.0)
+            linear[t] = w - scale[t] * rate * g / np.sqrt(g_linear[t])
+            t = t[known[t]]
+            v = factors[t]
             g = e * (s - v) + ridge * v
             g_factors[t] += g * g
             factors[t] = v - rate * 0.5 * g / np.sqrt(g_factors[t])
@@ -143,19 +149,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sa
     """Machine learnt from the labelled documents of ``docs`` on the driver.
 
     Of labelled documents the ``sample`` with the smallest hash of (doc_id) are
-    taken, in whole texts up to SAMPLE_TERMS distinct terms each; only their
-    buckets reach the driver. Rows with a null label or id are left out; of
+    taken, by their whole texts; only the buckets of their distinct terms reach the
+    driver. Rows with a null label or id are left out; of
     several labels of one id the largest holds.
     """
     marks = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     marks = marks.select("doc_id", "y", F.xxhash64("doc_id", F.lit(5)).alias("h")).orderBy("h", "doc_id").limit(sample)
 
+    @frugal
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [term_buckets(t) for t in part["text"].to_pylist()]
-                found = [t if len(t) <= SAMPLE_TERMS else t[np.linspace(0, len(t) - 1, SAMPLE_TERMS).astype(int)] for t in found]
                 yield pa.RecordBatch.from_arrays([part["h"], part["doc_id"], part["y"], pa.array([t.astype("<i4").tobytes() for t in found], pa.binary())], names=["h", "doc_id", "y", "t"])
 
     bound_batches(docs.sparkSession)
@@ -175,6 +181,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, *, key: str = "doc_id", te
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS x (RANK + 1), whatever the input
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

@@ -328,6 +328,32 @@ def test_toxicity_held_out(spark):
     assert np.mean([t > c for t in toxic for c in clean]) > 0.9
 
 
+def test_toxicity_scores_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    machine = toxicity.Machine(-0.3, rng.normal(0, 0.2, toxicity.BUCKETS), rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.RANK)))
+    texts = ["", None, "one", "One two, two THREE", "Été à la plage", " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(6000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in toxicity.score_toxicity(docs, machine).collect():
+        t = sorted({zlib.crc32(w.encode()) & (toxicity.BUCKETS - 1) for w in re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())})
+        v = machine.factors[t]
+        z = -0.3 + machine.linear[t].sum() + (np.triu(v @ v.T, 1).sum() if len(t) else 0.0)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-6 and r.predicted == (r.score >= 0.3)
+
+
+def test_pairs_beat_linear_weights(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    machine = toxicity.fit_toxicity(docs, labels.where(~langid.held_out(langid.F.col("doc_id"), 4, 2)))
+    held = docs.join(labels, "doc_id").where(langid.held_out(langid.F.col("doc_id"), 4, 2)).select("text", "toxic").collect()
+    marks = np.array([r.toxic for r in held])
+
+    def area(m):
+        s = np.array([m.score(toxicity.term_buckets(r.text)) for r in held])
+        return np.mean(s[marks == 1][:, None] > s[marks == 0][None])
+
+    assert area(machine) > max(0.98, area(toxicity.Machine(machine.bias, machine.linear, 0 * machine.factors)))
+
+
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_toxicity_of_terms_neutral_alone(seed):
     rng, rows = np.random.default_rng(seed), []

@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch between the JVM and Python: a batch of long texts stays small.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -49,6 +49,17 @@ def give_back() -> None:
         pass
 
 
+#: What modules remember from batch to batch; forgotten when a task ends.
+CACHES: list[dict] = []
+
+
+def end_task() -> None:
+    """Forget what this worker remembers, and give the memory back."""
+    for cache in CACHES:
+        cache.clear()
+    give_back()
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, a function of mapInArrow, such that a reused worker starts the next task small."""
 
@@ -57,7 +68,7 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
         try:
             yield from run(batches)
         finally:
-            give_back()
+            end_task()
 
     return wrapped
 

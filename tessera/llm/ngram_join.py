@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, drop_table, frugal, give_back, materialize
+from tessera.llm.common import bound_batches, CACHES, drop_table, frugal, give_back, materialize
 
 #: Members and shingles of a candidate group that one task holds; larger groups go in pairs of chunks.
 CHUNK_MEMBERS, CHUNK_SHINGLES = 4096, 4_000_000
@@ -26,6 +26,7 @@ LARGE = 4 << 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 _words: dict[bytes, int] = {}
+CACHES.append(_words)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -14,15 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, frugal, materialize, regrouped
+from tessera.llm.common import bound_batches, CACHES, frugal, give_back, materialize, regrouped
 
 #: Pieces that one task packs. Sequences are never shared between blocks.
 BLOCK = 100_000
 #: Bytes of chunks and their ids that a worker remembers before it starts anew.
-REMEMBERED_BYTES = 16 << 20
+REMEMBERED_BYTES = 4 << 20
 
 #: Bytes of texts that are encoded together: the more, the fewer distinct chunks a byte.
-TOGETHER = 7 << 20
+TOGETHER = 3 << 20
 
 FAR = np.iinfo(np.int64).max
 PIECES = "doc_id bigint, rid bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
@@ -128,6 +128,7 @@ class ChunkEncoder:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
+CACHES.append(_encoders)
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -213,6 +214,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 names=["doc_id", "rid", "piece", "start", "length", "ids_crc32", "ids"],
             )
+            give_back()
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))

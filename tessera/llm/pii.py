@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, frugal, materialize
+from tessera.llm.common import bound_batches, CACHES, frugal, materialize
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -99,6 +99,7 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
 #: Tokens a worker remembers the hash of (some 200 bytes each).
 REMEMBERED = 80_000
 _heads: dict[str, int] = {}
+CACHES.append(_heads)
 #: Kinds of patterns: the word before, the word behind; fixed odd numbers that keep them apart.
 BEFORE, BEHIND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 

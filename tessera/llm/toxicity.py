@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, frugal
+from tessera.llm.common import bound_batches, CACHES, frugal
 
 #: Buckets of hashed terms, and length of a term's factor vector.
 BUCKETS, RANK = 1 << 18, 4
@@ -23,6 +23,7 @@ REMEMBERED = 80_000
 
 _TERM = re.compile(r"[^\W\d_]+")
 _terms: dict[str, int] = {}
+CACHES.append(_terms)
 
 
 @dataclass

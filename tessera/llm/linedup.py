@@ -71,9 +71,11 @@ def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, mi
     both ``min_tokens`` tokens and ``min_chars`` characters are never dropped.
     """
     lines = materialize(_lines(docs, min_tokens, min_chars, lead), "lines")
-    kinds = lines.groupBy("t").agg(F.min("leaf").alias("leaf"), F.min("th").alias("a"), F.max("th").alias("z"))
-    kinds = materialize(kinds.select("t", "leaf", "a", (F.col("a") < F.col("z")).alias("shared"), "z"), "kinds")
-    leaves = kinds.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")).where("n > 1 and a < z").select("leaf")
+    kinds = lines.groupBy("t").agg(F.min("leaf").alias("leaf"), F.max("long").alias("long"), F.min("th").alias("a"), F.max("th").alias("z"))
+    kinds = materialize(kinds.select("t", "leaf", "long", "a", (F.col("a") < F.col("z")).alias("shared"), "z"), "kinds")
+    # a leaf of two templates of a text each, not long, has no token that min_docs texts share
+    heavy = (F.sum(F.when(F.col("shared"), min_docs).otherwise(1)) >= min_docs) | F.max("long")
+    leaves = kinds.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"), heavy.alias("heavy")).where("n > 1 and a < z and heavy").select("leaf")
     leaves = materialize(leaves, "leaves")
     leafy = kinds.join(_sent(leaves, 8), "leaf").select("t", "leaf", "a")
     wanted = kinds.where("shared").select("t", "shared").unionAll(leafy.select("t", F.lit(False))).groupBy("t").agg(F.max("shared").alias("shared"))

@@ -95,18 +95,25 @@ def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, mi
     # leaves generalise over their distinct templates, each with the number of its texts
     some = lines.where("leaf is not null").select("t", "th", "long", "words").join(_sent(leafy, 24).withColumnRenamed("t", "k"), (F.col("t") == F.col("k")) & (F.col("th") == F.col("a")))
     some = some.select("t", "leaf", "long", "words").dropDuplicates(["t"]).join(held.groupBy("t").agg(F.count("*").alias("texts")), "t")
-    tokens = materialize(some.select("t", "leaf", "long", "texts", F.posexplode(F.split("words", " ")).alias("pos", "tok")), "tokens")
-    fixed = tokens.groupBy("leaf", "pos", "tok").agg(F.sum("texts").alias("texts"), F.max("long").alias("long"))
-    fixed = fixed.where(F.col("texts") >= F.when(F.col("long"), 2).otherwise(min_docs)).select("leaf", "pos", "tok", F.lit(True).alias("kept"))
-    pairs = materialize(tokens.join(fixed, ["leaf", "pos", "tok"], "left").select("t", "leaf", "pos", "tok", F.coalesce("kept", F.lit(False)).alias("kept")), "marked")
-    enough = lambda kept: F.sum((kept & (F.col("tok") != ANY)).cast("int")) >= F.count("*") * similarity
-    alike = materialize(pairs.groupBy("t").agg(enough(F.col("kept")).alias("alike")).where("alike").select("t"), "alike")
-    marked = pairs.join(alike, "t")
-    holes = marked.where("not kept").select("leaf", "pos", F.lit(True).alias("hole")).distinct()
-    both = F.col("kept") & F.col("hole").isNull()
-    shape = lambda kept: F.xxhash64("leaf", F.sort_array(F.collect_list(F.struct("pos", F.when(kept, F.col("tok")).otherwise(ANY).alias("tok")))))
-    general = marked.join(holes, ["leaf", "pos"], "left").groupBy("t", "leaf").agg(enough(both).alias("wide"), shape(both).alias("g1"), shape(F.col("kept")).alias("g2"))
-    general = materialize(general.select("t", F.when(F.col("wide"), F.col("g1")).otherwise(F.col("g2")).alias("g")), "general")
+    some = materialize(some.select("t", "leaf", "long", "texts", F.split("words", " ").alias("toks")), "leafed")
+    # a cell is a token at its place in a leaf, by its hash; only hashes and places are shuffled
+    cells = some.select("t", "leaf", "long", "texts", F.posexplode("toks").alias("pos", "tok")).select("t", "long", "texts", "pos", F.xxhash64("leaf", "pos", "tok").alias("cell"))
+    fixed = cells.groupBy("cell").agg(F.sum("texts").alias("texts"), F.max("long").alias("long"))
+    fixed = materialize(fixed.where(F.col("texts") >= F.when(F.col("long"), 2).otherwise(min_docs)).select("cell"), "fixed")
+    # about as many as there are templates' tokens, so never sent, at any size
+    stays = cells.select("t", "pos", "cell").join(fixed.hint("merge"), "cell").groupBy("t").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    # the places that stay (kept), and those of them that are no field yet (named)
+    marked = some.join(stays, "t").select("t", "leaf", "toks", "kept", F.filter("kept", lambda p: F.get("toks", p) != ANY).alias("named"))
+    enough = lambda places: F.size(places) >= F.size("toks") * similarity
+    alike = materialize(marked.where(enough(F.col("named"))), "alike")
+    holes = alike.select("leaf", F.explode(F.array_except(F.sequence(F.lit(0), F.size("toks") - 1), "kept")).alias("pos"))
+    holes = holes.groupBy("leaf").agg(F.sort_array(F.collect_set("pos")).alias("holes"))
+    # a flag a place, false at holes, in one pass: a run of true up to each hole, then false
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), "holes"), F.concat("holes", F.array(F.size("toks"))), lambda p, h: F.concat(F.array_repeat(F.lit(True), h - p - 1), F.array(F.lit(False))))
+    ready = alike.join(holes, "leaf", "left").select("t", "leaf", "toks", "named", F.when(F.col("holes").isNotNull(), F.flatten(runs)).alias("open"))
+    ready = ready.select("t", "leaf", "toks", "named", F.when(F.col("open").isNull(), F.col("named")).otherwise(F.filter("named", lambda p: F.get("open", p))).alias("both"))
+    shape = lambda places: F.xxhash64("leaf", F.transform(places, lambda p: F.struct(p.alias("pos"), F.get("toks", p).alias("tok"))))
+    general = materialize(ready.select("t", F.when(enough(F.col("both")), shape(F.col("both"))).otherwise(shape(F.col("named"))).alias("g")), "general")
     again = materialize(_recurring(held.join(_sent(general, 16), "t"), "g", min_docs), "again")
 
     groups = general.join(again, "g").select("t", "g").unionAll(first.join(general.join(again, "g"), "t", "left_anti").select("t", F.col("t").alias("g")))
@@ -114,7 +121,7 @@ def dropped_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 4, mi
     found = materialize(lines.where("leaf is not null").select("doc_id", "th", "n", "t").join(_sent(groups, 16), "t").select("doc_id", "th", "n", "g"), "recurring")
     opening = materialize(found.groupBy("g").agg(F.min(F.struct("doc_id", "th", "n")).alias("o")), "opening")
     out = materialize(found.join(_sent(opening, 40), "g").where(~(F.struct("doc_id", "th", "n").eqNullSafe(F.col("o")))).select("doc_id", "th", "n").distinct(), "dropped")
-    for table in (lines, kinds, leaves, wanted, leafy, held, first, tokens, pairs, alike, general, again, groups, found, opening):
+    for table in (lines, kinds, leaves, wanted, leafy, held, first, some, fixed, alike, general, again, groups, found, opening):
         drop_table(table)
     return out
 

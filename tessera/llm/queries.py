@@ -6,15 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bitplanes import read_token_files, write_token_files
 from tessera.llm.common import documents
 from tessera.llm.langid import fit_on_folds, held_out, identify
 from tessera.llm.linedup import drop_repeated_lines
 from tessera.llm.media import media_columns
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import ngram_jaccard_components
+from tessera.llm.normsearch import hard_negatives
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import KINDS, find_personal_data, span_text
 from tessera.llm.sharding import assign_shards
+from tessera.llm.tiered import ranked_search
 from tessera.llm.topk import top_k
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -74,6 +77,22 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 50)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_norm_bucket_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label=label)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_media_columns": op2_media_columns,
@@ -85,6 +104,9 @@ QUERIES = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_mixture": op10_language_mixture,
+    "op11_tiered_search": op11_tiered_search,
+    "op12_bit_planes": op12_bit_planes,
+    "op13_norm_bucket_negatives": op13_norm_bucket_negatives,
 }
 
 _U = "((('0x' || substr(md5({}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
@@ -170,4 +192,25 @@ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, k.b FROM reach r JOIN both_ways k ON r.b = k.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""",
+    "op11_tiered_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT row_number() OVER () AS rid, doc_id, t, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+c AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM s),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT rid, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, n, unnest(t) AS t FROM s) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * nd + 2.0::DOUBLE) / (2.0::DOUBLE * df + 1.0::DOUBLE)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+i AS (SELECT p.t, rid, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))) AS impact FROM p JOIN w USING (t), c),
+r AS (SELECT item_id, rid, doc_id, sum(impact)::BIGINT AS score FROM i JOIN q USING (t) GROUP BY ALL HAVING sum(impact) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) AS rank FROM r)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 50""",
+    "op13_norm_bucket_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(len(v))) AS i FROM v),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, sum(a.x * c.x)::BIGINT AS score FROM e a JOIN e c ON a.i = c.i AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same WHERE 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }

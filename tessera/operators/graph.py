@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
+from tessera.sources.shared import scratch_folder
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage between rounds: a checkpoint in the shared folder, or in one below the warehouse if none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        conf = df.sparkSession.conf
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rounds")
+        sc.setCheckpointDir(scratch_folder(df.sparkSession, "rounds"))
     return df.checkpoint()
 
 

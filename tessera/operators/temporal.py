@@ -15,9 +15,11 @@ KEY = ("subject", "predicate")
 
 
 def build_versions(rows: DataFrame, key: Sequence[str] = KEY, at: str = "valid_from", number: str = "fact_id") -> DataFrame:
-    """Close each version of a key where the next begins: adds valid_until, superseded_by and status."""
+    """Close each version of a key where the next begins: adds valid_until, superseded_by, status and
+    superseded_at, the time at which the next was recorded (later than it begins if it came late)."""
     w = Window.partitionBy(*key).orderBy(at, number)
-    rows = rows.withColumn("valid_until", F.lead(at).over(w)).withColumn("superseded_by", F.lead(number).over(w))
+    recorded = F.coalesce("updated_at", at) if "updated_at" in rows.columns else F.col(at)
+    rows = rows.withColumn("valid_until", F.lead(at).over(w)).withColumn("superseded_by", F.lead(number).over(w)).withColumn("superseded_at", F.lead(recorded).over(w))
     return rows.withColumn("status", F.when(F.col("superseded_by").isNull(), "active").otherwise("superseded"))
 
 
@@ -65,10 +67,10 @@ def changed_at(updated: str = "updated_at", start: str = "valid_from") -> Column
 def change_feed(facts: DataFrame, since: Column, now: Column) -> DataFrame:
     """Upserts (d) and retractions (r) after a cursor, with the next cursor. Strictly later changes only.
 
-    To supersede a fact is to change it, at the time its successor begins: a fact that
-    the reader holds and that was superseded since is retracted."""
-    ended = F.when(F.col("superseded_by").isNotNull(), F.col("valid_until"))
-    moved = facts.where(F.greatest(changed_at(), ended) > since)
+    To supersede a fact is to change it, at the time its successor was recorded: a fact
+    that the reader holds and that was superseded since is retracted, also where the
+    successor begins before the cursor."""
+    moved = facts.where(F.greatest(changed_at(), "superseded_at") > since)
     live = valid_at(now) & (F.col("status") == "active") & F.col("superseded_by").isNull()
     return moved.select("fact_id", *KEY, "object", F.when(live, "d").otherwise("r").alias("op"), now.alias("cursor"))
 

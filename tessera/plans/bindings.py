@@ -18,7 +18,8 @@ def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("fact_id"), F.concat(F.lit("user:"), F.col("user_id")).alias("subject"), F.col("event_type").alias("predicate"),
         F.concat(F.lit("k"), k).alias("object"), F.col("ts").alias("valid_from"), F.col("value").alias("confidence"),
-        F.concat(F.lit("feed/"), F.col("user_id") % 7).alias("source"), F.col("ts").alias("updated_at"),
+        F.concat(F.lit("feed/"), F.col("user_id") % 7).alias("source"),
+        F.when(F.col("event_id") % 9 == 4, F.expr("ts + interval 6 days")).otherwise(F.col("ts")).alias("updated_at"),  # some are recorded late
     )
 
 
@@ -29,7 +30,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in SQL, for the oracles.
 RAW_FACTS_SQL = """raw_facts AS (
   SELECT event_id AS fact_id, 'user:' || user_id AS subject, event_type AS predicate, 'k' || (json_extract_string(props, '$.k')::BIGINT) AS object,
-         ts AS valid_from, value AS confidence, 'feed/' || (user_id % 7) AS source, ts AS updated_at FROM events)"""
+         ts AS valid_from, value AS confidence, 'feed/' || (user_id % 7) AS source, CASE WHEN event_id % 9 = 4 THEN ts + INTERVAL 6 DAY ELSE ts END AS updated_at FROM events)"""
 FACTS_SQL = (
     RAW_FACTS_SQL
     + """, facts AS (

@@ -10,6 +10,7 @@ from tessera.operators import evaluation, evidence
 from tessera.operators import selection as sel
 from tessera.plans.bindings import table
 from tessera.sources import documents as src
+from tessera.sources.shared import scratch_folder
 from tessera.streaming import windows as st
 
 QUERIES, ORACLES = {}, {}
@@ -26,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _shared(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
+    return scratch_folder(spark, "streams")
 
 
 # --- selection: a request a conversation, its turns as records -------------------------------------------
@@ -233,7 +234,7 @@ def _(spark, d):
 
 @register("source_artifact_store", "SELECT substr(hash, 1, 2) AS part, count(*) AS n FROM (SELECT DISTINCT sha256(text) AS hash FROM documents) GROUP BY 1")
 def _(spark, d):
-    at = f"{_shared(spark)}/artifacts-{__import__('uuid').uuid4().hex}"
+    at = scratch_folder(spark, "artifacts")
     src.write_artifacts(table(spark, d, "documents").select(F.col("text").cast("binary").alias("content")), at)
     assert src.broken_artifacts(spark, at).isEmpty()
     return spark.read.parquet(at).groupBy(F.substring("hash", 1, 2).alias("part")).agg(F.count("*").alias("n"))

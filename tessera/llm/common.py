@@ -49,8 +49,8 @@ def give_back() -> None:
         pass
 
 
-#: What modules remember from batch to batch; forgotten when a task ends.
-CACHES: list[dict] = []
+#: What modules remember from batch to batch, each with clear(); forgotten when a task ends.
+CACHES: list = []
 
 
 def end_task() -> None:

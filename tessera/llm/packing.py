@@ -18,11 +18,12 @@ from tessera.llm.common import bound_batches, CACHES, frugal, give_back, materia
 
 #: Pieces that one task packs. Sequences are never shared between blocks.
 BLOCK = 100_000
-#: Bytes of chunks and their ids that a worker remembers before it starts anew.
-REMEMBERED_BYTES = 4 << 20
+#: Bytes of chunks and their ids that a worker remembers before it starts anew: several
+#: batches' worth, or each batch would clear what the last one learnt.
+REMEMBERED_BYTES = 32 << 20
 
 #: Bytes of texts that are encoded together: the more, the fewer distinct chunks a byte.
-TOGETHER = 3 << 20
+TOGETHER = 8 << 20
 
 FAR = np.iinfo(np.int64).max
 PIECES = "doc_id bigint, rid bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
@@ -128,7 +129,18 @@ class ChunkEncoder:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
-CACHES.append(_encoders)
+
+
+class _Chunks:
+    """What encoders remember of texts; their tokenizers, slow to build, stay with the worker."""
+
+    def clear(self) -> None:
+        for e in _encoders.values():
+            e.known.clear()
+            e.held = 0
+
+
+CACHES.append(_Chunks())
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, drop_table, frugal, materialize
 
-#: Postings of each term in the first tiers, at least; all postings are in the last.
-TIERS = (1024, 16384)
+#: Postings of each term in the first tier, at least, and how many times as many each next one
+#: holds, until one would hold all.
+FIRST, FACTOR = 4096, 4
+#: Documents, a result wanted, whose whole scores a proof may ask for; an item that needs more
+#: goes to the next tier, whose bounds are closer, and in the end to the last, which needs none.
+LOOKED_UP = 16
 #: Bytes of item texts that are asked together.
 ITEM_BYTES = 1 << 20
 #: Steps of tf saturation by which postings are counted: 10^6 / 2^12 of them.
@@ -149,12 +153,12 @@ class Asked:
         return at, self.of_term[self.ends[term[at]] + inside]
 
 
-FOUND = "item int, rid bigint, doc_id bigint, score bigint, most bigint"
+FOUND = "item int, rid bigint, doc_id bigint, score bigint"
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["item", "rid", "doc_id", "score", "most"])
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["item", "rid", "doc_id", "score"])
 
 
 def _scores(batch: pa.RecordBatch, asked: Asked, weights: Weights, residual: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
@@ -197,23 +201,34 @@ def best_of_tier(tier: DataFrame, asked: Asked, weights: Weights, k: int) -> Dat
                     if len(heaps[i]) == k:
                         least[i] = heaps[i][0][0]
         null = -np.iinfo(np.int64).min
-        yield _emit([(int(asked.items[i]), -rid, None if -doc == -null else -doc, s, s) for i, h in enumerate(heaps) for s, doc, rid in h])
+        yield _emit([(int(asked.items[i]), -rid, None if doc == null else -doc, s) for i, h in enumerate(heaps) for s, doc, rid in h])
 
+    return _ranked(tier.mapInArrow(run, FOUND), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first(), "rid")
-    return tier.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def may_reach(tier: DataFrame, asked: Asked, weights: Weights, residual: np.ndarray, rests: np.ndarray, least: np.ndarray) -> DataFrame:
-    """Documents whose score may reach ``least`` of an item: what they have in the tier, and the residual of every other term."""
+def may_reach(tier: DataFrame, asked: Asked, weights: Weights, residual: np.ndarray, rests: np.ndarray, least: np.ndarray, count: bool = False) -> DataFrame:
+    """Documents whose score may reach ``least`` of an item: what they have in the tier, and the
+    residual of every other term; with ``count`` only how many an item has (as score)."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(asked.items), np.int64)
         for batch in batches:
             rids, doc_ids = batch["rid"].to_pylist(), batch["doc_id"].to_pylist()
             for first, score, left in _scores(batch, asked, weights, residual):
-                most = score + rests - left
-                r, i = np.nonzero((score > 0) & (most >= least))
-                yield _emit([(int(asked.items[b]), rids[first + a], doc_ids[first + a], int(score[a, b]), int(most[a, b])) for a, b in zip(r.tolist(), i.tolist(), strict=True)])
+                near = (score > 0) & (score + rests - left >= least)
+                if count:
+                    total += near.sum(axis=0)
+                    continue
+                r, i = np.nonzero(near)
+                yield _emit([(int(asked.items[b]), rids[first + a], doc_ids[first + a], int(score[a, b])) for a, b in zip(r.tolist(), i.tolist(), strict=True)])
+        if count:
+            yield _emit([(int(i), None, None, int(n)) for i, n in zip(asked.items, total, strict=True) if n])
 
     return tier.mapInArrow(run, FOUND)
 
@@ -232,7 +247,7 @@ def exact_scores(counted: DataFrame, candidates: DataFrame, terms_of_item: list[
                 a, b = ends[r], ends[r + 1]
                 for i in items:
                     score = int(impact[a:b][np.isin(term[a:b], held[i])].sum())
-                    rows.append((i, rid, doc_id, score, score))
+                    rows.append((i, rid, doc_id, score))
             yield _emit(rows)
 
     wanted = candidates.groupBy("rid").agg(F.collect_set("item").alias("items"))
@@ -251,7 +266,7 @@ def _blocks(items: DataFrame, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, *, tiers: Sequence[int] = TIERS, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, *, tiers: Sequence[int] | None = None, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The ``k`` best documents of ``docs`` (doc_id, text) for each row of ``items`` (item_id, text).
 
     Returns item_id, rank (from 1), doc_id, score, tier (from 0: the one that proved the
@@ -261,13 +276,14 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, *, tiers: Sequ
 
     All documents are read and counted once a block of items; of each only the
     postings of the block's terms are kept. Tier 0 holds the postings of highest
-    impact of each term (tiers[0] of them, and those that tie within a step), the next
-    tier more, the last all. In each tier the best ``k`` of an open item by the tier's
+    impact of each term (``tiers``[0] or FIRST of them, and those that tie within a
+    step), the next tier more, the last all. In each tier the best ``k`` of an open item by the tier's
     postings give a lower limit. A document that the tier does not show can reach at
     most the sum of the terms' residual bounds: the most that any posting left out has.
     Where that is below the kth score the item is proven: the documents that may still
-    reach it get their whole scores, and the best are the result. Items without proof
-    go to the next tier; in the last nothing is left out.
+    reach it get their whole scores, and the best are the result. Items without proof, or
+    whose proof would ask for more than LOOKED_UP * ``k`` documents, go to the next
+    tier; in the last nothing is left out, and its best ``k`` are the result.
 
     Null texts have no terms; an item without terms, or without a hit, has no row.
     Null doc_ids rank first among equal scores; repeated rows each count, by the
@@ -280,14 +296,14 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, *, tiers: Sequ
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = materialize(numbered.withColumn("part", F.shiftright("at", 33)).join(before, "part").select("item_id", "text", place.alias("item")), "numbered")
-    out = [_search_block(docs, numbered.where(F.col("item").between(a, b)), a, k, tuple(tiers)) for a, b in _blocks(numbered, item_bytes)]
+    out = [_search_block(docs, numbered.where(F.col("item").between(a, b)), a, k, tiers) for a, b in _blocks(numbered, item_bytes)]
     found = empty
     for df in out:
         found = found.unionByName(df)
     return found
 
 
-def _search_block(docs: DataFrame, items: DataFrame, first: int, k: int, tiers: tuple[int, ...]) -> DataFrame:
+def _search_block(docs: DataFrame, items: DataFrame, first: int, k: int, tiers: Sequence[int] | None) -> DataFrame:
     spark = docs.sparkSession
     rows = items.select((F.col("item") - first).cast("int").alias("item"), F.array_distinct(terms_of(F.col("text"))).alias("terms")).collect()
     vocabulary = sorted({t for r in rows for t in r["terms"]})
@@ -300,8 +316,13 @@ def _search_block(docs: DataFrame, items: DataFrame, first: int, k: int, tiers:
     n_docs, length = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     w = np.zeros(len(vocabulary), np.int64)
-    for r in df.select("term", F.floor(1000 * F.log((2.0 * n_docs + 2.0) / (2.0 * F.col("df") + 1.0))).cast("bigint").alias("w")).collect():
-        w[r["term"]] = r["w"]
+    most = 0
+    for r in df.select("term", "df", F.floor(1000 * F.log((2.0 * n_docs + 2.0) / (2.0 * F.col("df") + 1.0))).cast("bigint").alias("w")).collect():
+        w[r["term"]], most = r["w"], max(most, r["df"])
+    if tiers is None:
+        tiers = [FIRST]
+        while tiers[-1] * FACTOR < most:
+            tiers.append(tiers[-1] * FACTOR)
     weights = Weights(w, n_docs, max(1, length))
 
     # of each tier: the least step of each term's postings in it, and the most that a posting left out may add
@@ -329,16 +350,21 @@ def _search_block(docs: DataFrame, items: DataFrame, first: int, k: int, tiers:
         if last:
             done.append(best.select("item", "rank", "doc_id", "score", F.lit(j).alias("tier")))
             break
-        kth = {r["item"]: r["score"] for r in best.where(F.col("rank") == k).select("item", "score").collect()}
+        # the whole scores of these few: their kth is a lower limit that the tier alone does not give
+        whole = _ranked(exact_scores(counted, best.select("item", "rid"), terms_of_item, weights), k)
+        kth = {r["item"]: r["score"] for r in whole.where(F.col("rank") == k).select("item", "score").collect()}
         rest = {i: int(residual[j][terms_of_item[i]].sum()) for i in open_items}
         # no document that the tier lacks can reach the kth score
         proven = [i for i in open_items if rest[i] < kth.get(i, 1)]
+        bounds = lambda some: (Asked(some, terms_of_item, len(vocabulary)), weights, residual[j], np.array([rest[i] for i in some]), np.array([kth.get(i, 1) for i in some]))
+        if proven:
+            n_near = may_reach(tier, *bounds(proven), count=True).groupBy("item").agg(F.sum("score").alias("n"))
+            wide = {r["item"] for r in n_near.where(F.col("n") > LOOKED_UP * k).collect()}
+            proven = [i for i in proven if i not in wide]
         if proven:
-            sure = Asked(proven, terms_of_item, len(vocabulary))
-            near = may_reach(tier, sure, weights, residual[j], np.array([rest[i] for i in proven]), np.array([kth.get(i, 1) for i in proven]))
+            near = may_reach(tier, *bounds(proven))
             scored = exact_scores(counted, materialize(near.select("item", "rid"), "near"), terms_of_item, weights)
-            order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first(), "rid")
-            top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            top = _ranked(scored, k)
             done.append(materialize(top.select("item", "rank", "doc_id", "score", F.lit(j).alias("tier")), "proven"))
         open_items = sorted(set(open_items) - set(proven))
         drop_table(tier)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import evaluation, evidence
+from tessera.operators import constrained, evaluation, evidence
 from tessera.operators import selection as sel
 from tessera.plans.bindings import table
 from tessera.sources import documents as src
@@ -76,17 +76,98 @@ def _(spark, d):
     return g.join(nxt, ["conv_id", "turn"]).select("conv_id", F.col("turn").alias("a"), (F.col("turn") + 1).alias("b"), F.round(fn.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
 
 
-@register("select_diverse_mmr")
+_SHINGLES = "(SELECT conv_id AS request, turn AS record, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) ELSE [array_to_string(t, ' ')] END AS g FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+')[1:256] AS t FROM conversations))"
+#: Likeness of the turns of one conversation, both ways.
+_LIKE = f"h AS {_SHINGLES}, li AS (SELECT a.request, a.record, list({{'b': b.record, 'sim': len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))}}) AS li FROM h a JOIN h b ON a.request = b.request AND a.record <> b.record GROUP BY ALL)"
+_MMR = f"""WITH RECURSIVE {_TURNS}, {_LIKE},
+  c AS (SELECT s.request, s.record, s.tokens, s.category, s.utility, coalesce(li.li, []) AS li FROM s LEFT JOIN li USING (request, record) WHERE utility >= 0.1 AND tokens <= 1200),
+  m AS (SELECT DISTINCT request, 0 AS position, []::BIGINT[] AS taken, []::VARCHAR[] AS cats, 0::BIGINT AS spent, NULL::BIGINT AS record, NULL::DOUBLE AS marginal, NULL::BIGINT AS tokens FROM c
+    UNION ALL SELECT request, position + 1, list_append(taken, rec), list_append(cats, category), spent + tok, rec, worth, tok FROM (
+      SELECT *, row_number() OVER (PARTITION BY request ORDER BY worth DESC, utility DESC, rec) AS r FROM (
+        SELECT m.request, m.position, m.taken, m.cats, m.spent, c.record AS rec, c.tokens AS tok, c.category, c.utility, coalesce(list_max(list_transform(list_filter(c.li, lambda x: list_contains(m.taken, x.b)), lambda x: x.sim)), 0) AS near,
+          round(c.utility - 1.25::DOUBLE * coalesce(list_max(list_transform(list_filter(c.li, lambda x: list_contains(m.taken, x.b)), lambda x: x.sim)), 0) + CASE WHEN list_contains(m.cats, c.category) THEN 0 ELSE 0.15::DOUBLE END, 6) AS worth
+        FROM m JOIN c ON c.request = m.request AND NOT list_contains(m.taken, c.record) AND len(list_filter(m.cats, lambda k: k = c.category)) < 3 AND m.spent + c.tokens <= 1200) WHERE near < 0.92)
+    WHERE r = 1 AND worth >= 0)"""
+
+
+@register("select_diverse_mmr", _MMR + " SELECT request, record, position::INT AS position, marginal, tokens FROM m WHERE position > 0")
 def _(spark, d):
     c = _records(spark, d).withColumn("shingles", sel.shingles(F.col("text")))
     return sel.select_diverse(c.select("request", "record", "utility", "tokens", "category", "shingles"))
 
 
-@register("select_manifest")
+@register("select_manifest", _MMR + " SELECT request, count(*) AS n, sum(tokens)::BIGINT AS tokens, sha256(string_agg(record::VARCHAR, ',' ORDER BY position)) AS etag FROM m WHERE position > 0 GROUP BY request")
 def _(spark, d):
     return sel.manifest(QUERIES["select_diverse_mmr"](spark, d)).select("request", "n", "tokens", "etag")
 
 
+# constraints: the last turn of a conversation is required, system turns govern, secrets are not eligible; the first
+# turn's longer terms are the entities to cover
+
+_BUDGET = 220
+_CONSTRAINED = f"""WITH RECURSIVE {_TURNS}, {_LIKE},
+  e AS (SELECT *, list_filter(w, lambda x: length(x) >= 8) AS ents, list_sort(list_filter(q, lambda x: length(x) >= 8))[1:3] AS wanted, max(record) OVER (PARTITION BY request) AS need, regexp_matches(text, '(?i)(password|token|secret)\\s*=') AS bad, md5(text) AS hash FROM t),
+  c AS (SELECT e.request, e.record, e.tokens, s.utility + 0.3::DOUBLE AS utility, CASE e.category WHEN 'system' THEN 'governance' WHEN 'assistant' THEN 'evidence' ELSE 'episodes' END AS category, ents, wanted, need, bad, e.record = need OR e.category = 'system' AS forced,
+      coalesce(list_transform(li.li, lambda x: {{'b': x.b, 'sim': CASE WHEN list_contains(tw.tw, x.b) THEN 1.0::DOUBLE ELSE x.sim END}}), []) AS li
+    FROM e JOIN s USING (request, record) LEFT JOIN li USING (request, record) LEFT JOIN (SELECT request, hash, list(record) AS tw FROM e GROUP BY ALL) tw ON tw.request = e.request AND tw.hash = e.hash),
+  q AS (SELECT request, any_value(wanted) AS wanted, bool_or(bad AND record = need) AS missing, coalesce(sum(tokens) FILTER (forced AND NOT bad), 0)::BIGINT AS spent, coalesce(list(record ORDER BY record <> need, record) FILTER (forced AND NOT bad), []) AS taken,
+      coalesce(list(category ORDER BY record) FILTER (forced AND NOT bad), []) AS cats, coalesce(list_distinct(flatten(list(ents) FILTER (forced AND NOT bad))), []) AS cov FROM c GROUP BY request),
+  m AS (SELECT request, wanted, len(taken) AS n, taken, taken AS gone, cats, spent, cov, NULL::BIGINT AS record, NULL::DOUBLE AS marginal, NULL::VARCHAR AS reasons, false AS took, false AS stop, 0 AS step FROM q WHERE NOT missing AND spent <= {_BUDGET}
+    UNION ALL SELECT request, wanted, n + (why = '')::INT, CASE WHEN why = '' THEN list_append(taken, rec) ELSE taken END, list_append(gone, rec), CASE WHEN why = '' THEN list_append(cats, category) ELSE cats END, CASE WHEN why = '' THEN spent + tok ELSE spent END,
+      CASE WHEN why = '' THEN list_distinct(list_concat(cov, ents)) ELSE cov END, rec, worth,
+      CASE WHEN why = '' THEN CASE WHEN fresh THEN 'entity_coverage' ELSE 'complementary_evidence' END || ',' || CASE WHEN list_contains(cats, category) THEN 'kind_overlap' ELSE 'diversity_gain' END ELSE why END, why = '',
+      why = '' AND list_has_all(list_concat(cov, ents), wanted) AND len(list_filter(list_append(cats, category), lambda k: k = 'evidence')) >= 2, step + 1
+    FROM (SELECT *, array_to_string(list_filter([CASE WHEN utility < 0.35 THEN 'below_minimum_utility' END, CASE WHEN near >= 0.92 THEN 'redundant' END,
+        CASE WHEN len(list_filter(cats, lambda k: k = category)) >= CASE category WHEN 'governance' THEN 6 WHEN 'evidence' THEN 4 ELSE 3 END THEN 'category_cap' END,
+        CASE WHEN spent + tok > {_BUDGET} THEN 'token_budget' END, CASE WHEN worth < 0.2 THEN 'insufficient_marginal_utility' END], lambda x: x IS NOT NULL), ',') AS why
+      FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY worth DESC, tok, rec) AS r FROM (
+        SELECT *, round(utility - 1.25::DOUBLE * near + CASE WHEN fresh THEN 0.75::DOUBLE ELSE 0 END + CASE WHEN list_contains(cats, category) THEN 0 ELSE 0.15::DOUBLE END, 6) AS worth FROM (
+          SELECT m.*, c.record AS rec, c.tokens AS tok, c.category, c.utility, c.ents, len(list_filter(list_intersect(c.ents, m.wanted), lambda x: NOT list_contains(m.cov, x))) > 0 AS fresh,
+            round(coalesce(list_max(list_transform(list_filter(c.li, lambda x: list_contains(m.taken, x.b)), lambda x: x.sim)), 0), 6) AS near
+          FROM m JOIN c ON c.request = m.request AND NOT list_contains(m.gone, c.record) AND NOT c.bad WHERE NOT m.stop AND m.n < 12))) WHERE r = 1)),
+  z AS (SELECT request, arg_max(stop, step) AS stop, arg_max(gone, step) AS gone, arg_max(taken, step) AS taken, arg_max(n, step) AS n, arg_max(cov, step) AS cov, arg_max(cats, step) AS cats, any_value(wanted) AS wanted FROM m GROUP BY request),
+  o AS (SELECT request, record, CASE WHEN took THEN 'selected' ELSE 'excluded' END AS state, CASE WHEN took THEN n END AS position, marginal, reasons FROM m WHERE record IS NOT NULL
+    UNION ALL SELECT c.request, c.record, 'selected', list_position(q.taken, c.record), 1000.0::DOUBLE, CASE WHEN c.record = need THEN 'required' ELSE 'governance' END FROM c JOIN q USING (request) JOIN z USING (request) WHERE forced AND NOT bad
+    UNION ALL SELECT c.request, c.record, 'excluded', NULL, NULL, 'secret' FROM c WHERE bad
+    UNION ALL SELECT c.request, c.record, 'refused', NULL, NULL, CASE WHEN missing THEN 'required_context_unresolved' ELSE 'required_context_over_budget' END FROM c JOIN q USING (request) WHERE NOT bad AND request NOT IN (SELECT request FROM z)
+    UNION ALL SELECT q.request, NULL, 'refused', NULL, NULL, 'required_context_unresolved' FROM q WHERE missing AND request NOT IN (SELECT request FROM c WHERE NOT bad)
+    UNION ALL SELECT c.request, c.record, 'excluded', NULL, utility, CASE WHEN NOT z.stop THEN 'maximum_candidate_count' WHEN round(coalesce(list_max(list_transform(list_filter(c.li, lambda x: list_contains(z.taken, x.b)), lambda x: x.sim)), 0), 6) >= 0.92 THEN 'redundant' ELSE 'sufficient_without' END
+      FROM c JOIN z USING (request) WHERE NOT bad AND NOT list_contains(z.gone, c.record))"""
+
+
+def _constrained(spark, d):
+    """(requests, candidates) of the conversations."""
+    rows = _records(spark, d)
+    long = lambda c: F.filter(c, lambda x: F.length(x) >= 8)
+    kind = F.when(F.col("category") == "system", "policy").when(F.col("category") == "assistant", "evidence").otherwise("episode")
+    c = rows.withColumn("governance", F.col("category") == "system").withColumn("category", constrained.category_of(kind)).withColumn("shingles", sel.shingles(F.col("text"))).withColumn("entities", long("w"))
+    against = F.when(F.col("text").rlike(r"(?i)(password|token|secret)\s*="), F.array(F.lit("secret"))).otherwise(F.array().cast("array<string>"))
+    c = c.withColumn("against", against).withColumn("hash", F.md5("text")).withColumn("path", F.lit(None).cast("string")).withColumn("conflict", F.lit(False)).withColumn("utility", F.col("utility") + 0.3)
+    first = F.min_by("w", "record")
+    requests = rows.groupBy("request").agg(F.lit(_BUDGET).alias("budget"), F.array(F.max("record")).alias("required"), F.slice(F.sort_array(long(first)), 1, 3).alias("entities"))
+    return requests, c
+
+
+@register("select_constrained", _CONSTRAINED + " SELECT request, record, state, position::INT AS position, marginal, reasons FROM o")
+def _(spark, d):
+    return constrained.select_constrained(*_constrained(spark, d)).drop("sufficient")
+
+
+@register("select_sufficiency", _CONSTRAINED + """ SELECT request, count(*) FILTER (state = 'selected') AS n, coalesce(any_value(list_has_all(z.cov, z.wanted) AND len(list_filter(z.cats, lambda k: k = 'evidence')) >= 2), false) AS sufficient FROM o LEFT JOIN z USING (request) GROUP BY request""")
+def _(spark, d):
+    made = constrained.select_constrained(*_constrained(spark, d))
+    return made.groupBy("request").agg(F.count_if(F.col("state") == "selected").alias("n"), F.bool_or("sufficient").alias("sufficient"))
+
+
+@register("select_assembly", _CONSTRAINED + f""", a AS (SELECT o.request, o.record, c.tokens, t.text, CASE c.category WHEN 'governance' THEN 0 WHEN 'evidence' THEN 4 ELSE 6 END AS section, position FROM o JOIN c USING (request, record) JOIN t USING (request, record) WHERE state = 'selected'),
+    b AS (SELECT *, 100 - coalesce(sum(tokens) OVER (PARTITION BY request ORDER BY section, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, row_number() OVER (PARTITION BY request ORDER BY section, position)::INT AS place FROM a),
+    k AS (SELECT *, CASE WHEN tokens <= rest THEN 'full' WHEN rest >= 60 THEN 'snippet' WHEN rest >= 20 THEN 'outline' WHEN rest > 0 THEN 'locator' ELSE 'excluded' END AS shown FROM b)
+  SELECT request, record, section, place, shown, sha256(CASE shown WHEN 'full' THEN text WHEN 'snippet' THEN substr(text, 1, 240) WHEN 'outline' THEN split_part(text, chr(10), 1) WHEN 'locator' THEN record::VARCHAR ELSE '' END) AS digest FROM k""")
+def _(spark, d):
+    requests, c = _constrained(spark, d)
+    return constrained.assemble(constrained.select_constrained(requests, c), c.select("request", "record", "category", "tokens", "text"), 100)
+
+
 @register("select_manifest_diff", """WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE lang IN ('en', 'fr')), b AS (SELECT doc_id, CASE WHEN source = 'src3' THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE lang IN ('en', 'de'))
   SELECT coalesce(a.doc_id, b.doc_id) AS record, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def _(spark, d):

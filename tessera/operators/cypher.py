@@ -1,12 +1,15 @@
 """A read-only subset of Cypher over an edge list, compiled to DataFrame operations.
 
     [AS OF 'time'] MATCH (a[:Label])-[r[:TYPE]]->(b[:Label]) [WHERE test]
+    [WITH [DISTINCT] item [AS name], ... [ORDER BY name [DESC]] [LIMIT n] [WHERE test]] ...
     RETURN [DISTINCT] item [AS name], ... [ORDER BY name [DESC]] [LIMIT n]
 
-A test joins comparisons (= <> < <= > >= CONTAINS, STARTS WITH) and label tests
+A WITH ends the scope: what follows sees its items only, by their names, and nodes that it
+passes on. Where an item of a WITH counts, its other items are what it counts by, and a
+WHERE behind it filters the groups; in RETURN a count stands alone. A test joins comparisons (= <> < <= > >= CONTAINS, STARTS WITH) and label tests
 with NOT, AND, OR and brackets. Items are a.name, a.type, r.predicate, r.source,
 r.from, r.to, literals, toInteger(item), labels(a), count(*) and
-count(DISTINCT item). A comparison that cannot be decided is false. Everything
+count(DISTINCT item), and names that a WITH gave. A comparison that cannot be decided is false. Everything
 else raises CypherError.
 """
 
@@ -29,6 +32,17 @@ _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*')|(-?\d+)|([A-Za-z_][A-Za-z0-9_]*)
 _WRITES = ("create", "merge", "delete", "remove", "set", "detach", "drop")
 
 
+@dataclass
+class Stage:
+    """A WITH or RETURN: items (name, column, whether it counts), and what is done to their rows."""
+
+    items: list[tuple[str, Column, bool]] = field(default_factory=list)
+    distinct: bool = False
+    order: tuple[str, bool] | None = None
+    limit: int | None = None
+    where: Column | None = None
+
+
 @dataclass
 class Statement:
     left: tuple[str, str | None]
@@ -36,10 +50,7 @@ class Statement:
     right: tuple[str, str | None]
     at: str | None = None
     where: Column | None = None
-    items: list[tuple[str, Column, bool]] = field(default_factory=list)
-    distinct: bool = False
-    order: tuple[str, bool] | None = None
-    limit: int | None = None
+    stages: list[Stage] = field(default_factory=list)
 
 
 class _Parser:
@@ -103,26 +114,47 @@ class _Parser:
         s = Statement(left, (var, kind), self.node(), at)
         if s.left[0] == s.right[0]:
             raise CypherError("the two nodes need different names")
-        self.s = s
+        #: What a name stands for: a node (by its name), the edge, or a value.
+        self.scope: dict[str, tuple[str, Column | None]] = {left[0]: ("node", F.col("src")), s.right[0]: ("node", F.col("dst"))}
+        if var:
+            self.scope[var] = ("edge", None)
         if self.take("where"):
             s.where = self.either()
+        while self.take("with"):
+            s.stages.append(self.stage(last=False))
         self.need("return")
-        s.distinct = self.take("distinct")
-        s.items.append(self.item())
-        while self.take(","):
-            s.items.append(self.item())
-        if any(x[2] for x in s.items) and len(s.items) > 1:
-            raise CypherError("count stands alone")
+        s.stages.append(self.stage(last=True))
+        if self.i < len(self.tokens):
+            raise CypherError("text after the statement")
+        return s
+
+    def stage(self, last: bool) -> Stage:
+        st = Stage(distinct=self.take("distinct"))
+        seen: dict[str, tuple[str, Column | None]] = {}
+        while True:
+            name, column, counts, kind = self.item(last)
+            if name in seen:
+                raise CypherError(f"two items are named {name}")
+            st.items.append((name, column, counts))
+            seen[name] = (kind, F.col(f"`{name}`"))
+            if not self.take(","):
+                break
+        if last and len(st.items) > 1 and any(x[2] for x in st.items):
+            raise CypherError("count stands alone in RETURN; a WITH counts by groups")
         if self.take("order", "by"):
-            s.order = (self.name(), self.take("desc"))
-            if s.order[0] not in [n for n, _, _ in s.items]:
+            st.order = (self.name(), self.take("desc"))
+            if st.order[0] not in seen:
                 raise CypherError("ORDER BY takes a returned name")
         if self.take("limit"):
-            s.limit = int(self.tokens[self.i])
+            if self.i >= len(self.tokens) or not self.tokens[self.i].isdigit():
+                raise CypherError("LIMIT takes a whole number")
+            st.limit = int(self.tokens[self.i])
             self.i += 1
-        if self.i < len(self.tokens):
-            raise CypherError("text after the statement")
-        return s
+        if not last:
+            self.scope = seen
+            if self.take("where"):
+                st.where = self.either()
+        return st
 
     def literal(self) -> str:
         t = self.tokens[self.i] if self.i < len(self.tokens) else ""
@@ -150,20 +182,20 @@ class _Parser:
         if var.lower() == "labels" and self.take("("):
             v = self.name()
             self.need(")")
-            return f"labels({v})", F.array(fn.entity_type(self.end(v)))
+            return f"labels({v})", F.array(F.initcap(fn.entity_type(self.end(v))))
+        if self.scope.get(var, ("", None))[0] == "value":
+            return var, self.scope[var][1]
         self.need(".")
         prop = self.name()
         return f"{var}.{prop}", self.prop(var, prop)
 
     def end(self, var: str) -> Column:
-        if var == self.s.left[0]:
-            return F.col("src")
-        if var == self.s.right[0]:
-            return F.col("dst")
-        raise CypherError(f"{var} is no node")
+        if self.scope.get(var, ("", None))[0] == "node":
+            return self.scope[var][1]
+        raise CypherError(f"{var} is no node here")
 
     def prop(self, var: str, prop: str) -> Column:
-        if var == self.s.edge[0]:
+        if self.scope.get(var, ("", None))[0] == "edge":
             cols = {"predicate": "predicate", "type": "predicate", "source": "source", "from": "src", "to": "dst"}
             if prop not in cols:
                 raise CypherError(f"an edge has no {prop}")
@@ -174,7 +206,7 @@ class _Parser:
             return fn.entity_type(self.end(var))
         raise CypherError(f"a node has no {prop}")
 
-    def item(self) -> tuple[str, Column, bool]:
+    def item(self, last: bool) -> tuple[str, Column, bool, str]:
         if self.take("count", "("):
             if self.take("*"):
                 name, column = "count(*)", F.count("*")
@@ -183,9 +215,19 @@ class _Parser:
                 n, c = self.value()
                 name, column = f"count(DISTINCT {n})", F.count_distinct(F.coalesce(F.to_json(F.struct(c)), F.lit("null")))
             self.need(")")
-            return (self.name() if self.take("as") else name), column, True
+            return (self.name() if self.take("as") else name), column, True, "value"
+        word = self.tokens[self.i] if self.i < len(self.tokens) else ""
+        following = self.tokens[self.i + 1] if self.i + 1 < len(self.tokens) else ""
+        if self.scope.get(word, ("", None))[0] == "node" and following != ".":
+            if last:
+                raise CypherError("a node is returned by its properties")
+            self.i += 1
+            return (self.name() if self.take("as") else word), self.end(word), False, "node"
         n, c = self.value()
-        return (self.name() if self.take("as") else n), c, False
+        name = self.name() if self.take("as") else n
+        if not last and name == n and not re.fullmatch(r"[A-Za-z_]\w*", n):
+            raise CypherError("WITH needs a name for an expression")
+        return name, c, False, "value"
 
     def either(self) -> Column:
         c = self.all()
@@ -244,12 +286,30 @@ def query(edges: DataFrame, text: str, *, at: str | None = None) -> DataFrame:
             rows = rows.where(fn.entity_type(F.col(column)) == label.lower())
     if s.where is not None:
         rows = rows.where(s.where)
-    if s.items[0][2]:
-        return rows.agg(s.items[0][1].alias(s.items[0][0]))
-    rows = rows.select(*[c.alias(n) for n, c, _ in s.items])
-    rows = rows.distinct() if s.distinct else rows
-    if s.order:
-        key = F.col(f"`{s.order[0]}`")
-        rest = [F.col(f"`{n}`") for n, _, _ in s.items if n != s.order[0]]
-        rows = rows.orderBy(key.desc() if s.order[1] else key, *rest)
-    return rows.limit(s.limit) if s.limit is not None else rows
+    for st in s.stages:
+        rows = _apply(rows, st)
+    return rows
+
+
+def _apply(rows: DataFrame, st: Stage) -> DataFrame:
+    plain = [c.alias(n) for n, c, counts in st.items if not counts]
+    counted = [c.alias(n) for n, c, counts in st.items if counts]
+    if counted:
+        rows = (rows.groupBy(*plain) if plain else rows).agg(*counted).select(*[F.col(f"`{n}`") for n, _, _ in st.items])
+    else:
+        rows = rows.select(*plain)
+    rows = rows.distinct() if st.distinct else rows
+    if st.order:
+        key = F.col(f"`{st.order[0]}`")
+        rest = [F.col(f"`{n}`") for n, _, _ in st.items if n != st.order[0]]
+        rows = rows.orderBy(key.desc() if st.order[1] else key, *rest)
+    rows = rows.limit(st.limit) if st.limit is not None else rows
+    return rows if st.where is None else rows.where(st.where)
+
+
+def query_page(edges: DataFrame, text: str, max_rows: int = 100, *, at: str | None = None) -> tuple[DataFrame, bool]:
+    """At most ``max_rows`` rows of query() (1 to 500), and whether more were left out: one row
+    beyond the page is looked for, never all."""
+    most = max(1, min(500, max_rows))
+    rows = query(edges, text, at=at)
+    return rows.limit(most), len(rows.offset(most).limit(1).take(1)) > 0

@@ -158,6 +158,16 @@ _CYPHER = {
         _E + " SELECT DISTINCT dst AS nation FROM edges WHERE starts_with(dst, 'nation:') AND ((predicate = 'LIVES_IN' AND contains(src, '99')) OR NOT starts_with(src, 'customer:')) ORDER BY 1 LIMIT 10",
     ),
     "cypher_count": ("MATCH (a:Customer)-[r:LIVES_IN]->(b) WHERE b.name STARTS WITH 'nation:' RETURN count(*) AS n", _E + " SELECT count(*) AS n FROM edges WHERE predicate = 'LIVES_IN' AND starts_with(src, 'customer:')"),
+    "cypher_with_distinct": ("MATCH (a:Customer)-[:LIVES_IN]->(b) WITH DISTINCT b.name AS nation RETURN nation ORDER BY nation LIMIT 5", _E + " SELECT DISTINCT dst AS nation FROM edges WHERE predicate = 'LIVES_IN' ORDER BY 1 LIMIT 5"),
+    "cypher_with_groups": (
+        "MATCH (a)-[r]->(b:Nation) WHERE NOT a.name = 'customer:1' WITH b.name AS nation, r.predicate AS kind, count(*) AS n WHERE n > 2 AND kind <> 'PART_OF' RETURN nation, n, kind ORDER BY n DESC",
+        _E + " SELECT dst AS nation, predicate AS kind, count(*) AS n FROM edges WHERE starts_with(dst, 'nation:') AND src <> 'customer:1' GROUP BY 1, 2 HAVING count(*) > 2",
+    ),
+    "cypher_with_stages": (
+        "MATCH (a)-[r]->(b:Nation) WITH b, count(*) AS n, count(DISTINCT r.predicate) AS kinds WITH n, kinds, count(*) AS nations, count(DISTINCT b.name) AS names WHERE nations >= 1 RETURN n, kinds, nations, names",
+        _E + ", g AS (SELECT dst, count(*) AS n, count(DISTINCT predicate) AS kinds FROM edges WHERE starts_with(dst, 'nation:') GROUP BY 1) SELECT n, kinds, count(*) AS nations, count(DISTINCT dst) AS names FROM g GROUP BY 1, 2",
+    ),
+    "cypher_with_counts": ("MATCH (a)-[r]->(b) WITH r.predicate AS kind, count(*) AS n, count(DISTINCT b.name) AS ends RETURN kind, n, ends ORDER BY kind", _E + " SELECT predicate AS kind, count(*) AS n, count(DISTINCT dst) AS ends FROM edges GROUP BY 1"),
     "cypher_count_distinct": ("MATCH (a)-[r]->(b) RETURN count(DISTINCT b.type) AS n", _E + " SELECT count(DISTINCT split_part(dst, ':', 1)) AS n FROM edges"),
 }
 
@@ -172,6 +182,12 @@ for _name, (_text, _sql) in _CYPHER.items():
     _cypher(_name, _text, _sql)
 
 
+@register("cypher_page", _E + " SELECT src AS who, dst AS nation, (SELECT count(*) FROM edges WHERE predicate = 'LIVES_IN') > 100 AS truncated FROM edges WHERE predicate = 'LIVES_IN' ORDER BY src, dst LIMIT 100")
+def _(spark, d):
+    rows, truncated = cypher.query_page(edges(spark, d), "MATCH (a)-[:LIVES_IN]->(b) RETURN a.name AS who, b.name AS nation ORDER BY who", 100)
+    return rows.withColumn("truncated", F.lit(truncated))
+
+
 @register("cypher_as_of", f"WITH {FACTS_SQL} SELECT subject AS who, object AS what FROM facts WHERE predicate = 'click' AND valid_from <= TIMESTAMP '2024-01-15 00:00:00' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-01-15 00:00:00')")
 def _(spark, d):
     e = facts(spark, d).select(F.col("subject").alias("src"), "predicate", F.col("object").alias("dst"), "source", "valid_from", "valid_until")

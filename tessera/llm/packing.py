@@ -22,8 +22,9 @@ BLOCK = 100_000
 #: batches' worth, or each batch would clear what the last one learnt.
 REMEMBERED_BYTES = 32 << 20
 
-#: Bytes of texts that are encoded together: the more, the fewer distinct chunks a byte.
-TOGETHER = 8 << 20
+#: Bytes of texts that are encoded together: the more, the fewer distinct chunks a byte, and the
+#: more memory a worker takes. Where little is left, as at a pipeline's end, give less.
+TOGETHER = 16 << 20
 
 FAR = np.iinfo(np.int64).max
 PIECES = "doc_id bigint, rid bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
@@ -36,12 +37,13 @@ class ChunkEncoder:
     visible characters, so a text's ids are those of its space-separated chunks
     (each with its space), one after the other. Chunks recur: each batch of texts
     is encoded by its distinct ones, and those it holds twice or more are
-    remembered, up to REMEMBERED_BYTES. Texts where a space touches other white
+    remembered, up to a bound. Texts where a space touches other white
     space, that hold a special token, or a chunk that does not open with one token
     of a space, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = REMEMBERED_BYTES if remembered is None else remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -75,7 +77,7 @@ class ChunkEncoder:
         return out
 
     def _ids(self, chunks: list[str], often: np.ndarray) -> list[bytes | None]:
-        if self.held > REMEMBERED_BYTES:
+        if self.held > self.remembered:
             self.known.clear()
             self.held = 0
         ids = list(map(self.known.get, chunks))
@@ -206,14 +208,15 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool, together: int = TOGETHER) -> DataFrame:
     """Pieces of each document: its ids and ``end_id``; one too long is cut into
     full pieces behind a first piece that holds the rest."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
-        for part in regrouped(batches, TOGETHER):
+        coder.remembered = 2 * together
+        for part in regrouped(batches, together):
             cols = [[], [], [], [], [], [], []]
             for doc_id, rid, ids in zip(part["doc_id"].to_pylist(), part["rid"].to_pylist(), coder.encode(part["text"]), strict=True):
                 data, n = ids.tobytes() + end_id.to_bytes(4, "little"), len(ids) + 1
@@ -233,7 +236,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     return rows.mapInArrow(run, PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, block: int = BLOCK) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
     """Pack the documents of ``docs`` (doc_id, text) into sequences of ``capacity`` tokens.
 
     Returns a row a piece: doc_id, rid (a row number), piece, start, length,
@@ -248,9 +251,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024
 
     Null and empty texts are one piece with ``end_id`` alone. Repeated rows, and
     rows with a null doc_id, are each packed. Ties go to the lower row number.
-    An empty table gives an empty result. Other columns are ignored.
+    An empty table gives an empty result. Other columns are ignored. ``together``
+    bounds the bytes of texts that a worker encodes at once.
     """
-    pieces = materialize(tokenised_pieces(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces")
+    pieces = materialize(tokenised_pieces(docs, tokenizer_path, capacity, end_id, keep_ids, together), "pieces")
     blocks = max(1, round(pieces.count() / block))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:

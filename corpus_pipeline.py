@@ -81,7 +81,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     token alone; a null doc_id stays null. Other columns are left out; an empty table
     gives an empty result.
     """
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    # the stages before leave executors little memory
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), together=3 << 20).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

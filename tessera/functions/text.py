@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words left out of keyword queries (fixed values).
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "which", "with")
 #: Suffix of a path and its language (fixed values).
-LANGUAGES = {"py": "python", "ts": "typescript", "js": "javascript", "rs": "rust", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "md": "markdown", "json": "json", "sql": "sql"}
+LANGUAGES = {
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "py": "python", "rs": "rust", "go": "go", "java": "java",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "lua": "lua",
+    "sh": "bash", "bash": "bash", "zsh": "bash", "sql": "sql", "m": "objectivec", "mm": "objectivec", "scala": "scala", "sc": "scala", "dart": "dart", "r": "r", "jl": "julia", "zig": "zig", "md": "markdown", "json": "json",
+}
 
 
 def collapse(text: Column) -> Column:
@@ -21,6 +28,23 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def unicode_terms(text: Column) -> Column:
+    """Lower-cased runs of letters, marks and digits of any script, so accented words stay whole."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+
+
+def normal_form(text: Column, form: str = "NFKC") -> Column:
+    """Unicode normal form (NFC, NFD, NFKC, NFKD), by Arrow batches: Spark has no function for it."""
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"no normal form {form}")
+
+    @F.arrow_udf("string")
+    def normal(batch: pa.Array) -> pa.Array:
+        return pa.array([x if x is None else unicodedata.normalize(form, x) for x in batch.to_pylist()], pa.string())
+
+    return normal(text)
+
+
 def identifier_parts(name: Column) -> Column:
     """Parts of a camelCase, snake_case or numbered identifier, lower-cased, and the identifier itself first."""
     split = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([A-Za-z])([0-9])", "$1 $2")

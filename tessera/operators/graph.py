@@ -75,16 +75,21 @@ def reverse_impact(calls: DataFrame, changed: DataFrame, depth: int) -> DataFram
     return neighbourhood(back, changed, depth, directed=True)
 
 
-def trace_paths(edges: DataFrame, start: str, depth: int, limit: int = 100) -> DataFrame:
-    """Simple outbound paths of 1 to ``depth`` edges, short ones first, ``limit`` at most."""
-    steps = edges.select("src", "dst").distinct()
+def trace_paths(edges: DataFrame, start: str, depth: int, limit: int = 100, *, direction: str = "outbound", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Simple paths of 1 to ``depth`` edges, short ones first, ``limit`` at most: along the edges, against them
+    (inbound), or either way at each step (both); over edges of ``kinds`` (predicate), if given."""
+    edges = edges if kinds is None else edges.where(F.col("predicate").isin(*kinds))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    steps = {"outbound": edges.select("src", "dst"), "inbound": back, "both": edges.select("src", "dst").unionAll(back)}[direction].distinct()
     paths = edges.sparkSession.createDataFrame([([start],)], "path array<string>")
-    found = []
+    found, n = [], 0
     for _ in range(depth):
         last = F.element_at("path", -1)
-        paths = paths.join(steps, last == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        grown = paths.join(steps, last == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        paths = _cut(grown)
         found.append(paths)
-        if sum(p.limit(limit).count() for p in found) >= limit:
+        n += paths.limit(limit).count()
+        if n >= limit:
             break  # longer paths come behind all of these
     every = found[0]
     for more in found[1:]:
@@ -138,24 +143,47 @@ def languages(edges: DataFrame) -> DataFrame:
     return edges.groupBy(fn.language_of(F.col("source")).alias("language")).agg(F.count("*").alias("n"))
 
 
+def _toggle(part: int):
+    """Fold of 64-bit digests into the parities of one quarter of 256 bits."""
+    return lambda bits, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == part, bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits)
+
+
 def similar_sets(sets: DataFrame, key: str, *, threshold: float) -> DataFrame:
     """Rows (a, b, similarity) of the token sets of one ``language`` that reach a Jaccard threshold, whole.
 
     ``sets`` has ``key``, language and tokens (distinct). Equal sets are one class, named
     by its smallest key: its other members come as (name, member, 1.0). Pairs of classes
     come as (smaller name, larger name, similarity). Each class is indexed under its
-    rarest tokens, as many as no class that reaches the threshold can miss all of;
-    those that meet there, of sizes that can reach it, are checked exactly."""
-    token = F.transform("tokens", lambda t: F.xxhash64(t))
-    classes = sets.groupBy("language", "tokens").agg(F.min(key).alias("a")).select("a", "language", F.size("tokens").alias("n"), token.alias("tokens"))
-    first = Window.partitionBy("language", "tokens")
-    copies = sets.select(F.min(key).over(first).alias("a"), F.col(key).alias("b")).where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    rarest tokens, as many as no class that reaches the threshold can miss all of.
+    Of two that meet there only those go on whose sizes, whose tokens left after the one that
+    they share, and whose parity bits allow the threshold: tokens toggle bits of 256, so two
+    sets differ in no more bits than tokens. Those are checked exactly."""
+    # written once: all that follows reads digests of tokens, not texts
+    at = scratch_folder(sets.sparkSession, "sets")
+    digest = F.sha2(F.array_join("tokens", " "), 256).alias("digest")
+    base = sets.select(F.col(key).alias("b"), "language", F.size("tokens").alias("n"), digest, F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    base.write.parquet(at)
+    base = sets.sparkSession.read.schema(base.schema).parquet(at)
+    names = base.groupBy("language", "digest").agg(F.min("b").alias("a"))
+    named = base.join(names.withColumnRenamed("language", "l"), (F.col("language").eqNullSafe(F.col("l"))) & (base["digest"] == names["digest"])).drop("l").drop(names["digest"])
+    copies = named.where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    classes = named.where("a = b").dropDuplicates(["a"]).select("a", "language", "n", "tokens")
+    bits = [F.aggregate("tokens", F.lit(0).cast("bigint"), _toggle(j)).alias(f"b{j}") for j in range(4)]
     words = classes.where("language is not null").select("a", "language", "n", F.explode("tokens").alias("t"))
     often = words.groupBy("language", "t").agg(F.count("*").alias("df"))
     ranked = words.join(often, ["language", "t"]).groupBy("a", "language", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("w"))
-    rare = ranked.select("a", "language", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("w")).select("a", "language", "n", "w.t")
-    other = rare.select(F.col("a").alias("b"), "language", F.col("n").alias("m"), "t")
-    met = rare.join(other, ["language", "t"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - 1e-9)).select("a", "b").distinct()
+    signs = classes.select("a", *bits)
+    prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1)
+    rare = ranked.join(signs, "a").select("a", "language", "n", "b0", "b1", "b2", "b3", F.posexplode(prefix).alias("at", "w")).withColumn("t", F.col("w.t")).drop("w")
+    other = rare.select("language", "t", *[F.col(c).alias(f"o_{c}") for c in ("a", "n", "at", "b0", "b1", "b2", "b3")])
+    size = F.least("n", "o_n") >= F.greatest("n", "o_n") * F.lit(threshold) - 1e-9
+    both = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("o_n")) - 1e-6
+    rest = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at")) >= both
+    apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("o_b0")))
+    for j in (1, 2, 3):
+        apart = apart + F.bit_count(F.col(f"b{j}").bitwiseXOR(F.col(f"o_b{j}")))
+    alike = apart <= F.col("n") + F.col("o_n") - 2 * both
+    met = rare.join(other, ["language", "t"]).where((F.col("a") < F.col("o_a")) & size & rest & alike).select("a", F.col("o_a").alias("b")).distinct()
     ta, tb = classes.select("a", F.col("tokens").alias("ta")), classes.select(F.col("a").alias("b"), F.col("tokens").alias("tb"))
     scored = met.join(ta, "a").join(tb, "b").withColumn("m", F.size(F.array_intersect("ta", "tb")))
     scored = scored.select("a", "b", F.round(F.col("m") / (F.size("ta") + F.size("tb") - F.col("m")), 6).alias("similarity"))

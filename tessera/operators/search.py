@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,24 +77,62 @@ def merge_candidates(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def dense_cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """Cosine of each query with every other vector, the ``k`` best.
+def dense_cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, part: int = 16384) -> DataFrame:
+    """Cosine of each query with every other vector, the ``k`` best; vectors have one length.
+
+    Vectors are dealt into parts and queries into blocks. A task holds one block and walks
+    through one part in batches: a matrix product, and the best so far of each query."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts, blocks = max(1, -(-vectors.count() // part)), max(1, -(-queries.count() // block))
+    row = lambda df, asks: df.where("embedding is not null").select(F.lit(not asks).alias("late"), F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    asked = row(queries, True).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    held = row(vectors, False).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    tasks = asked.select("block", "part", "late", "vec_id", "e").unionByName(held.select("block", "part", "late", "vec_id", "e")).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "late")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, q, best = None, [], [], None
+
+        def out() -> pa.RecordBatch:
+            scores, found = best
+            who, place = np.nonzero(np.isfinite(scores))
+            return pa.RecordBatch.from_arrays([pa.array(np.array(ids)[who], pa.int64()), pa.array(found[who, place], pa.int64()), pa.array(scores[who, place], pa.float64())], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            key = np.stack([batch["block"].to_numpy(), batch["part"].to_numpy()], axis=1)
+            late, vec = batch["late"].to_numpy(zero_copy_only=False), batch["vec_id"].to_numpy()
+            flat, ends = batch["e"].flatten().to_numpy(zero_copy_only=False), batch["e"].offsets.to_numpy()
+            width = int(ends[1] - ends[0]) if batch.num_rows else 0
+            e = flat[ends[0] - ends[0] : ends[-1] - ends[0]].reshape(batch.num_rows, width) if batch.num_rows else flat.reshape(0, 0)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if tuple(key[a]) != at:
+                    if best is not None:
+                        yield out()
+                    at, ids, q, best = tuple(key[a]), [], [], None
+                asks = ~late[a:b]
+                ids += vec[a:b][asks].tolist()
+                q += list(e[a:b][asks])
+                rows, names = e[a:b][~asks], vec[a:b][~asks]
+                if not len(rows) or not ids:
+                    continue
+                mine = np.array(q)
+                if best is None:
+                    best = (np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (mine @ rows.T) / (np.sqrt((mine * mine).sum(axis=1))[:, None] * np.sqrt((rows * rows).sum(axis=1))[None, :])
+                s = np.where(np.isfinite(s) & (names[None, :] != np.array(ids)[:, None]), np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 * np.sign(s), -np.inf)
+                s = np.concatenate([best[0], s], axis=1)
+                f = np.concatenate([best[1], np.broadcast_to(names, (len(ids), len(names)))], axis=1)
+                order = np.lexsort((f, -s), axis=1)[:, :k]
+                best = (np.take_along_axis(s, order, 1), np.take_along_axis(f, order, 1))
+        if best is not None:
+            yield out()
 
-    Queries go to all tasks in blocks of about ``block`` rows, one block at a time,
-    so what is sent at once does not grow with the input."""
-    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    v = vectors.select("vec_id", F.col("embedding").alias("e"), norm(F.col("embedding")).alias("n"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), norm(F.col("embedding")).alias("qn"))
-    dot = F.aggregate(F.zip_with("e", "qe", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    blocks = max(1, -(-q.count() // block))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    best = None
-    for i in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = v.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (F.col("n") * F.col("qn")), 6).alias("score"))
-        top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        best = top if best is None else best.unionAll(top)
-    return best
+    found = tasks.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def snippets(docs: DataFrame, words: Sequence[str], *, context: int = 2, per_doc: int = 3, budget: int = 400) -> DataFrame:

@@ -132,14 +132,6 @@ def _(spark, d):
     return hits[0].unionAll(hits[1]).unionAll(hits[2]).select("fact_id").distinct()
 
 
-_SETS = """s AS (SELECT doc_id, lang AS language, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS tokens FROM documents),
-  t AS (SELECT doc_id, language, tokens FROM s WHERE len(tokens) >= 5),
-  m AS (SELECT doc_id, language, list_transform(range(16), lambda i: list_min(list_transform(tokens, lambda x: substr(md5(i || ':' || x), 1, 16)))) AS sig FROM t),
-  b AS (SELECT doc_id, language, unnest(list_transform(range(8), lambda b: b || '|' || sig[2 * b + 1] || '|' || sig[2 * b + 2])) AS bucket FROM m),
-  n AS (SELECT doc_id, first_value(doc_id) OVER w AS head, lag(doc_id) OVER w AS before FROM b WINDOW w AS (PARTITION BY language, bucket ORDER BY doc_id)),
-  p AS (SELECT DISTINCT unnest([head, before]) AS a, doc_id AS b FROM n WHERE before IS NOT NULL)"""
-
-
 @register("graph_clone_pairs", """WITH t AS (SELECT doc_id, lang AS language, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS tokens FROM documents WHERE len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) >= 5),
   c AS (SELECT language, tokens, min(doc_id) AS a FROM t GROUP BY ALL),
   w AS (SELECT a, language, len(tokens) AS n, unnest(tokens) AS w FROM c),

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import scratch_folder
+
 KEY = ("subject", "predicate")
 
 
@@ -95,13 +97,27 @@ def supersession_candidates(facts: DataFrame) -> DataFrame:
     return rows.where("differ and r > 1").select("fact_id", *KEY, F.col("by").alias("superseded_by"), F.col("r").alias("age_rank"))
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "step") -> DataFrame:
+    """``rows`` with their place in ``order``, from 1: a range sort and a prefix sum over its
+    partitions, so no task sees all rows. The sorted rows are written once, so that they are numbered once."""
+    spark = rows.sparkSession
+    at = scratch_folder(spark, "numbered")
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    laid.write.parquet(at)
+    laid = spark.read.schema(laid.schema).parquet(at)
+    parts = laid.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", (before - F.col("_first") + 1).alias("_shift"))
+    return laid.join(parts, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def refine_plan(candidates: DataFrame, active: int, target: int) -> DataFrame:
     """Greedy upkeep plan: ids in order of class, counted once, until ``target`` facts stay active.
 
     The first class that lists an id counts. The plan has active - target steps at
-    most, which are taken by top-k before they are numbered."""
+    most, numbered across partitions."""
     first = candidates.groupBy("fact_id").agg(F.min("rank").alias("rank"))
-    steps = first.orderBy("rank", "fact_id").limit(max(0, active - target)).withColumn("step", F.row_number().over(Window.orderBy("rank", "fact_id")))
+    steps = numbered(first, ["rank", "fact_id"]).where(F.col("step") <= max(0, active - target)).withColumn("step", F.col("step").cast("int"))
     return steps.select("fact_id", "rank", "step", (F.lit(active) - F.col("step")).alias("left"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import frugal, materialize
 
 #: Vectors a shard, vectors a leaf, queries a block.
 SHARD, LEAF, BLOCK = 4096, 64, 256
@@ -93,7 +93,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, scale: int = 25
     without an id. All vectors have one length, or an error is raised. With fewer
     than ``k`` other rows all are returned. A row of equal id is the query's own,
     also where ids repeat; other repeated rows count one by one. Empty tables give
-    an empty result.
+    an empty result. Rows of ``queries`` that share an id but not the vector are queries of
+    their own, each with its ranks; rows that share both are one query.
 
     Vectors are dealt by a hash of the row into shards of about ``shard``. First
     each query is searched in one shard; the kth score it finds there goes with
@@ -109,13 +110,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, scale: int = 25
     if len(widths) > 1:
         raise ValueError("vectors of more than one length")
     rows = rows.select("id", "v", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard"))
-    asked = asked.select("id", "v", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(shards)).cast("int").alias("home"))
+    asked = asked.select("id", "v", "rid", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(shards)).cast("int").alias("home"))
 
+    @frugal
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard: its vectors first, then blocks of queries."""
         at, ids, data, tree = None, [], [], None
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for r in batch.to_pylist():
                 if r["shard"] != at:
                     at, ids, data, tree = r["shard"], [], [], None
@@ -123,34 +125,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, scale: int = 25
                     ids.append(r["ids"][0])
                     data.append(r["data"])
                     continue
+                if tree is None and not ids:
+                    continue  # a shard that the hash gave no vector
                 if tree is None:
                     tree = KDTree(np.array(ids, np.int64), whole_numbers(np.array(data).reshape(len(ids), -1), scale))
                     ids, data = [], []
                 asked = whole_numbers(np.array(r["data"]).reshape(len(r["ids"]), -1), scale)
-                for i, q, bound in zip(r["ids"], asked, r["bounds"], strict=True):
+                for i, rid, q, bound in zip(r["ids"], r["rids"], asked, r["bounds"], strict=True):
                     found = tree.search(i, q, k, bound)
                     for score, vec in found:
-                        for c, v in zip(out, (i, vec, score, r["block"], at), strict=True):
+                        for c, v in zip(out, (i, rid, vec, score, r["block"], at), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "vec_id", "score", "block", "shard"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "rid", "vec_id", "score", "block", "shard"])
 
     def run(blocks_of: DataFrame) -> DataFrame:
-        own = rows.select("shard", F.lit(-1).alias("block"), F.array("id").alias("ids"), F.col("v").alias("data"), F.array(F.lit(None).cast("bigint")).alias("bounds"))
+        own = rows.select("shard", F.lit(-1).alias("block"), F.array("id").alias("ids"), F.array(F.lit(None).cast("bigint")).alias("rids"), F.col("v").alias("data"), F.array(F.lit(None).cast("bigint")).alias("bounds"))
         tasks = own.unionByName(blocks_of).repartition(shards, "shard").sortWithinPartitions("shard", "block")
-        return tasks.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, block int, shard int")
+        return tasks.mapInArrow(search, "query_id bigint, rid bigint, vec_id bigint, score bigint, block int, shard int")
 
     def packed(df: DataFrame, *by: str) -> DataFrame:
         """A row a block of at most about BLOCK queries."""
-        held = F.sort_array(F.collect_list(F.struct("id", "v", "bound")))
+        held = F.sort_array(F.collect_list(F.struct("id", "v", "bound", "rid")))
         df = df.groupBy(*by).agg(held.alias("q"))
-        return df.select(*by, F.col("q.id").alias("ids"), F.flatten(F.col("q.v")).alias("data"), F.col("q.bound").alias("bounds"))
+        return df.select(*by, F.col("q.id").alias("ids"), F.col("q.rid").alias("rids"), F.flatten(F.col("q.v")).alias("data"), F.col("q.bound").alias("bounds"))
 
     none = F.lit(None).cast("bigint")
     asked = asked.dropDuplicates(["id", "v"])
     first = materialize(run(packed(asked.withColumn("bound", none).withColumnRenamed("home", "shard"), "shard", "block")), "first")
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    kth = first.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k)
-    everywhere = asked.join(kth.select(F.col("query_id").alias("id"), "bound"), "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    ranked = F.row_number().over(Window.partitionBy("query_id", "rid").orderBy(F.col("score").desc(), "vec_id"))
+    kth = first.groupBy("rid").agg(F.min("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k)
+    everywhere = asked.join(kth.select("rid", "bound"), "rid", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     rest = packed(everywhere.where("shard <> home").drop("home"), "shard", "block")
     found = first.unionByName(run(rest)) if shards > 1 else first
     return found.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -143,3 +143,10 @@ def test_top_k(spark):
     assert [(r.vec_id, r.score) for r in few] == [(2, 32768)]
     huge = spark.createDataFrame([(1, [1e12, 1.0]), (2, [3.0, -1.0])], "vec_id bigint, embedding array<double>")
     assert topk.top_k(huge, huge.where("vec_id = 1"), 1).first().score == 256 * 10**12 * 768 - 256 * 256
+
+
+def test_top_k_of_queries_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.5, 0.25]), (3, [0.25, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id = 1"), 2, shard=2).collect())
+    assert got == [(1, 1, 2, 32768), (1, 1, 3, 32768), (1, 2, 2, 16384), (1, 2, 3, 16384)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.operators import explore as op
-from tessera.operators import graph
+from tessera.operators import graph, views
 from tessera.operators.symbols import SymbolIndex, source_graph
 from tessera.plans.bindings import CALLS_SQL, FACTS_SQL, calls, facts, table
 from tessera.plans.code import _FILES, source_files
@@ -157,3 +157,70 @@ def _(spark, d):
         o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"), F.col("o_orderpriority").alias("text")),
         li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").cast("timestamp_ntz").alias("at"), F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("text")),
     )
+
+
+# --- views, matching, keys, residues
+
+
+_KIND = r"CASE WHEN regexp_matches(text, '^\s*[\[{]') THEN 'json' WHEN regexp_matches(text, '^\s*#{1,6}\s|\n\s*[-*]\s') THEN 'markdown' WHEN regexp_matches(text, '(?i)\b(?:error|warn|exception|traceback|failed|fatal)\b') AND len(string_split(text, chr(10))) > 4 THEN 'log' WHEN regexp_matches(text, '\b(?:import|export|function|class|const|let|fn|struct|impl)\b') THEN 'code' ELSE 'text' END"
+
+
+@register("select_view_kinds", f"""WITH k AS (SELECT doc_id, {_KIND} AS kind, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+  c AS (SELECT *, len(l) AS n, CASE kind WHEN 'json' THEN 6 WHEN 'log' THEN 4 WHEN 'code' THEN 8 ELSE 6 END AS f, CASE kind WHEN 'json' THEN 6 WHEN 'log' THEN 6 ELSE 4 END AS b,
+    CASE kind WHEN 'json' THEN '["{{}}\\[\\],:]' WHEN 'log' THEN '(?i)\\b(?:error|warn|exception|traceback|failed|fatal)\\b' WHEN 'code' THEN '^\\s*(?:import|export|class|function|const|let|fn|struct|impl)\\b' WHEN 'markdown' THEN '^\\s*(?:#{{1,6}}\\s|[-*]\\s)' ELSE '(?i)\\b(?:must|should|error|decision|policy|todo|fix|fail)\\b' END AS p FROM k),
+  u AS (SELECT doc_id, kind, n, f, b, p, unnest(l) AS x, unnest(range(n)) AS i FROM c), s AS (SELECT * FROM u WHERE n <= 32 OR i < f OR regexp_matches(x, p) OR i >= greatest(f, n - b)),
+  g AS (SELECT doc_id, kind, n, list(x ORDER BY i)[1:32] AS v FROM s GROUP BY 1, 2, 3)
+  SELECT c.doc_id, c.kind, md5(CASE WHEN c.n = 0 THEN '' ELSE array_to_string(v, chr(10)) || CASE WHEN c.n > len(v) THEN chr(10) || '... ' || (c.n - len(v)) || ' lines omitted ...' ELSE '' END END) AS view FROM c LEFT JOIN g USING (doc_id)""")
+def _(spark, d):
+    rows = table(spark, d, "documents").where("text is not null").withColumn("kind", views.text_kind(F.col("text")))
+    return rows.select("doc_id", "kind", F.md5(views.compact(F.col("text"), F.col("kind")).cast("binary")).alias("view"))
+
+
+@register("fact_question", f"WITH {FACTS_SQL} SELECT fact_id FROM facts WHERE contains(lower(subject || ' ' || predicate || ' ' || object), 'purchases') OR contains(lower(subject || ' ' || predicate || ' ' || object), 'purchase') OR contains(lower(subject || ' ' || predicate || ' ' || object), 'user:77')")
+def _(spark, d):
+    return facts(spark, d).where(views.matches("What is the purchases of user:77?", F.col("subject"), F.col("predicate"), F.col("object"))).select("fact_id")
+
+
+@register("text_token_estimates", "SELECT doc_id, greatest(1, ceil((length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4))::BIGINT AS utf16, octet_length(encode(text)) // 4 AS bytes FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", views.utf16_tokens(F.col("text")).alias("utf16"), views.byte_tokens(F.col("text")).alias("bytes"))
+
+
+@register("rel_string_sort_key", "SELECT p_partkey, lpad(p_size::VARCHAR, 20, '0') AS size_key, coalesce(p_brand, '') AS brand_key FROM part ORDER BY size_key DESC, brand_key, p_partkey LIMIT 30")
+def _(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", views.sort_key(F.col("p_size"), True).alias("size_key"), views.sort_key(F.col("p_brand")).alias("brand_key"))
+    return rows.orderBy(F.col("size_key").desc(), "brand_key", "p_partkey").limit(30)
+
+
+@register("event_pointed_values", "SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS missing FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", views.pointed(F.col("props"), "/k").alias("k"), views.pointed(F.col("props"), "/a/0/b").alias("missing"))
+
+
+@register("graph_endpoint_languages", _FILES + " SELECT 'javascript' AS language, 3 * count(*) AS n FROM ca JOIN f USING (path) WHERE u % 3 = 1 UNION ALL SELECT 'python', 3 * count(*) FROM ca JOIN f USING (path) WHERE u % 3 = 0 UNION ALL SELECT 'rust', 3 * count(*) FROM ca JOIN f USING (path) WHERE u % 3 = 2")
+def _(spark, d):
+    index = SymbolIndex(source_files(spark, d))
+    e = index.calls.select("caller", "callee", "path", "to_path").distinct()
+    return views.endpoint_languages(e.select(F.col("path").alias("src"), F.col("to_path").alias("dst"), F.col("path").alias("source")))
+
+
+@register("record_key_conflicts", "SELECT source || '/' || lang AS conflict_key, count(DISTINCT n_chars // 500) AS n_values, count(*) AS n_records, min(doc_id) AS first FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1 HAVING count(DISTINCT n_chars // 500) > 1")
+def _(spark, d):
+    rows = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("conflict_key"), F.floor(F.col("n_chars") / 500).alias("value"), F.col("doc_id").alias("record"))
+    return views.key_conflicts(rows)
+
+
+@register("select_coverage", """WITH t AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 8)) AS e FROM conversations), w AS (SELECT conv_id, arg_min(e, turn) AS e FROM t GROUP BY 1),
+  h AS (SELECT conv_id, list_distinct(flatten(list(e))) AS h FROM t WHERE role = 'assistant' GROUP BY 1)
+  SELECT conv_id AS request, len(e)::INT AS n_wanted, len(list_intersect(e, coalesce(h, [])))::INT AS n_represented, array_to_string(list_sort(list_filter(e, lambda x: NOT list_contains(coalesce(h, []), x))), ',') AS unresolved FROM w LEFT JOIN h USING (conv_id)""")
+def _(spark, d):
+    long = F.array_distinct(F.filter(fn.terms(F.col("text")), lambda x: F.length(x) >= 8))
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("request"), "turn", "role", long.alias("entities"))
+    return views.coverage(t.where("role = 'assistant'"), t.groupBy("request").agg(F.min_by("entities", "turn").alias("entities")))
+
+
+@register("fact_lineage_residue", f"WITH {FACTS_SQL} SELECT fact_id, CASE WHEN fact_id % 7 = 0 THEN 'missing' ELSE 'rejected' END AS residue FROM facts WHERE status = 'active' AND (fact_id % 7 = 0 OR fact_id % 5 = 0) ORDER BY valid_from, fact_id LIMIT 50")
+def _(spark, d):
+    f = facts(spark, d)
+    proposals = f.where("fact_id % 7 <> 0").select("fact_id", F.when(F.col("fact_id") % 5 == 0, "rejected").otherwise("approved").alias("status"))
+    return views.lineage_residue(f, proposals)

@@ -91,7 +91,7 @@ def joint_terms(docs: list[np.ndarray], y: np.ndarray, least_docs: int) -> np.nd
     return names[sorted(picked)]
 
 
-def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: float = 0.2, least_docs: int = 4, least_z: float = 4.0, common: float = 0.1, ridge: float = 1e-4, seed: int = 7) -> Machine:
+def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: float = 0.2, least_docs: int = 4, least_z: float = 4.0, common: float = 0.1, ridge: float = 1e-4, seed: int = 7, pairs: bool = True) -> Machine:
     """Factorization machine by AdaGrad on the logistic loss, one document at a time.
 
     A long text holds thousands of terms that tell nothing, and their noise would add
@@ -103,7 +103,8 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: f
     explain the label. Factors are for the terms of full scale and for those of
     joint_terms(), however neutral alone. Equal rows count once. Rows are visited in
     a seeded order, so the result depends on the rows alone. Without rows, or with
-    one label only, the bias is the smoothed log-odds and all weights are 0.
+    one label only, the bias is the smoothed log-odds and all weights are 0. ``pairs``
+    false fits the linear machine by itself: the rival that the factors have to beat.
     """
     rows = [(np.frombuffer(t, np.int64), label) for t, label in dict.fromkeys((t.tobytes(), label) for t, label in rows)]
     y = np.array([label for _, label in rows], float)
@@ -119,7 +120,10 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], *, epochs: int = 12, rate: f
     scale = np.where(often & (np.abs(z) >= least_z / 2), np.minimum(1.0, (np.abs(z) / least_z) ** 4), 0.0)
     scale[often & (seen >= common * len(y))] = np.maximum(0.1, scale[often & (seen >= common * len(y))])
     known = scale == 1.0
-    known[joint_terms([t[often[t]] for t, _ in rows], y, least_docs)] = True
+    if pairs:
+        known[joint_terms([t[often[t]] for t, _ in rows], y, least_docs)] = True
+    else:
+        known[:] = False
     docs = [t[known[t] | (scale[t] > 0)] for t, _ in rows]
     rng = np.random.default_rng(seed)
     factors[known] = rng.normal(0, 0.01, (int(known.sum()), RANK))

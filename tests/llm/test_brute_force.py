@@ -340,18 +340,47 @@ def test_toxicity_scores_are_those_of_all_pairs(spark):
         assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-6 and r.predicted == (r.score >= 0.3)
 
 
-def test_pairs_beat_linear_weights(spark):
+def test_pairs_find_what_a_linear_machine_misses(spark):
+    """Against a linear machine fitted by itself on the same rows: more toxic documents at the cut, no more false alarms."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    machine = toxicity.fit_toxicity(docs, labels.where(~langid.held_out(langid.F.col("doc_id"), 4, 2)))
+    learnt = labels.where(~langid.held_out(langid.F.col("doc_id"), 4, 2))
     held = docs.join(labels, "doc_id").where(langid.held_out(langid.F.col("doc_id"), 4, 2)).select("text", "toxic").collect()
-    marks = np.array([r.toxic for r in held])
+    marks, terms = np.array([r.toxic for r in held]), [toxicity.term_buckets(r.text) for r in held]
 
-    def area(m):
-        s = np.array([m.score(toxicity.term_buckets(r.text)) for r in held])
+    def scores(**how):
+        machine = toxicity.fit_toxicity(docs, learnt, **how)
+        assert how or machine.factors.any()
+        return np.array([machine.score(t) for t in terms])
+
+    area = lambda s: np.mean(s[marks == 1][:, None] > s[marks == 0][None])
+    both, alone = scores(), scores(pairs=False)
+    assert area(both) > 0.98 and area(alone) > 0.98
+    assert ((both >= 0.3) & (marks == 1)).sum() > ((alone >= 0.3) & (marks == 1)).sum()
+    assert ((both >= 0.3) & (marks == 0)).sum() <= ((alone >= 0.3) & (marks == 0)).sum()
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_pairs_beat_a_linear_machine_on_planted_pairs(seed):
+    """Labels by insult and group together, either alone as often without: AUC on rows not learnt from."""
+    rng = np.random.default_rng(seed)
+
+    def rows(n):
+        out = []
+        for _ in range(n):
+            insult, group = rng.random() < 0.3, rng.random() < 0.3
+            terms = {*rng.integers(100, 2100, 20).tolist(), *([1] if insult else []), *([2] if group else [])}
+            out.append((np.array(sorted(terms)), int(insult == group if rng.random() < 0.9 else rng.random() < 0.5)))
+        return out
+
+    learnt, held = rows(3000), rows(1500)
+    marks = np.array([y for _, y in held])
+
+    def area(machine):
+        s = np.array([machine.score(t) for t, _ in held])
         return np.mean(s[marks == 1][:, None] > s[marks == 0][None])
 
-    assert area(machine) > max(0.98, area(toxicity.Machine(machine.bias, machine.linear, 0 * machine.factors)))
+    assert area(toxicity.fit_machine(learnt)) > area(toxicity.fit_machine(learnt, pairs=False)) + 0.1
 
 
 @pytest.mark.parametrize("seed", [0, 1, 2])

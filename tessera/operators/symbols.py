@@ -9,6 +9,7 @@ definitions of the name before the join.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -211,21 +212,41 @@ def source_graph(files: DataFrame, syms: DataFrame, imports: DataFrame, calls: D
 
 
 class SymbolIndex:
-    """The index of ``files`` (path, text). The marks, from which all else is joined, are written once
-    to the shared folder, so that no file is lexed twice; the other parts are built when asked for."""
+    """The index of ``files`` (path, text). Its parts are made when asked for and written once to the
+    shared folder, so that no file is lexed and no call resolved twice."""
 
     def __init__(self, files: DataFrame, packages: DataFrame | None = None, marks: DataFrame | None = None):
         self.files = files.select("path").where("path is not null").distinct()
-        if marks is None:
-            at = scratch_folder(files.sparkSession, "marks")
-            code_marks(files).write.parquet(at)
-            marks = files.sparkSession.read.schema(MARKS).parquet(at)
-        self.marks = marks
-        self.symbols = symbols(self.marks)
-        self.imports = resolve_imports(self.marks, self.files, packages)
-        self.exports = exports(self.marks, self.symbols, self.imports)
-        self.calls = call_edges(self.marks, self.symbols, self.imports, self.exports)
-        self.references = references(self.marks, self.symbols)
+        self._given, self._packages, self._marks = files, packages, marks
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        at = scratch_folder(df.sparkSession, name)
+        df.write.parquet(at)
+        return df.sparkSession.read.schema(df.schema).parquet(at)
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        return self._written(code_marks(self._given), "marks") if self._marks is None else self._marks
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return self._written(symbols(self.marks), "symbols")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return self._written(resolve_imports(self.marks, self.files, self._packages), "imports")
+
+    @cached_property
+    def exports(self) -> DataFrame:
+        return exports(self.marks, self.symbols, self.imports)
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return self._written(call_edges(self.marks, self.symbols, self.imports, self.exports), "calls")
+
+    @cached_property
+    def references(self) -> DataFrame:
+        return references(self.marks, self.symbols)
 
     def definition(self, name: str) -> DataFrame:
         return self.symbols.where(F.col("name") == name)

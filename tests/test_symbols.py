@@ -68,9 +68,7 @@ FILES = {"app/shop/cart.py": PY, "app/lib/store.py": STORE, "web/shop.js": JS, "
 def index(spark):
     files = spark.createDataFrame([*FILES.items(), ("null.py", None)], "path string, text string")
     packages = spark.createDataFrame([("shop", "core/src/lib"), ("fmt", "x/fmt")], "name string, stem string")
-    made = SymbolIndex(files, packages)
-    marks_ = made.marks.cache()
-    return SymbolIndex(files, packages, marks_)
+    return SymbolIndex(files, packages)
 
 
 def labels(index):

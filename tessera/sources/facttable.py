@@ -147,7 +147,9 @@ class FactTable:
             done = done.withColumn("changed_in", F.when(kept, F.col("_was.changed_in")).otherwise(F.lit(version).cast("bigint"))).drop("_was")
             done = done.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
             name = f"data/{uuid.uuid4().hex}"
-            done.select(*STATED, *DERIVED, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+            # a bucket in a few files, whatever the number of tasks, and a hot key in more than one
+            laid = done.select(*STATED, *DERIVED, "bucket").repartition("bucket", F.pmod(F.xxhash64("fingerprint"), F.lit(4)))
+            laid.write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         finally:
             self.folder.delete(stage.removeprefix(f"{self.path}/"))
         at = m["at"] | {b: f"{name}/bucket={b}" for b in news}

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bound_batches, frugal, materialize
 from tessera.llm.topk import whole_numbers
 
-#: Vectors a bucket; vectors that one task walks through; anchors that one task holds.
-BUCKET, STRIPE, GROUP = 512, 8192, 2048
+#: Vectors a bucket; vectors that one task walks through; anchors that one task holds: all
+#: vectors are dealt out once for each group of anchors, so groups are large.
+BUCKET, STRIPE, GROUP = 512, 8192, 16384
 
 #: Products of numbers below this are exact in doubles, sums included.
 EXACT = 2.0**53

@@ -42,7 +42,8 @@ def _records(spark, d):
     w = fn.terms(F.col("text"))
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("record"), F.col("role").alias("category"), "text", F.array_distinct(w).alias("w"), fn.token_estimate(F.col("text")).alias("tokens"))
     q = F.first("w").over(Window.partitionBy("request").orderBy("record"))
-    rows = rows.withColumn("relevance", F.round(fn.overlap(F.col("w"), q), 6)).withColumn("confidence", F.lit(0.8))
+    # utility takes the relevance to 6 places; ranks go by the whole of it, which tells more records apart
+    rows = rows.withColumn("overlap", fn.overlap(F.col("w"), q)).withColumn("relevance", F.round("overlap", 6)).withColumn("confidence", F.lit(0.8))
     rows = rows.withColumn("authority", F.when(F.col("category") == "system", 1.0).when(F.col("category") == "assistant", 0.7).otherwise(0.5))
     return rows.withColumn("utility", sel.utility(sel.Policy()))
 
@@ -199,7 +200,7 @@ _EVAL = f"""{_TURNS}, r AS (SELECT request AS query, record, row_number() OVER (
 
 
 def _metrics(spark, d):
-    w = Window.partitionBy("request").orderBy(F.col("relevance").desc(), "record")
+    w = Window.partitionBy("request").orderBy(F.col("overlap").desc(), "record")
     ranked = _records(spark, d).withColumn("rank", F.row_number().over(w)).select(F.col("request").alias("query"), "record", "rank")
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("query"), F.col("turn").alias("record"), "role")
     return evaluation.retrieval_metrics(ranked, turns.where("role = 'assistant'").drop("role"), turns.select("query").distinct(), 5)

@@ -106,3 +106,25 @@ def test_retired_and_changes(spark):
     before = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "source string, hash string")
     after = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "source string, hash string")
     assert {(r.source, r.change) for r in temporal.source_changes(before, after).collect()} == {("a", "same"), ("b", "changed"), ("c", "removed"), ("d", "added")}
+
+
+def test_retrieval_ranks_by_relevance_unrounded(spark, tmp_path):
+    """Two turns whose relevance differs past the sixth place are ranked by it, not by their turns."""
+    from tessera.plans import content
+
+    q = [f"q{i}" for i in range(1000)]
+    # 999 / sqrt(1000 * 999) and 998 / sqrt(1000 * 997): 0.9994999 and 0.9995012 differ at the sixth place; 997 / sqrt(1000 * 996.0...) nearer
+    best, found = None, {}
+    for hits in range(400, 1000):
+        for size in range(hits, 1001):
+            key = round(hits / (1000 * size) ** 0.5, 6)
+            other = found.setdefault(key, (hits, size))
+            if other != (hits, size) and hits / size**0.5 > other[0] / other[1] ** 0.5 * (1 + 1e-9):
+                best = (other, (hits, size))
+                break
+        if best:
+            break
+    turn = lambda x: " ".join(q[: x[0]] + [f"z{i}" for i in range(x[1] - x[0])])
+    rows = [(1, 0, "user", " ".join(q)), (1, 1, "user", turn(best[0])), (1, 2, "assistant", turn(best[1]))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.mrr for r in content.QUERIES["eval_retrieval_metrics"](spark, str(tmp_path)).collect()] == [0.5]

@@ -77,11 +77,12 @@ def merge_candidates(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def dense_cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, part: int = 16384) -> DataFrame:
+def dense_cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, part: int = 16384, tile: int = 1024) -> DataFrame:
     """Cosine of each query with every other vector, the ``k`` best; vectors have one length.
 
     Vectors are dealt into parts and queries into blocks. A task holds one block and walks
-    through one part in batches: a matrix product, and the best so far of each query."""
+    through one part in tiles of ``tile`` queries by ``tile`` vectors: a matrix product, whose
+    size does not grow with the block or the batch, and the best so far of each query."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     parts, blocks = max(1, -(-vectors.count() // part)), max(1, -(-queries.count() // block))
     row = lambda df, asks: df.where("embedding is not null").select(F.lit(not asks).alias("late"), F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -89,6 +90,24 @@ def dense_cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: in
     held = row(vectors, False).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
     tasks = asked.select("block", "part", "late", "vec_id", "e").unionByName(held.select("block", "part", "late", "vec_id", "e")).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "late")
 
+    def better(best: tuple, at: slice, mine: np.ndarray, own: np.ndarray, rows: np.ndarray, names: np.ndarray) -> None:
+        """Put what of ``rows`` is among the ``k`` best of the queries ``at`` into ``best``."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = (mine @ rows.T) / (np.sqrt((mine * mine).sum(axis=1))[:, None] * np.sqrt((rows * rows).sum(axis=1))[None, :])
+        s = np.where(np.isfinite(s) & (names[None, :] != own[:, None]), np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 * np.sign(s), -np.inf)
+        least = best[0][at][:, -1]
+        if s.shape[1] > k:  # nothing under the kth of these rows, ties kept, can be among the best
+            least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+        who, place = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        n = len(own)
+        w, score = np.concatenate([np.repeat(np.arange(n), k), who]), np.concatenate([best[0][at].ravel(), s[who, place]])
+        name = np.concatenate([best[1][at].ravel(), names[place]])
+        order = np.lexsort((name, -score, w))
+        w = w[order]
+        first = np.searchsorted(w, np.arange(n))
+        taken = order[first[:, None] + np.arange(k)[None, :]]
+        best[0][at], best[1][at] = score[taken], name[taken]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, q, best = None, [], [], None
 
@@ -120,13 +139,10 @@ def dense_cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: in
                 mine = np.array(q)
                 if best is None:
                     best = (np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = (mine @ rows.T) / (np.sqrt((mine * mine).sum(axis=1))[:, None] * np.sqrt((rows * rows).sum(axis=1))[None, :])
-                s = np.where(np.isfinite(s) & (names[None, :] != np.array(ids)[:, None]), np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 * np.sign(s), -np.inf)
-                s = np.concatenate([best[0], s], axis=1)
-                f = np.concatenate([best[1], np.broadcast_to(names, (len(ids), len(names)))], axis=1)
-                order = np.lexsort((f, -s), axis=1)[:, :k]
-                best = (np.take_along_axis(s, order, 1), np.take_along_axis(f, order, 1))
+                own = np.array(ids)
+                for i in range(0, len(ids), tile):
+                    for j in range(0, len(rows), tile):
+                        better(best, slice(i, i + tile), mine[i : i + tile], own[i : i + tile], rows[j : j + tile], names[j : j + tile])
         if best is not None:
             yield out()
 

@@ -225,3 +225,43 @@ def test_deeper_rules_win(spark):
     files = spark.createDataFrame([(p,) for p in ("x.md", "docs/y.md", "docs/old/z.md", "docs/a.txt", "docs/q/a.txt", "docs/tmp/keep.md", None, "x.md")], "path string")
     got = {r.path: (r.entry, r.folder, r.line) for r in ignored(files, rules).collect()}
     assert got == {"x.md": ("x.md", "", 0), "docs/y.md": (None,) * 3, "docs/old/z.md": ("docs/old/z.md", "docs/old", 0), "docs/a.txt": ("docs/a.txt", "docs", 1), "docs/q/a.txt": (None,) * 3, "docs/tmp/keep.md": ("docs/tmp", "", 1)}
+
+
+def test_dense_top_k_in_tiles(spark):
+    """Tiles smaller than the block give the same rows, ties and copies among them, by brute force."""
+    import numpy as np
+
+    from tessera.operators import search
+
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(60, 4)).round(1)
+    e[20:40] = e[3]  # more copies than k
+    e[50] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(e)], "vec_id bigint, embedding array<double>")
+    want = set()
+    for q in range(0, 60, 5):
+        norm = [np.sqrt((e[q] * e[q]).sum()) * np.sqrt((v * v).sum()) for v in e]
+        s = [(-round(float(e[q] @ e[i]) / norm[i], 5), i) for i in range(60) if i != q and norm[i]]
+        want |= {(q, i, rank) for rank, (_, i) in enumerate(sorted(s)[:4], 1)}
+    got = search.dense_cosine_top_k(df, df.where("vec_id % 5 = 0"), 4, block=5, part=30, tile=3).collect()
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
+def test_dense_top_k_holds_no_block_by_batch_matrix(spark, tmp_path):
+    """3000 queries meet 9000 vectors in one task, whose Python stays under 300 MB more than it had."""
+    import resource
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tessera.operators import search
+
+    v = spark.range(9000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i + i)).alias("embedding"))
+    search.dense_cosine_top_k(v, v.where("vec_id % 3 = 0"), 5).write.mode("overwrite").parquet(str(tmp_path / "out"))
+
+    def peak(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"mb": pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024] * min(1, b.num_rows), pa.int64())})
+
+    # workers are used again, so theirs is the peak of the search too
+    assert max(r.mb for r in spark.range(0, 64, 1, 16).mapInArrow(peak, "mb bigint").collect()) < 600

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,6 +19,14 @@ LANGUAGES = {
 }
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it.
+
+    A lambda of a higher-order function works out anew, for every element, what it names
+    from outside; what another lambda hands to it is a value."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def collapse(text: Column) -> Column:
     """Trimmed, with runs of white space as one space."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ def text_kind(text: Column) -> Column:
     """json, markdown, log, code or text, by the first of these that fits."""
     lines = F.size(F.split(text, "\r?\n"))
     return (
-        F.when(F.trim(F.regexp_replace(text, r"^\s+", "")).rlike(r"^[\[{]"), "json").when(text.rlike(r"^\s*#{1,6}\s|\n\s*[-*]\s"), "markdown")
+        F.when(text.rlike(r"^\s*[\[{]"), "json").when(text.rlike(r"^\s*#{1,6}\s|\n\s*[-*]\s"), "markdown")
         .when(text.rlike(KINDS["log"][2]) & (lines > 4), "log").when(text.rlike(r"\b(?:import|export|function|class|const|let|fn|struct|impl)\b"), "code").otherwise("text")
     )
 
@@ -29,21 +32,24 @@ def text_kind(text: Column) -> Column:
 def compact(text: Column, kind: Column, most: int = MOST_LINES) -> Column:
     """First and last lines and those that matter to the kind, ``most`` at most, in order; the number of the rest behind them.
 
-    Lines are trimmed, empty ones dropped; a text of ``most`` lines or fewer stays whole."""
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    n = F.size(lines)
-
-    def view(first: int, last: int, matters: str) -> Column:
-        flagged = F.transform(lines, lambda x, i: F.struct(((i < first) | x.rlike(matters) | (i >= F.greatest(F.lit(first), n - last))).alias("keep"), x.alias("line")))
-        kept = F.slice(F.filter(flagged, lambda z: z["keep"]), 1, most)
-        left = n - F.size(kept)
-        shown = F.transform(kept, lambda z: z["line"])
-        return F.array_join(F.when(left > 0, F.array_append(shown, F.concat(F.lit("... "), left.cast("string"), F.lit(" lines omitted ...")))).otherwise(shown), "\n")
-
-    chosen = F.when(n <= most, F.array_join(lines, "\n"))
-    for name, rule in KINDS.items():
-        chosen = chosen.when(kind == name, view(*rule))
-    return chosen
+    Lines are trimmed, empty ones dropped; a text of ``most`` lines or fewer stays whole.
+    The text is split once: its lines stand in an array of one, whose transform names them."""
+    trimmed = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+    def by_kind(value: Callable[[tuple], Column]) -> Column:
+        return reduce(lambda when, name: when.when(kind == name, value(KINDS[name])), KINDS, F)
+
+    def short(v: Column) -> Column:
+        left = v["n"] - F.size(v["kept"])
+        return F.array_join(F.when(left > 0, F.array_append(v["kept"], F.concat(F.lit("... "), left.cast("string"), F.lit(" lines omitted ...")))).otherwise(v["kept"]), "\n")
+
+    def view(v: Column) -> Column:
+        matters = lambda x, i: (i < v["first"]) | (i >= F.greatest(v["first"], v["n"] - v["last"])) | by_kind(lambda r: x.rlike(r[2]))
+        kept = F.slice(F.filter(v["lines"], matters), 1, most)
+        return F.when(v["n"] <= most, F.array_join(v["lines"], "\n")).when(v["first"].isNotNull(), fn.once(F.struct(v["n"].alias("n"), kept.alias("kept")), short))
+
+    named = lambda x: F.struct(x.alias("lines"), F.size(x).alias("n"), by_kind(lambda r: F.lit(r[0])).alias("first"), by_kind(lambda r: F.lit(r[1])).alias("last"))
+    return fn.once(trimmed, lambda x: fn.once(named(x), view))
 
 
 def question_terms(query: str) -> list[str]:

@@ -67,3 +67,14 @@ def test_coverage_conflicts_and_residues(spark):
 def test_endpoint_languages(spark):
     edges = spark.createDataFrame([("a.py", "b.rs", "a.py"), ("x", "b.rs", "c.py")], "src string, dst string, source string")
     assert {r.language: r.n for r in views.endpoint_languages(edges).collect()} == {"python": 3, "rust": 2, "other": 1}
+
+
+def test_a_text_is_split_once(spark):
+    """A view of a text of many lines takes time by its lines, not by their square."""
+    import time
+
+    n = 6000
+    df = spark.createDataFrame([("\n".join(f"{i} nothing of note" for i in range(n)),)], "t string")
+    begun = time.time()
+    got = df.select(views.compact(F.col("t"), F.lit("text"))).first()[0].split("\n")
+    assert got[-1] == f"... {n - 10} lines omitted ..." and len(got) == 11 and time.time() - begun < 10

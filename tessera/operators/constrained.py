@@ -6,11 +6,11 @@ import heapq
 import math
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
+from tessera.operators.selection import by_request
 
 #: Weight of each feature, caps of categories, bonuses, thresholds and limits (fixed values).
 FEATURE_WEIGHTS = {
@@ -194,21 +194,18 @@ def select_constrained(requests: DataFrame, candidates: DataFrame, c: Constraint
     inside = rows.where((F.col("place") <= c.most_candidates) & (F.col("record").isNotNull() | (F.size("required") > 0)))
     schema = f"request {kinds['request']}, record {kinds['record']}, state string, position int, marginal double, reasons string, sufficient boolean"
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        first = part.iloc[0]
+    def fold(part: list[dict]) -> list[dict]:
+        first = part[0]
         some = lambda x: set() if x is None else set(x)
         held = [
-            {"record": r.record, "utility": r.utility, "tokens": int(r.tokens), "category": r.category, "entities": some(r.entities), "shingles": some(r.shingles), "hash": r.hash, "path": r.path,
-             "governance": bool(r.governance), "conflict": bool(r.conflict), "against": list(r.against)}
-            for r in part.itertuples() if not pd.isna(r.record)
+            {**r, "utility": math.nan if r["utility"] is None else r["utility"], "entities": some(r["entities"]), "shingles": some(r["shingles"]), "governance": bool(r["governance"]), "conflict": bool(r["conflict"])}
+            for r in part if r["record"] is not None
         ]
-        found, enough = choose(held, int(first["budget"]), some(first["required"]), some(first["wanted"]), c)
-        out = pd.DataFrame(found, columns=["record", "state", "position", "marginal", "reasons"])
-        out.insert(0, "request", first["request"])
-        out["position"] = out["position"].astype("Int32")
-        return out.assign(sufficient=enough)
+        found, enough = choose(held, first["budget"], some(first["required"]), some(first["wanted"]), c)
+        return [dict(zip(("record", "state", "position", "marginal", "reasons"), x, strict=True), sufficient=enough) for x in found]
 
-    judged = inside.groupBy("request").applyInPandas(fold, schema)
+    needed = ("request", "record", "utility", "tokens", "category", "entities", "shingles", "hash", "path", "governance", "conflict", "against", "budget", "required", "wanted")
+    judged = by_request(inside.select(*needed), fold, schema)
     beyond = rows.where((F.col("place") > c.most_candidates) & F.col("record").isNotNull())
     none = lambda kind: F.lit(None).cast(kind)
     reasons = F.when(F.size("against") > 0, F.array_join("against", ",")).otherwise("candidate_limit")

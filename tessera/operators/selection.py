@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.functions import text as fn
 
@@ -60,13 +63,13 @@ def select_diverse(candidates: DataFrame, p: Policy = Policy()) -> DataFrame:
     Each round takes the record with the largest utility - redundancy * (largest
     Jaccard with one taken) + a bonus for a new category; a record leaves for good
     if it is too like a taken one, its category is full, or it does not fit. The
-    fold is over one request's candidates, whose number its top-k bounds, so one
-    grouped call holds it; all that leads there is plain DataFrame work.
+    fold is over one request's candidates, whose number its top-k bounds; all that
+    leads there is plain DataFrame work.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["utility"] >= p.least_utility].sort_values(["utility", "record"], ascending=[False, True])
-        left = [(r.record, r.utility, int(r.tokens), r.category, set(r.shingles)) for r in rows.itertuples()]
+    def fold(rows: list[dict]) -> list[dict]:
+        first = sorted((r for r in rows if r["utility"] is not None and r["utility"] >= p.least_utility), key=lambda r: (-r["utility"], r["record"] is None, r["record"]))
+        left = [(r["record"], r["utility"], r["tokens"], r["category"], set(r["shingles"])) for r in first]
         near = dict.fromkeys((x[0] for x in left), 0.0)
         taken, spent, held = [], 0, {}
         while left:
@@ -77,7 +80,7 @@ def select_diverse(candidates: DataFrame, p: Policy = Policy()) -> DataFrame:
                     best, worth = x, m
             if worth < p.least_marginal:
                 break
-            taken.append((best[0], len(taken) + 1, worth, best[2]))
+            taken.append({"record": best[0], "position": len(taken) + 1, "marginal": worth, "tokens": best[2]})
             spent += best[2]
             held[best[3]] = held.get(best[3], 0) + 1
             keep = []
@@ -89,13 +92,39 @@ def select_diverse(candidates: DataFrame, p: Policy = Policy()) -> DataFrame:
                 if near[x[0]] < p.duplicate and held.get(x[3], 0) < p.per_category and spent + x[2] <= p.budget:
                     keep.append(x)
             left = keep
-        out = pd.DataFrame(taken, columns=["record", "position", "marginal", "tokens"])
-        out.insert(0, "request", rows["request"].iloc[0] if len(rows) else None)
-        return out
+        return taken
 
     kinds = dict(candidates.dtypes)
     fits = candidates.where(F.col("tokens") <= p.budget)
-    return fits.groupBy("request").applyInPandas(fold, f"request {kinds['request']}, record {kinds['record']}, position int, marginal double, tokens bigint")
+    return by_request(fits, fold, f"request {kinds['request']}, record {kinds['record']}, position int, marginal double, tokens bigint")
+
+
+def by_request(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """``fold`` of the rows of each request, with its request (null too) before what it returns.
+
+    Rows come in batches that hold many small requests or a part of a large one; a request is
+    folded when the next begins, so a task holds one request and one batch."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, request = [], None
+
+        def folded() -> list[dict]:
+            return [{"request": request, **r} for r in fold(mine)] if mine else []
+
+        for batch in batches:
+            done: list[dict] = []
+            for start in range(0, batch.num_rows, 256):
+                for row in batch.slice(start, 256).to_pylist():
+                    if mine and row["request"] != request:
+                        done += folded()
+                        mine = []
+                    request = row["request"]
+                    mine.append(row)
+            yield pa.RecordBatch.from_pylist(done, kinds)
+        yield pa.RecordBatch.from_pylist(folded(), kinds)
+
+    return rows.repartition("request").sortWithinPartitions("request").mapInArrow(run, schema)
 
 
 def representation(tokens: Column, budget_left: Column) -> Column:
@@ -136,6 +165,9 @@ def compact_view(text: Column, keep: int = 8) -> Column:
 
 def shingles(text: Column, n: int = 3, words: int = 256) -> Column:
     """Distinct runs of ``n`` of the first ``words`` terms (the operator's own window on a record)."""
-    t = F.slice(fn.terms(text), 1, words)
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) >= n, F.array_distinct(runs)).otherwise(F.array(F.array_join(t, " ")))
+
+    def runs(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(every)).otherwise(F.array(F.array_join(t, " ")))
+
+    return fn.once(F.slice(fn.terms(text), 1, words), runs)

@@ -148,3 +148,19 @@ def test_manifests_tell_changed_work(spark):
     assert {(r.request, r.state) for r in sel.verify(stored, decided, sel.assemble(decided, other, 50)).collect()} == {(1, "same"), (2, "changed")}
     one = decided.where("request = 1")
     assert {(r.request, r.state) for r in sel.verify(stored, one, sel.assemble(one, records, 50)).collect()} == {(1, "same"), (2, "missing")}
+
+
+def test_requests_across_batches(spark):
+    """Requests that begin in one batch and end in another, a large one among them, and one without a name are folded whole."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.selection import by_request
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.range(500).select(F.when(F.col("id") < 300, F.col("id") % 40).when(F.col("id") < 480, 99).alias("request"), F.col("id").alias("record"))
+        got = by_request(rows, lambda part: [{"n": len(part), "s": sum(r["record"] for r in part)}], "request bigint, n int, s bigint")
+        want = rows.groupBy("request").agg(F.count("*").cast("int").alias("n"), F.sum("record").alias("s"))
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -128,3 +128,17 @@ def test_retrieval_ranks_by_relevance_unrounded(spark, tmp_path):
     rows = [(1, 0, "user", " ".join(q)), (1, 1, "user", turn(best[0])), (1, 2, "assistant", turn(best[1]))]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [r.mrr for r in content.QUERIES["eval_retrieval_metrics"](spark, str(tmp_path)).collect()] == [0.5]
+
+
+def test_shingles_take_the_terms_once(spark):
+    """The terms of a text are taken once, not for each of its runs of words."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import selection as sel
+
+    df = spark.range(400).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda i: F.concat(F.lit("w"), i + F.col("id"))), " ").alias("t")).localCheckpoint()
+    begun = time.time()
+    got = df.select(F.size(sel.shingles(F.col("t"))).alias("n"), sel.shingles(F.lit("A b")).alias("two"), sel.shingles(F.col("t"))[1].alias("second")).collect()
+    assert {r.n for r in got} == {254} and got[0].two == ["a b"] and {r.second for r in got} == {f"w{i + 2} w{i + 3} w{i + 4}" for i in range(400)} and time.time() - begun < 10

@@ -265,3 +265,17 @@ def test_dense_top_k_holds_no_block_by_batch_matrix(spark, tmp_path):
 
     # workers are used again, so theirs is the peak of the search too
     assert max(r.mb for r in spark.range(0, 64, 1, 16).mapInArrow(peak, "mb bigint").collect()) < 600
+
+
+def test_best_partners_by_small_parts_without_pairs(spark):
+    """Rows that share their common tokens with all others: the same by brute force, whatever the parts, and no join makes pairs of rows."""
+    rng = random.Random(9)
+    rows = [(i, rng.sample(range(30), 12)) for i in range(120)] + [(500, [99]), (501, None), (None, [1, 2])]
+    df = spark.createDataFrame([(k, t and [f"t{x}" for x in t]) for k, t in rows], "k bigint, tokens array<string>")
+    made = candidates.best_partners(df, "k", part=100, least=3)
+    want = {}
+    for k, a in rows[:120]:
+        scores = [(-math.floor(2000 * len(set(a) & set(b)) / (2 * len(set(a) | set(b))) + 0.5) / 1000, o) for o, b in rows[:120] if o != k and set(a) & set(b)]
+        want[k] = (min(scores)[1], -min(scores)[0])
+    assert {r.k: (r.partner, r.score) for r in made.collect()} == want
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()

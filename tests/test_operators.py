@@ -142,3 +142,19 @@ def test_shingles_take_the_terms_once(spark):
     begun = time.time()
     got = df.select(F.size(sel.shingles(F.col("t"))).alias("n"), sel.shingles(F.lit("A b")).alias("two"), sel.shingles(F.col("t"))[1].alias("second")).collect()
     assert {r.n for r in got} == {254} and got[0].two == ["a b"] and {r.second for r in got} == {f"w{i + 2} w{i + 3} w{i + 4}" for i in range(400)} and time.time() - begun < 10
+
+
+def test_long_sets_apart_are_told_by_bits(spark):
+    """Bits by the size of a set: two long sets under the threshold differ in more of them than it allows, ones above it do not."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import graph
+
+    tokens = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.xxhash64(i))
+    df = spark.range(1).select(tokens(1, 3000).alias("a"), tokens(1501, 4700).alias("far"), tokens(201, 3100).alias("near"))
+    bits = df.select(*[graph._parity()(c).alias(c) for c in df.columns]).select(graph._apart()("a", "far").alias("far"), graph._apart()("a", "near").alias("near")).first()
+    allowed = lambda n, m: n + m - 2 * 0.8 / 1.8 * (n + m)
+    assert bits.far > allowed(3000, 3200) and bits.near <= 300 <= allowed(3000, 2900)
+    sets = [(i, "x", sorted({f"t{x}" for x in range(lo, hi)})) for i, (lo, hi) in enumerate([(0, 3000), (1500, 4700), (200, 3100), (0, 40), (1, 41), (60, 66)])]
+    got = graph.similar_sets(spark.createDataFrame(sets, "k bigint, language string, tokens array<string>"), "k", threshold=0.8).collect()
+    assert {(r.a, r.b, r.similarity) for r in got} == {(0, 2, round(2800 / 3100, 6)), (3, 4, round(39 / 41, 6))}

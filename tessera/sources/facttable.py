@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
@@ -27,6 +27,8 @@ STATED = ("fact_id", *KEY, "object", "closes", "valid_from", "source", "recorded
 #: What follows from the statements of a key, and the version that last changed it.
 DERIVED = ("fingerprint", "valid_until", "superseded_by", "status", "changed_in")
 HASH = "HAS_CONTENT_HASH"
+#: Rows that one task of a merge sorts, about; a key is never parted.
+TASK_ROWS = 500_000
 
 
 class Conflict(RuntimeError):
@@ -34,48 +36,41 @@ class Conflict(RuntimeError):
 
 
 def fingerprint() -> Column:
-    """Digest of what a statement says and when; a repeated statement has the same, whatever its id."""
+    """Digest (128 bits) of what a statement says and when; a repeated statement has the same, whatever its id."""
     said = F.to_json(F.struct(*KEY, "object", "closes", "valid_from", "source"), {"ignoreNullFields": "false"})
-    return F.sha2(said, 256)
+    return F.substring(F.unhex(F.sha2(said, 256)), 1, 16)
 
 
-def with_intervals(rows: DataFrame) -> DataFrame:
+def with_intervals(rows: DataFrame, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """``rows`` of statements with valid_until, superseded_by and status.
 
     A fact ends where the first later statement of its key closes it: one that closes
     its very object, or, with '*', any other object. Order is by valid_from, then
-    fact_id, so a late statement finds its place whenever it comes. Only keys that
-    hold a closing statement are sorted; the rows of others pass."""
-    order = ["valid_from", "fact_id"]
-    closing = rows.where("closes is not null").select(*KEY).distinct().withColumn("_closing", F.lit(True))
-    rows = rows.drop("valid_until", "superseded_by", "status").join(closing, list(KEY), "left")
-    still = rows.where("_closing is null").drop("_closing")
-    moved = rows.where("_closing").drop("_closing")
-
+    fact_id, so a late statement finds its place whenever it comes. ``by``: columns that
+    follow from the key and by which the rows lie already, so that they move no more;
+    without ``exact`` no statement closes one object, and one sort does for all."""
+    order, key = ["valid_from", "fact_id"], [*by, *KEY]
     # nearest later row: the last of those before, in falling order (a frame that only grows)
     down = [F.col(c).desc() for c in order]
-    later = Window.partitionBy(*KEY).orderBy(*down).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*key).orderBy(*down).rowsBetween(Window.unboundedPreceding, -1)
     nearest = lambda c, w: F.last(c, ignorenulls=True).over(w)
     me, star = F.struct(*order), F.col("closes") == "*"
-    # a run of '*' statements with one object ends none of its own; the next run begins with another object
-    opens = star & ~F.coalesce(nearest(F.when(star, F.col("object")), earlier).eqNullSafe(F.col("object")), F.lit(False))
-    moved = moved.withColumn("_opens", opens)
-    moved = moved.withColumn("_run", nearest(F.when(F.col("_opens"), me), later))
-    moved = moved.withColumn("_star", nearest(F.when(star, F.struct(*order, "object", "_run")), later))
-    by_star = F.when(F.col("_star").isNotNull() & ~F.col("_star.object").eqNullSafe(F.col("object")), F.struct(*[F.col(f"_star.{c}").alias(c) for c in order])).otherwise(F.col("_star._run"))
-    # the closing of one object meets the facts of that object: both come under the value that they speak of
-    moved = moved.withColumn("_by_star", by_star).withColumn("_of", F.col("object")).withColumn("_at", F.lit(None).cast(moved.select(me.alias("m")).schema["m"].dataType))
-    exact = moved.where("closes <> '*'").select(*KEY, F.col("closes").alias("_of"), *order, me.alias("_at"))
-    moved = moved.unionByName(exact, allowMissingColumns=True)
-    same = Window.partitionBy(*KEY, "_of").orderBy(*down, F.col("_at").isNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
-    moved = moved.withColumn("_exact", nearest(F.col("_at"), same)).where("_at is null")
-    closer = F.least("_by_star", "_exact")
-    moved = moved.withColumn("_closer", closer).withColumn("valid_until", F.col("_closer.valid_from")).withColumn("superseded_by", F.col("_closer.fact_id"))
-    moved = moved.drop("_opens", "_run", "_star", "_by_star", "_of", "_at", "_exact", "_closer")
-    kinds = {f.name: f.dataType for f in moved.schema}
-    still = still.withColumn("valid_until", F.lit(None).cast(kinds["valid_until"])).withColumn("superseded_by", F.lit(None).cast(kinds["superseded_by"]))
-    rows = moved.unionByName(still)
+    rows = rows.drop("valid_until", "superseded_by", "status").withColumn("_star", nearest(F.when(star, F.struct(*order, "object")), later))
+    # a run of '*' statements with one object ends none of its own; the last of a run knows the first of the next
+    other = F.col("_star").isNotNull() & ~F.col("_star.object").eqNullSafe(F.col("object"))
+    at = F.struct(*[F.col(f"_star.{c}").alias(c) for c in order])
+    rows = rows.withColumn("_run", nearest(F.when(star & other, at), later))
+    rows = rows.withColumn("_closer", F.when(other, at).otherwise(F.col("_run"))).drop("_star", "_run")
+    if exact:
+        # the closing of one object meets the facts of that object: both come under the value that they speak of
+        none = F.lit(None).cast(rows.select(me.alias("m")).schema["m"].dataType)
+        fact, closing = F.struct(F.col("object").alias("of"), none.alias("at")), F.struct(F.col("closes").alias("of"), me.alias("at"))
+        rows = rows.withColumn("_said", F.explode(F.when(F.col("closes") != "*", F.array(fact, closing)).otherwise(F.array(fact))))
+        rows = rows.withColumn("_of", F.col("_said.of")).withColumn("_at", F.col("_said.at")).drop("_said")
+        same = Window.partitionBy(*key, "_of").orderBy(*down, F.col("_at").isNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_exact", nearest(F.col("_at"), same)).where("_at is null")
+        rows = rows.withColumn("_closer", F.least("_closer", "_exact")).drop("_of", "_at", "_exact")
+    rows = rows.withColumn("valid_until", F.col("_closer.valid_from")).withColumn("superseded_by", F.col("_closer.fact_id")).drop("_closer")
     return rows.withColumn("status", F.when(F.col("superseded_by").isNull(), "active").otherwise("superseded"))
 
 
@@ -86,9 +81,9 @@ class FactTable:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, buckets: int = 64, fact_id: str = "bigint") -> FactTable:
-        """A new table without rows, version 0. ``buckets`` stays: a task of a merge holds about a bucket's share."""
+        """A new table without rows, version 0. ``buckets`` stays: what a merge rewrites at the least."""
         table = cls(spark, path)
-        if not table.folder.put("manifests/0000000000.json", {"version": 0, "buckets": buckets, "fact_id": fact_id, "at": {}, "since": {}}):
+        if not table.folder.put("manifests/0000000000.json", {"version": 0, "buckets": buckets, "fact_id": fact_id, "at": {}, "since": {}, "rows": {}, "exact": False}):
             raise Conflict(f"{path} is a table already")
         return table
 
@@ -97,7 +92,7 @@ class FactTable:
         kind = self.manifest()["fact_id"]
         return (
             f"fact_id {kind}, subject string, predicate string, object string, closes string, valid_from timestamp_ntz, source string, recorded_at timestamp_ntz, "
-            f"fingerprint string, valid_until timestamp_ntz, superseded_by {kind}, status string, changed_in bigint"
+            f"fingerprint binary, valid_until timestamp_ntz, superseded_by {kind}, status string, changed_in bigint"
         )
 
     def versions(self) -> list[int]:
@@ -126,35 +121,42 @@ class FactTable:
         same batch twice is the batch once, and a batch without news commits no version."""
         m = self.manifest()
         version, buckets = m["version"] + 1, m["buckets"]
+        bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
         rows = statements.select(*STATED).withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz")).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
-        rows = rows.withColumn("fingerprint", fingerprint()).withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
-        once = rows.groupBy("fingerprint").agg(F.min_by(F.struct(*STATED, "bucket"), F.col("fact_id")).alias("s")).select("fingerprint", "s.*")
-        stage = f"{self.path}/staging/{uuid.uuid4().hex}"
-        once.write.partitionBy("bucket").parquet(stage)
+        rows = rows.withColumn("fingerprint", fingerprint()).withColumn("bucket", bucket)
+        stage = f"staging/{uuid.uuid4().hex}"
         try:
-            staged = self.spark.read.schema(f"{self.schema}, bucket int").parquet(stage).drop("valid_until", "superseded_by", "status", "changed_in")
-            touched = [n.partition("=")[2] for n in self.folder.names(stage.removeprefix(f"{self.path}/")) if n.startswith("bucket=")]
-            held = self._load(m, touched)
-            fresh = staged.join(held.select("fingerprint"), "fingerprint", "left_anti")
-            news = {str(r["bucket"]): r["n"] for r in fresh.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # as many rows as buckets, at most
+            rows.write.parquet(f"{self.path}/{stage}")
+            staged = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{stage}")
+            came = staged.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("closes") != "*", F.lit(False))).alias("exact")).collect()  # as many rows as buckets, at most
+            held = lambda bs: self._load(m, bs).select("fingerprint")
+            fresh = staged.groupBy("fingerprint").agg(F.min("bucket").alias("bucket")).join(held([str(r["bucket"]) for r in came]), "fingerprint", "left_anti")
+            news = {str(r["bucket"]): r["n"] for r in fresh.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
             if not news:
                 return {"version": m["version"], "added": 0, "rewritten": 0}
-            old = self._load(m, list(news)).withColumn("_was", F.struct("superseded_by", "changed_in"))
-            fresh = fresh.where(F.col("bucket").isin([int(b) for b in news])).drop("bucket")
-            both = old.drop("valid_until", "superseded_by", "status", "changed_in").unionByName(fresh, allowMissingColumns=True)
-            done = with_intervals(both)
+            came = [r for r in came if str(r["bucket"]) in news]
+            exact = m["exact"] or any(r["exact"] for r in came)
+            count = m["rows"] | {b: m["rows"].get(b, 0) + n for b, n in news.items()}
+            fresh = staged.where(F.col("bucket").isin([r["bucket"] for r in came]))
+            if sum(r["n"] for r in came) > sum(news.values()):  # some came twice or are held
+                fresh = fresh.groupBy("fingerprint").agg(F.min_by(F.struct(*STATED, "bucket"), F.col("fact_id")).alias("s")).select("fingerprint", "s.*")
+                fresh = fresh.join(held(list(news)), "fingerprint", "left_anti")
+            old = self._load(m, list(news)).withColumn("_was", F.struct("superseded_by", "changed_in")).drop("valid_until", "superseded_by", "status", "changed_in")
+            both = old.withColumn("bucket", bucket).unionByName(fresh, allowMissingColumns=True)
+            # the rows move once: a task gets whole keys of one bucket, and writes them as they lie
+            shares = [-(-count[str(b)] // TASK_ROWS) if str(b) in news else 0 for b in range(buckets)]
+            first = [sum(shares[:b]) for b in range(buckets)]
+            both = both.withColumn("part", (F.get(F.lit(first), "bucket") + F.pmod(F.hash(*KEY), F.get(F.lit(shares), "bucket"))).cast("int"))
+            done = with_intervals(both.repartitionById(sum(shares), "part"), ("bucket", "part"), exact)
             kept = F.col("_was").isNotNull() & F.col("_was.superseded_by").eqNullSafe(F.col("superseded_by"))
-            done = done.withColumn("changed_in", F.when(kept, F.col("_was.changed_in")).otherwise(F.lit(version).cast("bigint"))).drop("_was")
-            done = done.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
+            done = done.withColumn("changed_in", F.when(kept, F.col("_was.changed_in")).otherwise(F.lit(version).cast("bigint")))
             name = f"data/{uuid.uuid4().hex}"
-            # a bucket in a few files, whatever the number of tasks, and a hot key in more than one
-            laid = done.select(*STATED, *DERIVED, "bucket").repartition("bucket", F.pmod(F.xxhash64("fingerprint"), F.lit(4)))
-            laid.write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+            done.select(*STATED, *DERIVED, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         finally:
-            self.folder.delete(stage.removeprefix(f"{self.path}/"))
+            self.folder.delete(stage)
         at = m["at"] | {b: f"{name}/bucket={b}" for b in news}
         since = m["since"] | {b: version for b in news}
-        if not self.folder.put(f"manifests/{version:010d}.json", m | {"version": version, "at": at, "since": since}):
+        if not self.folder.put(f"manifests/{version:010d}.json", m | {"version": version, "at": at, "since": since, "rows": count, "exact": exact}):
             self.folder.delete(name)
             raise Conflict(f"version {version} was committed by another merge")
         return {"version": version, "added": sum(news.values()), "rewritten": len(news)}

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources.facttable import HASH, Conflict, FactTable, Readers
+from tessera.sources.facttable import HASH, Conflict, FactTable, Readers, with_intervals
 from tessera.sources.shared import Folder, scratch_folder, shared_folder
 
 DAY = datetime(2024, 1, 1)
@@ -52,6 +52,30 @@ def test_merges_equal_a_rebuild(spark, table, seed):
         assert (r.status == "active") == (r.superseded_by is None) and (r.valid_until is None) == (r.superseded_by is None)
 
 
+def test_intervals_take_one_shuffle(spark):
+    """A row may not be sent, or its statement read, more than once."""
+    rows = spark.createDataFrame([statement(1, "a", "x", "*", 1)], SCHEMA).repartition(3, "source")
+    plan = with_intervals(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(subject") == 1 and plan.count("Scan") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_parted_buckets_and_copies_equal_a_rebuild(spark, table, monkeypatch, seed):
+    monkeypatch.setattr("tessera.sources.facttable.TASK_ROWS", 7)
+    rng = random.Random(seed)
+    rows = [statement(i, rng.choice("abcdefghij"), rng.choice(["x", "y", None]), "*", rng.randrange(9)) for i in range(90)]
+    seen, once = set(), []
+    for r in rows:  # equal statements count once
+        if r[1:6] not in seen:
+            seen.add(r[1:6])
+            once.append(r)
+    table.merge(spark.createDataFrame(rows[:50], SCHEMA))
+    assert table.merge(spark.createDataFrame(rows[20:], SCHEMA))["added"] == sum(r[0] >= 50 for r in once)
+    assert held(table) == rebuilt(once) and table.manifest()["rows"] == {b: n for b, n in table.manifest()["rows"].items() if n} and sum(table.manifest()["rows"].values()) == len(once)
+    table.merge(spark.createDataFrame([statement(100, "a", "z", "x", 10), statement(101, "b", "z", "y", 10)], SCHEMA))
+    assert held(table) == rebuilt([*once, statement(100, "a", "z", "x", 10), statement(101, "b", "z", "y", 10)])
+
+
 def test_same_batch_twice_changes_nothing(spark, table):
     batch = spark.createDataFrame([statement(1, "a", "x", "*", 1), statement(2, "b", "x", None, 1), statement(9, "a", "x", "*", 1)], SCHEMA)
     first = table.merge(batch)

@@ -177,22 +177,25 @@ class FactTable:
         them; those still stated stay as they are. ``next_id`` adds fact_id."""
         active = self.read().where("superseded_by is null and not startswith(object, 'retired_')")
         known = active.where(F.col("predicate") == HASH).select("source", F.col("object").alias("_held"))
-        both = files.join(known, "source", "full_outer")
-        changed = both.where("hash is not null and (_held is null or _held <> hash)").drop("_held")
-        touched = both.where("hash is null or _held is null or _held <> hash").select("source")
-        stated = extract(changed).select(*KEY, "object", "source").distinct()
-        mine = active.where(F.col("predicate") != HASH).join(touched, "source", "left_semi").select(*KEY, "object", "source")
-        same = [*KEY, "object", "source"]
-        digest = F.substring(F.sha2(F.concat_ws("|", *same), 256), 1, 12)
-        retire = lambda rows: rows.select(*KEY, F.concat(F.lit("retired_"), digest).alias("object"), F.col("object").alias("closes"), "source")
-        gone = both.where("hash is null").select(F.col("source").alias("subject"), F.lit(HASH).alias("predicate"), F.col("_held").alias("object"), "source")
-        batch = [
-            stated.join(mine, same, "left_anti").withColumn("closes", F.lit(None).cast("string")),
-            retire(mine.join(stated, same, "left_anti")), retire(gone),
-            changed.select(F.col("source").alias("subject"), F.lit(HASH).alias("predicate"), F.col("hash").alias("object"), F.lit("*").alias("closes"), "source"),
-        ]
-        rows = reduce(lambda a, b: a.unionByName(b), batch)
-        return self.merge(next_id(rows.withColumn("valid_from", now).withColumn("recorded_at", now)))
+        news = files.join(known, "source", "full_outer").where("hash is null or _held is null or _held <> hash")
+        stage = f"staging/{uuid.uuid4().hex}"
+        try:  # files are read and compared once
+            news.write.parquet(f"{self.path}/{stage}")
+            news = self.spark.read.schema(news.schema).parquet(f"{self.path}/{stage}")
+            if news.isEmpty():
+                return {"version": self.versions()[-1], "added": 0, "rewritten": 0}
+            changed, same = news.where("hash is not null").drop("_held"), [*KEY, "object", "source"]
+            stated = extract(changed).select(*same).distinct().withColumn("_said", F.lit(True))
+            mine = active.where(F.col("predicate") != HASH).join(news.select("source"), "source", "left_semi").select(*same, F.lit(True).alias("_mine"))
+            differ = stated.join(mine, same, "full_outer").where("_said is null or _mine is null").withColumn("_gone", F.col("_said").isNull())
+            ends = news.select(F.col("source").alias("subject"), F.lit(HASH).alias("predicate"), F.coalesce("hash", "_held").alias("object"), "source", F.col("hash").isNull().alias("_gone"))
+            # what is gone is closed by a fact that retires it; of hashes the newest alone stands
+            rows = differ.select(*same, "_gone").withColumn("closes", F.lit(None).cast("string")).unionByName(ends.withColumn("closes", F.lit("*")))
+            retired = F.concat(F.lit("retired_"), F.substring(F.sha2(F.concat_ws("|", *same), 256), 1, 12))
+            rows = rows.select(*KEY, F.when(F.col("_gone"), retired).otherwise(F.col("object")).alias("object"), F.when(F.col("_gone"), F.col("object")).otherwise(F.col("closes")).alias("closes"), "source")
+            return self.merge(next_id(rows.withColumn("valid_from", now).withColumn("recorded_at", now)))
+        finally:
+            self.folder.delete(stage)
 
     def vacuum(self, keep: int = 10) -> int:
         """Forget all but the last ``keep`` versions; returns the folders removed."""

@@ -163,6 +163,25 @@ def test_refresh_retires_what_is_stated_no_more(spark):
     assert active() == {("a", "one", 1), ("a", "five", 2), ("a", "two", 4), ("b", "three", 1), ("c", "four", 4)}
 
 
+def test_a_refresh_reads_its_files_once(spark):
+    table = FactTable.create(spark, scratch_folder(spark, "t"), buckets=2, fact_id="string")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    extract = lambda f: f.select(F.concat(F.lit("m:"), "source").alias("subject"), F.lit("SAYS").alias("predicate"), F.explode(F.split("said", " ")).alias("object"), "source")
+    next_id = lambda df: df.withColumn("fact_id", F.sha2(F.to_json(F.struct("subject", "predicate", "object", "closes", "valid_from")), 256))
+    for day, said in ((1, [("a", "one two"), ("b", "three")]), (2, [("a", "one"), ("c", "four")])):
+        files = spark.createDataFrame(said, "source string, said string").mapInPandas(seen, "source string, said string").withColumn("hash", F.sha2("said", 256))
+        table.refresh(files, extract, F.lit(DAY + timedelta(days=day)), next_id)
+        assert read.value == 2 * day
+    rows = table.read().where(f"superseded_by is null and predicate <> '{HASH}'").collect()
+    assert sorted((r.source, r.object) for r in rows if not r.object.startswith("retired_")) == [("a", "one"), ("c", "four")] and len(rows) == 4
+
+
 def test_a_delivery_is_neither_lost_nor_repeated(spark, table):
     readers = Readers(table, scratch_folder(spark, "r"))
     me, other = Readers.name("w", "recall", "c", "s", "first"), Readers.name("w", "recall", "c", "s", "second")

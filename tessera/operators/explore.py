@@ -49,12 +49,13 @@ def diff_impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, *, depth
     ``nodes``: node, kind, path; ``edges``: kind, src, dst; ``changed``: path. Seeds are the
     symbols of the changed files, or, where those have none, the files. Of more than ``limit`` nodes the nearest
     stay, by degree, then name."""
+    nodes, edges = graph.written(nodes.select("node", "kind", "path"), "nodes"), graph.written(edges.select("kind", "src", "dst"), "edges")  # every step asks for them
     touched = nodes.join(changed.select("path").distinct(), "path", "left_semi")
     symbols = touched.where("kind <> 'file'").select("node")
     files = touched.where("kind = 'file'").join(touched.where("kind <> 'file'").select("path"), "path", "left_anti").select("node")
-    reached = graph.neighbourhood(edges, symbols.unionByName(files), max(1, min(5, depth)))
+    reached = graph.written(graph.neighbourhood(edges, symbols.unionByName(files), max(1, min(5, depth))), "reached")
     behaviour = edges.where("kind in ('calls', 'references')")
-    degree = behaviour.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    degree = behaviour.select(F.explode(F.array("src", "dst")).alias("node")).join(reached.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree"))
     rows = reached.join(nodes.select("node", "kind"), "node").join(degree, "node", "left").fillna(0, ["degree"])
     return rows.orderBy("depth", F.col("degree").desc(), "node").limit(limit)
 

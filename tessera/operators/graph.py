@@ -23,6 +23,13 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, made once: what was written to the shared folder, whose size tells Spark whether a join may send it whole."""
+    at = scratch_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """In-degree, out-degree and degree of each node: one exchange over both ends."""
     ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
@@ -41,14 +48,17 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, *, directed: bool = False) -> DataFrame:
-    """Nodes within ``depth`` hops of the seeds, and the first hop that reaches each."""
-    hops = edges.select("src", "dst").distinct() if directed else undirected(edges)
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    """Nodes within ``depth`` hops of the seeds, and the first hop that reaches each.
+
+    Edges stay where they lie as long as the nodes seen are few enough to be sent to them; what a round reaches counts once."""
+    hops = edges.select("src", "dst")
+    hops = hops if directed else hops.unionAll(edges.select("dst", "src"))
+    seen = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "round")
     for k in range(1, depth + 1):
         reached = seen.where(F.col("depth") == k - 1).join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         fresh = reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(k))
         if k < depth:
-            seen = _cut(seen.unionAll(fresh))
+            seen = written(seen.unionAll(fresh), "round")
         else:
             seen = seen.unionAll(fresh)
     return seen

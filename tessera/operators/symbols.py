@@ -23,6 +23,8 @@ from tessera.sources.shared import scratch_folder
 MARKS = "path string, language string, kind string, name string, receiver string, scope int, start int, stop int, line int, extra array<string>"
 #: Definitions that one name stands for outside its file and imports (a limit of the operator).
 MOST_TARGETS = 8
+#: Marks that are sent at once, whole files, about: a batch costs more than the lexing of a small file.
+BATCH_MARKS = 8192
 
 
 def code_marks(files: DataFrame) -> DataFrame:
@@ -30,10 +32,16 @@ def code_marks(files: DataFrame) -> DataFrame:
     schema = pa.schema([("path", pa.string()), ("language", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("receiver", pa.string()), ("scope", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("line", pa.int32()), ("extra", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows = []
         for batch in batches:
             for path, language, text in zip(*(batch[c].to_pylist() for c in ("path", "language", "text")), strict=True):
-                rows = [(path, language, *m) for m in marks_of(text, language)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema, strict=True)], schema=schema)
+                rows.extend((path, language, *m) for m in marks_of(text, language))
+                if len(rows) >= BATCH_MARKS:
+                    yield sent(rows)
+                    rows = []
+        if rows:
+            yield sent(rows)
 
     rows = files.where("text is not null and path is not null").select("path", fn.language_of(F.col("path")).alias("language"), "text")
     return rows.mapInArrow(run, MARKS)

@@ -67,6 +67,20 @@ def test_impact_of_a_change(spark):
     assert explore.diff_impact(nodes, edges, changed("a.py"), depth=9, limit=3).count() == 3
 
 
+def test_impact_reads_the_graph_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    nodes = spark.createDataFrame([(f"f{i}", "function", f"{i}.py") for i in range(6)], "node string, kind string, path string").mapInPandas(seen, "node string, kind string, path string")
+    edges = spark.createDataFrame([("calls", f"f{i}", f"f{i + 1}") for i in range(5)] + [("calls", "f0", "f1")], "kind string, src string, dst string").mapInPandas(seen, "kind string, src string, dst string")
+    got = explore.diff_impact(nodes, edges, spark.createDataFrame([("0.py",)], "path string"), depth=3).collect()
+    assert [(r.node, r.depth, r.degree) for r in got] == [("f0", 0, 2), ("f1", 1, 3), ("f2", 2, 2), ("f3", 3, 2)] and read.value == 12
+
+
 @pytest.mark.parametrize("direction, want", [("outbound", ["a > b", "a > b > c"]), ("inbound", ["a > d"]), ("both", ["a > b", "a > d", "a > b > c"])])
 def test_traces_either_way(spark, direction, want):
     e = spark.createDataFrame([("a", "K", "b"), ("b", "K", "c"), ("d", "K", "a"), ("a", "other", "z")], "src string, predicate string, dst string")

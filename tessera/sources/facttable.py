@@ -2,7 +2,7 @@
 
 Rows lie in Parquet folders by hash buckets of (subject, predicate). A merge reads and
 rewrites only the buckets that its batch brings something new to, and commits by
-putting the next manifest, which names the folder of every bucket: readers see the
+putting the next manifest, which names the files of every bucket: readers see the
 table before or after a merge, never between. Of two merges of one version the
 second fails. Folders that no kept manifest names are removed by vacuum().
 """
@@ -102,8 +102,12 @@ class FactTable:
         return self.folder.read(f"manifests/{self.versions()[-1] if version is None else version:010d}.json")
 
     def _load(self, manifest: dict, buckets: list[str]) -> DataFrame:
-        paths = [f"{self.path}/{manifest['at'][b]}" for b in buckets if b in manifest["at"]]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        at = [manifest["at"][b] for b in buckets if b in manifest["at"]]
+        paths = [f"{self.path}/{x}" for xs in at for x in ([xs] if isinstance(xs, str) else xs)]
+        if paths:
+            return self.spark.read.schema(self.schema).parquet(*paths)
+        names = [c.split() for c in self.schema.split(", ")]
+        return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(c) for c, kind in names]).where("false")
 
     def read(self, version: int | None = None, key: tuple[str, str] | None = None) -> DataFrame:
         """All facts, as they were in ``version``; of one (subject, predicate) only its bucket is read."""
@@ -123,15 +127,26 @@ class FactTable:
         version, buckets = m["version"] + 1, m["buckets"]
         bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
         rows = statements.select(*STATED).withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz")).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
-        rows = rows.withColumn("fingerprint", fingerprint()).withColumn("bucket", bucket)
+        # batches of one time lie in few files: dealt out by id, all cores share what follows
+        rows = rows.repartition("fact_id").withColumn("fingerprint", fingerprint()).withColumn("bucket", bucket)
         stage = f"staging/{uuid.uuid4().hex}"
         try:
             rows.write.parquet(f"{self.path}/{stage}")
             staged = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{stage}")
-            came = staged.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("closes") != "*", F.lit(False))).alias("exact")).collect()  # as many rows as buckets, at most
-            held = lambda bs: self._load(m, bs).select("fingerprint")
-            fresh = staged.groupBy("fingerprint").agg(F.min("bucket").alias("bucket")).join(held([str(r["bucket"]) for r in came]), "fingerprint", "left_anti")
-            news = {str(r["bucket"]): r["n"] for r in fresh.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+            came = staged.groupBy("bucket").agg(
+                F.count("*").alias("n"), F.max(F.coalesce(F.col("closes") != "*", F.lit(False))).alias("exact"),
+                F.min("valid_from").cast("string").alias("begin"), F.max(F.col("valid_from").isNull()).alias("undated"),
+            ).collect()  # as many rows as buckets, at most
+            # an equal statement began at the same time: of the digests held, those of before the batch stay unread
+            begins = [r["begin"] for r in came if r["begin"]]
+            recent = F.lit(True)
+            if all(b[0].isdigit() for b in begins):  # years of four digits, whose texts sort as they do
+                recent = F.col("valid_from") >= F.lit(min(begins, default=None)).cast("timestamp_ntz")
+                recent = F.col("valid_from").isNull() | recent if any(r["undated"] for r in came) else recent
+            held = lambda bs: self._load(m, bs).where(recent).select("fingerprint")
+            both = staged.select("fingerprint", "bucket").unionByName(held([str(r["bucket"]) for r in came]), allowMissingColumns=True)
+            seen = both.groupBy("fingerprint").agg(F.min("bucket").alias("bucket"), F.max(F.col("bucket").isNull()).alias("held"))
+            news = {str(r["bucket"]): r["n"] for r in seen.where("not held").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
             if not news:
                 return {"version": m["version"], "added": 0, "rewritten": 0}
             came = [r for r in came if str(r["bucket"]) in news]
@@ -146,15 +161,22 @@ class FactTable:
             # the rows move once: a task gets whole keys of one bucket, and writes them as they lie
             shares = [-(-count[str(b)] // TASK_ROWS) if str(b) in news else 0 for b in range(buckets)]
             first = [sum(shares[:b]) for b in range(buckets)]
-            both = both.withColumn("part", (F.get(F.lit(first), "bucket") + F.pmod(F.hash(*KEY), F.get(F.lit(shares), "bucket"))).cast("int"))
-            done = with_intervals(both.repartitionById(sum(shares), "part"), ("bucket", "part"), exact)
+            both = both.withColumn("part", (F.get(F.lit(first), "bucket") + F.pmod(F.hash(*KEY), F.greatest(F.get(F.lit(shares), "bucket"), F.lit(1)))).cast("int"))
+            # a number leads the sort, so that few rows are compared by their texts
+            both = both.repartitionById(sum(shares), "part").withColumn("_key", F.xxhash64(*KEY))
+            done = with_intervals(both, ("_key", "part"), exact)
             kept = F.col("_was").isNotNull() & F.col("_was.superseded_by").eqNullSafe(F.col("superseded_by"))
             done = done.withColumn("changed_in", F.when(kept, F.col("_was.changed_in")).otherwise(F.lit(version).cast("bigint")))
             name = f"data/{uuid.uuid4().hex}"
-            done.select(*STATED, *DERIVED, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+            done.select(*STATED, *DERIVED, "bucket").write.parquet(f"{self.path}/{name}")
+            written = self.spark.read.schema("bucket int").parquet(f"{self.path}/{name}")
+            files = written.select("bucket", F.col("_metadata.file_name").alias("file")).distinct().collect()
+            if len({r["file"] for r in files}) < len(files):
+                self.folder.delete(name)
+                raise RuntimeError(f"{name}: a file holds rows of two buckets")
         finally:
             self.folder.delete(stage)
-        at = m["at"] | {b: f"{name}/bucket={b}" for b in news}
+        at = m["at"] | {b: sorted(f"{name}/{r['file']}" for r in files if str(r["bucket"]) == b) for b in news}
         since = m["since"] | {b: version for b in news}
         if not self.folder.put(f"manifests/{version:010d}.json", m | {"version": version, "at": at, "since": since, "rows": count, "exact": exact}):
             self.folder.delete(name)
@@ -202,7 +224,8 @@ class FactTable:
         versions = self.versions()
         for v in versions[:-keep]:
             self.folder.delete(f"manifests/{v:010d}.json")
-        named = {at.split("/")[1] for v in versions[-keep:] for at in self.manifest(v)["at"].values()}
+        kept = [at for v in versions[-keep:] for at in self.manifest(v)["at"].values()]
+        named = {(at if isinstance(at, str) else at[0]).split("/")[1] for at in kept}
         old = [n for n in self.folder.names("data") if n not in named]
         for n in old:
             self.folder.delete(f"data/{n}")

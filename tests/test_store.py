@@ -97,6 +97,41 @@ def test_a_late_statement_closes_the_right_version(spark, table):
     assert {r.fact_id: r.superseded_by for r in table.read(1).collect()} == {1: 2, 2: None}
 
 
+def test_a_batch_in_one_partition_is_dealt_out(spark, table, monkeypatch):
+    """What a merge makes of its batch may not wait for the one task that reads it."""
+    staged, delete = [], Folder.delete
+    monkeypatch.setattr(Folder, "delete", lambda f, n: (staged.extend(x for x in f.names(n) if x.startswith("part-")), delete(f, n)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table.merge(spark.createDataFrame([statement(i, f"k{i}", "x", "*", 1) for i in range(200)], SCHEMA).coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(staged) == 4 and table.read().count() == 200
+
+
+def test_an_empty_table_is_read_without_python(spark, table):
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+
+
+def test_repeated_statements_are_found_whatever_their_time(spark, table):
+    undated = lambda i, s: statement(i, s, "x", "*", 1)[:5] + (None, "s", DAY)
+    table.merge(spark.createDataFrame([statement(1, "a", "x", "*", 1), statement(2, "a", "y", "*", 5), undated(3, "a"), undated(4, "b")], SCHEMA))
+    for again in ([statement(5, "a", "x", "*", 1)], [undated(6, "b")], [statement(7, "a", "y", "*", 5), undated(8, "a")]):
+        assert table.merge(spark.createDataFrame(again, SCHEMA)) == {"version": 1, "added": 0, "rewritten": 0}
+    late = table.merge(spark.createDataFrame([statement(9, "a", "x", "*", 1), statement(10, "a", "z", "*", 3), undated(11, "b")], SCHEMA))
+    assert late["added"] == 1 and held(table) == {3: 10, 1: 10, 10: 2, 2: None, 4: None}
+
+
+def test_a_bucket_named_by_its_folder_is_read(spark):
+    table = FactTable.create(spark, scratch_folder(spark, "t"), buckets=1)
+    table.merge(spark.createDataFrame([statement(1, "a", "x", "*", 1)], SCHEMA))
+    m = table.manifest()
+    table.folder.put("manifests/0000000002.json", m | {"version": 2, "at": {b: files[0].rsplit("/", 1)[0] for b, files in m["at"].items()}})
+    table.merge(spark.createDataFrame([statement(2, "a", "y", "*", 2)], SCHEMA))
+    assert held(table) == {1: 2, 2: None} and {r.fact_id for r in table.read(2).collect()} == {1} and table.vacuum(2) == 0
+
+
 def test_only_touched_buckets_are_rewritten(spark, table):
     table.merge(spark.createDataFrame([statement(i, f"k{i}", "x", None, 1) for i in range(40)], SCHEMA))
     before = table.manifest()["at"]

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources.facttable import HASH, Conflict, FactTable, Readers, with_intervals
+from tessera.sources.facttable import HASH, Conflict, FactTable, Readers, fingerprint, with_intervals
 from tessera.sources.shared import Folder, scratch_folder, shared_folder
 
 DAY = datetime(2024, 1, 1)
@@ -123,6 +123,38 @@ def test_repeated_statements_are_found_whatever_their_time(spark, table):
     assert late["added"] == 1 and held(table) == {3: 10, 1: 10, 10: 2, 2: None, 4: None}
 
 
+def test_statements_a_microsecond_apart_are_two(spark, table):
+    """What a delivery counts may not fall together by the millisecond."""
+    at = lambda i, object_, micros: statement(i, "a", object_, "*", 1)[:5] + (DAY + timedelta(microseconds=micros), "s", DAY)
+    first = spark.createDataFrame([at(1, "x", 100), at(2, "y", 200), at(3, "x", 300)], SCHEMA)
+    readers, me = Readers(table, scratch_folder(spark, "r")), Readers.name("w", "recall", "c", "s")
+    assert table.merge(first)["added"] == 3 and table.merge(first)["added"] == 0 and held(table) == {1: 2, 2: 3, 3: None}
+    with readers.delivery(me) as (_, rows):
+        assert {(r.fact_id, r.op) for r in rows.collect()} == {(1, "r"), (2, "r"), (3, "d")}
+    assert table.merge(spark.createDataFrame([at(4, "y", 400), at(5, "y", 200)], SCHEMA))["added"] == 1
+    with readers.delivery(me) as (_, rows):
+        assert {(r.fact_id, r.op) for r in rows.collect()} == {(3, "r"), (4, "d")}
+
+
+def test_digests_take_no_time_as_text(spark):
+    """Writing the times as text took most of what a digest costs."""
+    text = spark.createDataFrame([statement(1, "a", "x", "*", 1)], SCHEMA).withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz")).select(fingerprint())
+    plan = text._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(valid_from" in plan and "valid_from, valid_from#" not in plan
+
+
+def test_a_table_with_digests_by_the_millisecond_is_merged_into(spark):
+    table = FactTable.create(spark, scratch_folder(spark, "t"), buckets=1)
+    table.merge(spark.createDataFrame([statement(1, "a", "x", "*", 1), statement(2, "a", "y", "*", 2)], SCHEMA))
+    m = {k: v for k, v in table.manifest().items() if k != "digest"}
+    table.read().withColumn("fingerprint", F.unhex(F.lit("00" * 16))).coalesce(1).write.parquet(f"{table.path}/data/older")
+    older = [f"data/older/{n}" for n in Folder(spark, f"{table.path}/data/older").names() if n.startswith("part-")]
+    table.folder.put("manifests/0000000002.json", m | {"version": 2, "at": {"0": older}})
+    assert table.merge(spark.createDataFrame([statement(3, "a", "x", "*", 1)], SCHEMA))["added"] == 0
+    assert table.merge(spark.createDataFrame([statement(4, "a", "x", "*", 3), statement(5, "a", "y", "*", 2)], SCHEMA))["added"] == 1
+    assert held(table) == {1: 2, 2: 4, 4: None}
+
+
 def test_a_bucket_named_by_its_folder_is_read(spark):
     table = FactTable.create(spark, scratch_folder(spark, "t"), buckets=1)
     table.merge(spark.createDataFrame([statement(1, "a", "x", "*", 1)], SCHEMA))

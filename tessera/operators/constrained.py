@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.operators.selection import by_request
+from tessera.sources.shared import scratch_folder
 
 #: Weight of each feature, caps of categories, bonuses, thresholds and limits (fixed values).
 FEATURE_WEIGHTS = {
@@ -38,7 +39,8 @@ class Constraints:
     least_evidence: int = 2
     least_use: float = 0.0
     most_selected: int = 12
-    most_candidates: int = 200
+    most_candidates: int | None = None
+    most_folded: int = 4096
     required_ratio: float = 1.0
     caps: dict = field(default_factory=lambda: dict(CATEGORY_CAPS))
 
@@ -166,6 +168,144 @@ def choose(rows: list[dict], budget: int, required: set, entities: set, c: Const
     return out, enough()
 
 
+def _rounded(x: Column) -> Column:
+    """``_six`` of a column."""
+    return F.signum(x) * (F.floor(F.abs(x) * 1e6 + 0.5) / 1e6)
+
+
+def _replay(c: Constraints) -> Column:
+    """What the rounds of a request (column rounds) made of a record: near, done, marginal, why, position.
+
+    A round says what was taken before it (took), the state then, and the record that it took (best);
+    it settles that record and those that are refused ahead of it. One that is open has no best yet, and leaves
+    the record undone with its gain, its key in the order of judgement, and why it would be refused."""
+
+    def like(t: Column) -> Column:
+        same = fn.jaccard(F.col("shingles"), t["shingles"])
+        path = F.coalesce((F.col("path") != "") & (F.col("path") == t["path"]), F.lit(False))
+        return F.when(F.col("hash") == t["hash"], 1.0).when(path, F.greatest(same, F.lit(c.same_path))).otherwise(same)
+
+    caps = _lookup({k: int(v) for k, v in c.caps.items()}, F.col("category"), 2) if c.caps else F.lit(2)
+
+    def judged(h: Column, near: Column) -> Column:
+        like_, held = _rounded(near), F.size(F.filter(h["held"], lambda k: k.eqNullSafe(F.col("category"))))
+        fresh = F.size(F.array_except(F.array_intersect("entities", "wanted"), h["covered"])) > 0
+        g = _rounded(F.col("utility") - F.lit(c.diversity) * like_ + (F.when(fresh, c.new_entity).otherwise(0.0) + F.when(held > 0, 0.0).otherwise(c.new_category)))
+
+        def settled(g: Column) -> Column:
+            bad = F.concat_ws(",", *[F.when(x, name) for name, x in (
+                ("below_minimum_utility", F.col("utility") < c.least_utility), ("redundant", like_ >= c.duplicate), ("category_cap", held >= caps),
+                ("token_budget", h["spent"] + F.col("tokens") > F.col("budget")), ("insufficient_marginal_utility", g < c.least_marginal),
+            )])
+            took = h["best"]["record"] == F.col("record")
+            ahead = F.struct((-g).alias("g"), F.col("tokens"), F.col("record")) < h["best"]
+            news = F.concat(F.when(fresh, "entity_coverage").otherwise("complementary_evidence"), F.lit(","), F.when(held > 0, "kind_overlap").otherwise("diversity_gain"))
+            over = h["mode"].isin("enough", "full")
+            done = over | (h["mode"] == "none") | F.coalesce(took | (ahead & (bad != "")), F.lit(False))
+            late = F.when(h["mode"] == "full", "maximum_candidate_count").when(like_ >= c.duplicate, "redundant").otherwise("sufficient_without")
+            return F.struct(
+                near.alias("near"), done.alias("done"), F.when(over, F.col("utility")).otherwise(g).alias("marginal"),
+                F.when(over, late).when(took, news).otherwise(bad).alias("why"), F.when(took, h["n"] + 1).cast("int").alias("position"),
+            )
+
+        return fn.once(g, settled)
+
+    def step(said: Column, h: Column) -> Column:
+        near = F.greatest(said["near"], F.coalesce(F.array_max(F.transform(h["took"], like)), F.lit(0.0)))
+        return F.when(said["done"], said).otherwise(fn.once(near, lambda x: judged(h, x)))
+
+    none = F.struct(F.lit(0.0).alias("near"), F.lit(False).alias("done"), F.lit(None).cast("double").alias("marginal"), F.lit("").alias("why"), F.lit(None).cast("int").alias("position"))
+    return F.aggregate("rounds", none, step)
+
+
+def _by_rounds(sets: DataFrame, candidates: DataFrame, c: Constraints) -> DataFrame:
+    """The decisions of ``choose`` on requests of any number of records, which stay where they lie.
+
+    A round a record taken: all records are judged in their tasks against what was taken so
+    far, and the first that nothing is held against is a minimum by request. Only the rounds of a
+    request, of at most ``most_selected`` records and those forced in, are sent to the tasks."""
+    spark = candidates.sparkSession
+    at = scratch_folder(spark, "rounds")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    no = lambda x: F.coalesce(x, F.lit(False))
+    some = lambda x: F.array_distinct(F.coalesce(F.col(x), F.array().cast("array<string>")))
+    must = no(F.array_contains("required", F.col("record")))
+    rows = candidates.join(F.broadcast(sets), "request").where("record is not null").select(
+        "request", "record", F.coalesce("utility", F.lit(math.nan)).alias("utility"), F.col("tokens").cast("bigint").alias("tokens"), "category", some("entities").alias("entities"), some("shingles").alias("shingles"),
+        "hash", "path", no(F.col("conflict")).alias("conflict"), F.coalesce("against", F.array().cast("array<string>")).alias("against"), must.alias("must"), (must | no(F.col("governance"))).alias("forced"),
+    )
+    rows = stored(rows, "rows")
+    fit, forced = rows.where(F.size("against") == 0), (F.size("against") == 0) & F.col("forced")
+    sums = rows.groupBy("request").agg(
+        F.collect_set(F.when(forced & F.col("must"), F.col("record"))).alias("found"), F.coalesce(F.sum(F.when(forced, F.col("tokens"))), F.lit(0)).alias("spent"), F.bool_or(forced & F.col("must") & F.col("conflict")).alias("clash"),
+        F.count_if((F.size("against") == 0) & F.col("conflict")).alias("conflicts"), F.count_if(F.size("against") == 0).alias("fit"),
+    )
+    missing = F.size(F.array_except(F.coalesce("required", F.array().cast(dict(sets.dtypes)["required"])), "found")) > 0
+    error = F.when(missing, "required_context_unresolved").when(F.col("clash"), "required_context_conflict").when(F.col("spent") > F.floor(F.col("budget") * F.lit(float(c.required_ratio))), "required_context_over_budget")
+    asked = stored(sets.join(sums, "request").select("request", "budget", F.array_distinct(F.coalesce("wanted", F.array().cast("array<string>"))).alias("wanted"), "spent", "conflicts", "fit", error.alias("error")), "asked")
+    refused, met = asked.where("error is not null"), asked.where("error is null")
+
+    one = F.struct((~F.col("must")).alias("later"), "record", "category", "entities", "conflict", F.struct("shingles", "hash", "path").alias("like"))
+    first = met.join(fit.where("forced").groupBy("request").agg(F.array_sort(F.collect_list(one)).alias("forced")), "request", "left").withColumn("forced", F.coalesce("forced", F.array()))
+    kind, tokens = dict(rows.dtypes)["record"], "bigint"
+    took, held = F.transform("forced", lambda x: x["like"]), F.transform("forced", lambda x: x["category"])
+    n, taken_clashes = F.size("forced"), F.size(F.filter("forced", lambda x: x["conflict"])).cast("bigint")
+    covered = F.array_distinct(F.flatten(F.transform("forced", lambda x: x["entities"])))
+
+    def enough(covered: Column, held: Column, spent: Column, clashes: Column) -> Column:
+        evidence = F.size(F.filter(held, lambda k: k == "evidence"))
+        return no((F.size(F.array_except("wanted", covered)) == 0) & (evidence >= c.least_evidence) & (spent / F.greatest(F.lit(1), F.col("budget")) >= c.least_use) & (clashes == F.col("conflicts")))
+
+    best = F.lit(None).cast(f"struct<g: double, tokens: {tokens}, record: {kind}>")
+    entry = lambda took, n, spent, held, covered, mode: F.struct(took.alias("took"), n.cast("int").alias("n"), spent.cast("bigint").alias("spent"), held.alias("held"), covered.alias("covered"), mode.alias("mode"), best.alias("best"))
+    state = first.select(
+        "request", "budget", "wanted", "conflicts", taken_clashes.alias("clashes"), enough(covered, held, F.col("spent"), taken_clashes).alias("sufficient"),
+        F.array(entry(took, n, F.col("spent"), held, covered, F.when(n >= c.most_selected, "full").otherwise("judge"))).alias("rounds"),
+    )
+    state = stored(state, "round-0")
+    rest = fit.where("not forced")
+    last = F.element_at("rounds", -1)
+    turn = 0
+    while not (live := state.where(last["mode"] == "judge")).isEmpty():
+        turn += 1
+        seen = rest.join(F.broadcast(live.select("request", "budget", "wanted", "rounds")), "request").withColumn("said", _replay(c)).where("not said.done and said.why = ''")
+        picked = F.struct((-F.col("said.marginal")).alias("g"), "tokens", "record", "category", "entities", "conflict", F.struct("shingles", "hash", "path").alias("like"))
+        top = live.join(seen.groupBy("request").agg(F.min(picked).alias("t")), "request", "left")
+        t, found = F.col("t"), F.col("t").isNotNull()
+        key = F.struct(t["g"].alias("g"), t["tokens"].alias("tokens"), t["record"].alias("record"))
+        now = F.transform("rounds", lambda h, i: F.when(i == F.size("rounds") - 1, h.withField("best", F.when(found, key)).withField("mode", F.when(found, F.lit("judge")).otherwise("none"))).otherwise(h))
+        held, covered, spent = F.concat(last["held"], F.array(t["category"])), F.array_union(last["covered"], t["entities"]), last["spent"] + t["tokens"]
+        clashes, n = F.col("clashes") + t["conflict"].cast("bigint"), last["n"] + 1
+        stop = enough(covered, held, spent, clashes)
+        after = entry(F.array(t["like"]), n, spent, held, covered, F.when(stop, "enough").when(n >= c.most_selected, "full").otherwise("judge"))
+        top = top.select(
+            "request", "budget", "wanted", "conflicts", F.when(found, clashes).otherwise(F.col("clashes")).alias("clashes"), F.when(found, stop).otherwise(F.col("sufficient")).alias("sufficient"),
+            F.when(found, F.concat(now, F.array(after))).otherwise(now).alias("rounds"),
+        )
+        state = stored(state.where(last["mode"] != "judge").unionByName(top), f"round-{turn}")
+
+    null = lambda kind: F.lit(None).cast(kind)
+    shape = lambda df, state, position, marginal, why, ok: df.select("request", "record", state.alias("state"), position.cast("int").alias("position"), marginal.cast("double").alias("marginal"), why.alias("reasons"), ok.alias("sufficient"))
+    judged = rest.join(F.broadcast(state), "request").withColumn("said", _replay(c))
+    all_of = state.select("request", "sufficient").unionByName(refused.select("request", F.lit(False).alias("sufficient")))
+    inside = first.join(state.select("request", "sufficient"), "request").select("request", "sufficient", F.posexplode("forced").alias("i", "x")).withColumn("record", F.col("x.record"))
+    parts = [
+        shape(judged, F.when(F.col("said.position").isNotNull(), "selected").otherwise("excluded"), F.col("said.position"), F.col("said.marginal"), F.col("said.why"), F.col("sufficient")),
+        shape(inside, F.lit("selected"), F.col("i") + 1, F.lit(1000.0), F.when(F.col("x.later"), "governance").otherwise("required"), F.col("sufficient")),
+        shape(rows.where(F.size("against") > 0).join(F.broadcast(all_of), "request"), F.lit("excluded"), null("int"), null("double"), F.array_join("against", ","), F.col("sufficient")),
+        shape(fit.join(F.broadcast(refused.select("request", "error")), "request"), F.lit("refused"), null("int"), null("double"), F.col("error"), F.lit(False)),
+        shape(refused.where("fit = 0").withColumn("record", null(kind)), F.lit("refused"), null("int"), null("double"), F.col("error"), F.lit(False)),
+    ]
+    made = parts[0]
+    for p in parts[1:]:
+        made = made.unionByName(p)
+    return made
+
+
 def select_constrained(requests: DataFrame, candidates: DataFrame, c: Constraints = Constraints()) -> DataFrame:
     """A decision on every candidate of every request.
 
@@ -180,19 +320,28 @@ def select_constrained(requests: DataFrame, candidates: DataFrame, c: Constraint
     in conflict or over budget is refused whole, with that reason. Then the record with
     the largest utility - diversity * (likeness to the most alike one taken) + bonuses for
     new entities and a new category is judged, ties to fewer tokens, then the smaller id,
-    until the choice suffices or the most are taken. Only the ``most_candidates`` of a request with the
-    largest utility are judged, those forced in first, so a task's fold is bounded; the others are
-    excluded with the reason candidate_limit before. A request without candidates is
+    until the choice suffices or the most are taken. All candidates are judged: those of a
+    request of ``most_folded`` at most in one task, those of a larger one by rounds, where they
+    lie. Only a caller who sets ``most_candidates`` has those beyond the so many of largest
+    utility, after those forced in, excluded with the reason candidate_limit. A request without candidates is
     refused if it requires any, and has no row otherwise.
     """
     kinds = dict(candidates.dtypes)
     sets = requests.select("request", F.col("budget").cast("bigint").alias("budget"), "required", F.col("entities").alias("wanted"))
     rows = sets.join(candidates, "request", "left")
-    must = F.coalesce(F.array_contains("required", F.col("record")) | F.col("governance"), F.lit(False))
-    order = Window.partitionBy("request").orderBy((F.size("against") > 0).cast("int"), must.desc(), F.col("utility").desc(), "tokens", "record")
-    rows = rows.withColumn("place", F.row_number().over(order))
-    inside = rows.where((F.col("place") <= c.most_candidates) & (F.col("record").isNotNull() | (F.size("required") > 0)))
+    beyond = None
+    if c.most_candidates is not None:
+        must = F.coalesce(F.array_contains("required", F.col("record")) | F.col("governance"), F.lit(False))
+        order = Window.partitionBy("request").orderBy((F.size("against") > 0).cast("int"), must.desc(), F.col("utility").desc(), "tokens", "record")
+        rows = rows.withColumn("place", F.row_number().over(order))
+        beyond = rows.where((F.col("place") > c.most_candidates) & F.col("record").isNotNull())
+        rows = rows.where(F.col("place") <= c.most_candidates)
     schema = f"request {kinds['request']}, record {kinds['record']}, state string, position int, marginal double, reasons string, sufficient boolean"
+    large = candidates.groupBy("request").agg(F.count("*").alias("_n")).where(F.col("_n") > c.most_folded).select("request")
+    many = c.most_candidates is None and not large.isEmpty()
+    if many:
+        rows = rows.join(F.broadcast(large), "request", "left_anti")
+    inside = rows.where(F.col("record").isNotNull() | (F.size("required") > 0))
 
     def fold(part: list[dict]) -> list[dict]:
         first = part[0]
@@ -206,7 +355,10 @@ def select_constrained(requests: DataFrame, candidates: DataFrame, c: Constraint
 
     needed = ("request", "record", "utility", "tokens", "category", "entities", "shingles", "hash", "path", "governance", "conflict", "against", "budget", "required", "wanted")
     judged = by_request(inside.select(*needed), fold, schema)
-    beyond = rows.where((F.col("place") > c.most_candidates) & F.col("record").isNotNull())
+    if many:
+        judged = judged.unionByName(_by_rounds(sets.join(F.broadcast(large), "request"), candidates.join(F.broadcast(large), "request"), c))
+    if beyond is None:
+        return judged
     none = lambda kind: F.lit(None).cast(kind)
     reasons = F.when(F.size("against") > 0, F.array_join("against", ",")).otherwise("candidate_limit")
     return judged.unionByName(beyond.select("request", "record", F.lit("excluded").alias("state"), none("int").alias("position"), none("double").alias("marginal"), reasons.alias("reasons"), none("boolean").alias("sufficient")))

@@ -164,3 +164,66 @@ def test_requests_across_batches(spark):
         assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plain(rows, requests, c):
+    """``choose`` request by request."""
+    names = ("request", "record", "utility", "tokens", "category", "entities", "shingles", "hash", "path", "governance", "conflict", "against")
+    out = set()
+    for q, budget, required, wanted in requests:
+        part = [dict(zip(names, r, strict=True)) for r in rows if r[0] == q]
+        part = [{**r, "entities": set(r["entities"] or ()), "shingles": set(r["shingles"] or ()), "governance": bool(r["governance"]), "conflict": bool(r["conflict"])} for r in part]
+        got, enough = choose(part, budget, set(required or ()), set(wanted or ()), c) if part or required else ([], False)
+        out |= {(q, *x, enough) for x in got}
+    return out
+
+
+def test_all_candidates_are_judged(spark):
+    """The one record that covers the entity stands behind 300 of larger utility."""
+    rows = [(1, i, 0.9 - i / 10000, 5, "evidence" if i % 2 else "episodes", [], [str(i), "all"], None, None, False, False, []) for i in range(300)] + [(1, 999, 0.5, 5, "evidence", ["auth"], ["z"], None, None, False, False, [])]
+    asked = [(1, 100, [], ["auth"])]
+    got = sel.select_constrained(*frames(spark, rows, asked)).collect()
+    assert {tuple(r) for r in got} == plain(rows, asked, Constraints())
+    assert len(got) == 301 and {r.record: r.state for r in got}[999] == "selected" and not any(r.reasons == "candidate_limit" for r in got)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_equal_the_fold(spark, seed):
+    """Requests larger than a task folds, of every kind of end, beside small ones."""
+    rng = random.Random(seed)
+    words = list("abcdefghij")
+    c = Constraints(most_folded=20, most_selected=[4, 12, 6][seed], least_use=[0.0, 0.4, 0.0][seed], caps=dict(sel.CATEGORY_CAPS, evidence=6))
+    rows, asked = [], []
+    for q in range(24):
+        n = rng.choice([5, 30, 60])
+        ids = rng.sample(range(100), n)
+        clash = rng.random() < 0.2
+        for i in ids:
+            rows.append((
+                q, i, rng.choice([0.2, 0.4, 0.5, 0.9, 1.3]), rng.randint(5, 40), rng.choice(["evidence", "episodes", "decisions", "odd", None]), rng.choice([None, rng.sample(words[:5], rng.randint(0, 2))]),
+                rng.choice([None, rng.sample(words, rng.randint(0, 5))]), rng.choice([None, None, "h1", "h2"]), rng.choice([None, "", "p"]), rng.choice([None, False, False, False, rng.random() < 0.2]), clash and rng.random() < 0.1, ["secret", "status"] if rng.random() < (1.0 if q == 0 else 0.1) else [],
+            ))
+        asked.append((q, rng.choice([30, 120, 400]), rng.choice([None, [], [ids[0]], [ids[0], ids[1]]]), rng.choice([None, [], rng.sample(words[:5], 2), ["never"]])))
+    asked[0] = (0, 100, [rows[0][1]], [])
+    got = sel.select_constrained(*frames(spark, rows, asked), c).collect()
+    assert {tuple(r) for r in got} == plain(rows, asked, c) and len(got) == len({(r.request, r.record) for r in got})
+
+
+@pytest.mark.parametrize("name", ["select_constrained", "select_sufficiency", "select_assembly"])
+def test_long_conversations_match_sql(spark, tmp_path, name):
+    """A conversation of 300 turns, whose best turns come last, beside a short one: the queries give the rows of their SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from test_oracles import rows
+
+    from tessera.plans import content
+
+    rng = random.Random(3)
+    words = [f"{x}{'ement' * (i % 2)}{i}" for i in range(40) for x in ("alpha", "gamma")]
+    turns = [(q, i, ["user", "assistant", "user"][i % 3], " ".join(rng.sample(words, rng.randint(3, 9) if i < 280 else 4)) + (" token = 5" if i % 37 == 5 else "")) for q, n in ((1, 300), (2, 6)) for i in range(n)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = content.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(content.ORACLES[name]).df()
+    assert rows(got) == rows(want)
+    if name == "select_constrained":
+        assert len(got) == 306

@@ -227,3 +227,18 @@ def test_long_conversations_match_sql(spark, tmp_path, name):
     assert rows(got) == rows(want)
     if name == "select_constrained":
         assert len(got) == 306
+
+
+def test_assembly_holds_a_turn_behind_the_best_200(spark, tmp_path):
+    """Of 300 turns only one of the least useful covers the entity, so it is chosen and shown, as in SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from test_oracles import rows
+
+    from tessera.plans import content
+
+    turns = [(1, 0, "user", "marketing plan for spring token = 5")] + [(1, i, "user", "talk of marketing today as now so" if i == 250 else f"plan for spring w{i}") for i in range(1, 300)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = content.QUERIES["select_assembly"](spark, str(tmp_path)).toPandas(), con.sql(content.ORACLES["select_assembly"]).df()
+    assert 250 in set(want.record) and rows(got) == rows(want)

@@ -279,3 +279,31 @@ def test_best_partners_by_small_parts_without_pairs(spark):
         want[k] = (min(scores)[1], -min(scores)[0])
     assert {r.k: (r.partner, r.score) for r in made.collect()} == want
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_partners_of_rows_of_common_tokens(spark):
+    """24,000 rows of two thirds of the same 120 tokens and a few rare ones, some keys twice: as by a product of matrices,
+    in a time that an index of such tokens (31 billion meetings) can't reach."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    held = np.hstack([rng.random((24_000, 120)) < 2 / 3, rng.random((24_000, 400)) < 0.01])
+    keys = np.arange(24_000)
+    keys[5:9] = 3
+    df = spark.createDataFrame([(int(k), np.flatnonzero(h).astype(str).tolist()) for k, h in zip(keys, held, strict=True)], "k bigint, tokens array<string>").repartition(4).localCheckpoint()
+    began = time.monotonic()
+    got = {r.k: (r.partner, r.score) for r in candidates.best_partners(df, "k").collect()}
+    spent = time.monotonic() - began
+    m, n = held.astype(np.float32), held.sum(1)
+    for k in (0, 3, 4, 700, 23_999):
+        best = None
+        for i in np.flatnonzero(keys == k):
+            both = (m @ m[i]).astype(int)
+            union = n + n[i] - both
+            score = np.where(keys == k, 0, (2000 * both + union) // (2 * union))
+            mine = (-int(score.max()), int(keys[score == score.max()].min()))
+            best = min(best or mine, mine)
+        assert got[k] == (best[1], -best[0] / 1000)
+    assert len(got) == 24_000 - 4 and spent < 15, spent

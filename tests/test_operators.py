@@ -158,3 +158,28 @@ def test_long_sets_apart_are_told_by_bits(spark):
     sets = [(i, "x", sorted({f"t{x}" for x in range(lo, hi)})) for i, (lo, hi) in enumerate([(0, 3000), (1500, 4700), (200, 3100), (0, 40), (1, 41), (60, 66)])]
     got = graph.similar_sets(spark.createDataFrame(sets, "k bigint, language string, tokens array<string>"), "k", threshold=0.8).collect()
     assert {(r.a, r.b, r.similarity) for r in got} == {(0, 2, round(2800 / 3100, 6)), (3, 4, round(39 / 41, 6))}
+
+
+def test_similar_sets_send_no_token_to_be_counted(spark):
+    """As by brute force, with copies, null languages and words that two languages share; only the rarest tokens of a set are joined."""
+    import random
+
+    from tessera.operators import graph
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        like = rows[rng.randrange(len(rows))][2] if rows and rng.random() < 0.6 else rng.sample(range(300), rng.randint(5, 40))
+        rows.append((i, rng.choice(["x", "y", "y", None]), sorted({*like[rng.randrange(3) :], *rng.sample(range(300), rng.randrange(2))})))
+    df = spark.createDataFrame([(k, lang, [f"t{x}" for x in t]) for k, lang, t in rows], "k bigint, language string, tokens array<string>")
+    made = graph.similar_sets(df, "k", threshold=0.8)
+    first, want = {}, set()
+    for k, lang, t in rows:
+        a = first.setdefault((lang, tuple(t)), k)
+        if a != k:
+            want.add((a, k, 1.0))
+    names = [(k, lang, set(t)) for (lang, t), k in first.items() if lang]
+    want |= {(a, b, round(len(s & t) / len(s | t), 6)) for a, x, s in names for b, y, t in names if a < b and x == y and len(s & t) / len(s | t) >= 0.8}
+    assert len(want) > 20 and {tuple(r) for r in made.collect()} == want and made.count() == len(want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(tokens" not in plan and "collect_list" not in plan
